@@ -1,17 +1,244 @@
-"""Typed names of organisations, people and sites taken apart."""
+"""Typed names of organisations, people and sites taken apart.
+
+`parse_owner` reads one spelling into a form: an organisation is (head, trade, legal form), a
+person is (family name, first name or initial). Word order, case, spacing, punctuation, legal
+forms, titles, nicknames and usual short forms of trades are taken out here; typing errors are
+left to the comparison of forms.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: words that stand in for a name
 STAND_INS = [
     "n/a", "na", "tbd", "tba", "null", "nil", "none", "none listed", "not listed", "not reported", "not available", "not applicable", "not known",
     "unknown", "unk", "same", "same as above", "see parent", "see above", "see note", "various", "pending", "no name", "missing", "private", "owner", "self",
 ]
+# fixed values: legal forms
+LEGAL = {
+    "inc": "inc", "incorporated": "inc", "llc": "llc", "lp": "lp", "company": "co", "co": "co", "cmpny": "co", "cmp": "co", "coy": "co", "corp": "corp", "corporation": "corp", "corpn": "corp",
+    "limited": "ltd", "ltd": "ltd", "lmtd": "ltd", "partnership": "lp", "plc": "plc", "llp": "llp",
+}
+FILLER = {"the", "grp", "gpr", "group", "mr/ms", "mr", "ms", "mrs", "dr"}
+# fixed values: trades and their usual short forms
+TRADES = {
+    "aggregates": ["aggs", "agg"], "asphalt": ["asph"], "brewing": ["brwg"], "brothers": ["bros"], "castings": ["cstgs", "cast"], "chemical": ["chem", "chems"], "coatings": ["ctgs", "coat"],
+    "cold storage": ["cold stg", "cold stor", "cold"], "concrete": ["conc"], "controls": ["ctrls", "ctls"], "dairy": ["dry", "dair"], "distilling": ["distg", "dist"], "energy": ["enrgy", "ener"],
+    "engineering": ["engrg", "engg", "engi", "eng"], "fabrication": ["fab", "fabr"], "feed": ["fd"], "fertilizer": ["fert"], "foods": ["fds", "food"], "glass": ["gls", "glas"], "industries": ["inds", "indu", "ind"],
+    "instruments": ["instr", "inst"], "international": ["intl", "inte"], "laboratories": ["labs", "labo"], "logistics": ["logist", "logi"], "manufacturing": ["mfg", "manu"], "metals": ["mtls", "meta"],
+    "packaging": ["pkg", "pack"], "paper": ["ppr", "pape"], "pharma": ["phrm", "phar"], "polymers": ["polym", "poly"], "poultry": ["pltry", "poul"], "process equipment": ["proc equip", "proc eqpt", "proc"],
+    "refining": ["refg", "refi"], "rubber": ["rbr", "rubb"], "services": ["svcs", "serv", "svc"], "systems supply": ["sys sup", "sys supp", "syst"], "technologies": ["tech", "techs"], "textiles": ["txtl", "txtls", "text"],
+    "timber": ["tmbr", "timb"], "valve and pump": ["valve pump", "vlv and pmp", "valve and pmp", "vlv pmp", "valve n pump", "valve n pmp", "valv", "vlv"], "water products": ["wtr prod", "wtr prods", "wate"], "wire": ["wr"],
+    "supply": ["sup"], "holdings": ["hldgs"], "products": ["prods"], "construction": ["constr"],
+}
+# fixed values: first names and their short forms
+NICKNAMES = {
+    "alexander": "alex sandy al alec xander lex", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benj", "catherine": "cathy cath", "charles": "chuck charlie chas charley", "christopher": "chris",
+    "daniel": "dan danny", "david": "dave", "deborah": "deb debbie debby debra", "donald": "don", "dorothy": "dot dottie", "edward": "ed eddie ned edw", "elizabeth": "liz beth betty eliz lizzie betsy eliza", "frederick": "fred",
+    "george": "geo", "gregory": "greg", "henry": "hank harry", "james": "jim jas jimmy jamie", "jennifer": "jen jenny", "john": "jack jno", "jonathan": "jon", "joseph": "joe jos joey", "katherine": "kate kathy kath katie kathie kay",
+    "kenneth": "ken kenny", "lawrence": "larry", "margaret": "maggie peggy meg marge peg margie", "matthew": "matt", "michael": "mike mick", "nancy": "nan", "nicholas": "nick", "pamela": "pam", "patricia": "pat trish patty tricia patsy",
+    "patrick": "paddy", "philip": "phil", "raymond": "ray", "rebecca": "becky", "richard": "dick rick rich richd ricky", "robert": "bob rob bobby robt robbie bert", "ronald": "ron", "samuel": "sam saml sammy", "sandra": "",
+    "stephen": "steve", "susan": "sue susie suzy susy", "theodore": "ted teddy theo", "thomas": "tom thos tommy", "timothy": "tim", "victoria": "vicky", "virginia": "ginny", "walter": "walt", "william": "bill will wm billy willie liam",
+}
+FIRST = {n: k for k, v in NICKNAMES.items() for n in [k, *v.split()]}
+TRAILERS = {"sons", "farms", "farm", "trucking", "sawmill", "daughters", "son"}
+
+SHORT = {s: t for t, ss in TRADES.items() for s in ss} | {t: t for t in TRADES} | {t.replace(" ", ""): t for t in TRADES}
+BY_LENGTH = sorted(((t.replace(" ", ""), t) for t in TRADES), key=lambda x: -len(x[0]))
+FULL = [k for k in NICKNAMES if len(k) >= 5]
+DIGITS = str.maketrans({"0": "o", "1": "l", "5": "s", "3": "e", "4": "a", "8": "b", "@": "a", "$": "s"})
 
 
 def is_stand_in(c: str) -> Column:
     """Blank, without any letter, or a stand-in word."""
     return F.expr(f"trim({c}) NOT RLIKE '[A-Za-z]'") | F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))).isin(STAND_INS)
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Edit distance with swaps of neighbours, or most + 1 if it is greater."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, last = None, list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row = [i + 1]
+        for j, y in enumerate(b):
+            cost = min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                cost = min(cost, before[j - 1] + 1)
+            row.append(cost)
+        if min(row) > most:
+            return most + 1
+        before, last = last, row
+    return last[-1]
+
+
+def first_name(word: str) -> str | None:
+    if word in FIRST:
+        return FIRST[word]
+    if len(word) >= 5:
+        for full in FULL:
+            if word[0] == full[0] and abs(len(word) - len(full)) <= 1 and edits(word, full, 1) <= 1:
+                return full
+    return None
+
+
+def _squeeze(s: str) -> str:
+    return "".join(s.split())
+
+
+def trade_of(words: list[str]) -> tuple[str | None, int]:
+    """The trade that the last words name, and how many words it takes."""
+    for take in (3, 2, 1):
+        if len(words) >= take:
+            said = " ".join(words[-take:])
+            if said in SHORT:
+                return SHORT[said], take
+    for take in (3, 2, 1):
+        if len(words) > take or (len(words) == take and take > 1):
+            said = _squeeze("".join(words[-take:]))
+            for flat, t in BY_LENGTH:
+                if (take == 1) == (" " not in t) or take == 1:
+                    limit = 1 if len(flat) < 7 else 2
+                    if len(said) >= 4 and abs(len(said) - len(flat)) <= limit and edits(said, flat, limit) <= limit:
+                        return t, take
+    # two words, each cut short or misspelt
+    if len(words) >= 3:
+        for t in TRADES:
+            parts = [p for p in t.split() if p != "and"]
+            if len(parts) == 2 and all(w[0] == p[0] and _subsequence(w, p) for w, p in zip(words[-2:], parts)):
+                return t, 2
+    if len(words) >= 2 and 3 <= len(words[-1]) <= 7:
+        w = words[-1]
+        fits = [t for t in TRADES if t[0] == w[0] and (t.startswith(w) or (_subsequence(w, t) and _bones(w) == _bones(t)[: len(_bones(w))] and len(_bones(w)) >= 3))]
+        if len(fits) == 1:
+            return fits[0], 1
+    return None, 0
+
+
+def _subsequence(a: str, b: str) -> bool:
+    it = iter(b)
+    return all(c in it for c in a)
+
+
+def _bones(s: str) -> str:
+    return re.sub("[aeiouy]", "", s)
+
+
+def bones(head: str) -> str:
+    """Consonants of a name after folding letters often taken for one another."""
+    return re.sub("[aeiou]", "", head.replace("rn", "m").replace("ii", "u"))
+
+
+def _legal(words: list[str]) -> tuple[list[str], str]:
+    """Words without the legal form at their end, and the form."""
+    form = ""
+    while len(words) > 1:
+        w = words[-1]
+        if w in LEGAL:
+            form = form or LEGAL[w]
+            words = words[:-1]
+        elif w in FILLER and len(words) > 2:
+            words = words[:-1]
+        elif form == "lp" and w == "ltd" or w in ("limited", "ltd") and form == "lp":
+            words = words[:-1]
+        else:
+            break
+    if len(words) > 1 and not form:
+        w = words[-1]
+        near = [f for k, f in LEGAL.items() if len(k) >= 6 and edits(w, k, 2) <= (2 if len(k) >= 9 else 1)]
+        if near:
+            return words[:-1], near[0]
+        if len(w) == 3 and len(words) > 2 and edits(w, "llc", 1) <= 1 and w not in SHORT:
+            return words[:-1], "llc"
+    return words, form
+
+
+def words_of(s: str) -> list[str]:
+    """Lower-case words; dotted initials joined for legal forms (L.L.C.), letters taken from digits inside words."""
+    s = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", s)
+    s = s.lower()
+    s = re.sub(r"\bl\.\s?l\.\s?c\b\.?", "llc", s)
+    s = re.sub(r"\bl\.\s?p\b\.?", "lp", s)
+    s = re.sub(r"mr/ms", " ", s).replace("&", " and ").replace("+", " and ")
+    s = re.sub(r"[’'`]", "", s)
+    words = re.findall(r"[^\W_]+", s)
+    return [w.translate(DIGITS) if re.search(r"[a-z]", w) and re.search(r"\d", w) and len(w) > 3 else w for w in words]
+
+
+def parse_owner(s: str) -> tuple[str, str, str, str, str]:
+    """(kind, head, part, legal, bones): kind 'o' or 'p'; part is the trade, or the first name or initial; '' if not said."""
+    raw = s.strip()
+    comma = raw.find(",")
+    if comma > 0:
+        left, right = words_of(raw[:comma]), words_of(raw[comma + 1 :])
+        rest, _ = _legal(["x", *right])
+        if right and rest != ["x"]:
+            # `Trade, Head Legal` and `Family, First M.`: what stands after the comma comes first
+            t, took = trade_of(left)
+            if t and took == len(left):
+                body, form = _legal(right)
+                head = "".join(w for w in body if w not in FILLER)
+                if head:
+                    return "o", head, t, form, bones(head)
+            raw = raw[comma + 1 :] + " " + raw[:comma]
+    words = [w for w in words_of(raw) if w not in ("mr", "ms", "mrs", "dr")]
+    if not words:
+        return "o", "", "", "", ""
+    person = _person(words)
+    if person:
+        return person
+    body, form = _legal(words)
+    body = [w for w in body if w not in FILLER] or body
+    trade, took = trade_of(body)
+    if trade and took < len(body):
+        body = body[:-took]
+    else:
+        trade = ""
+        flat = "".join(body)
+        for t, name in BY_LENGTH:
+            if flat.endswith(t) and len(flat) - len(t) >= 4:
+                trade, body = name, [flat[: -len(t)]]
+                break
+    while len(body) > 1 and body[-1] in ("and", "n"):
+        body = body[:-1]
+    head = "".join(body)
+    return "o", head, trade, form, bones(head)
+
+
+def _person(words: list[str]) -> tuple[str, str, str, str, str] | None:
+    rest = list(words)
+    trailer = False
+    while len(rest) > 1 and (rest[-1] in TRAILERS or rest[-1] == "and"):
+        rest, trailer = rest[:-1], True
+    if any(w in TRAILERS for w in rest[1:]):
+        rest = [w for w in rest if w not in TRAILERS and w != "and"]
+        trailer = True
+    letters = [w for w in rest if len(w) <= 2 and w.isalpha() and w not in FIRST and w not in ("co", "lp")]
+    names = [w for w in rest if w not in letters]
+    given = [(i, first_name(w)) for i, w in enumerate(names)]
+    given = [(i, f) for i, f in given if f]
+    if given and len(names) >= 2:
+        i, f = given[0]
+        family = "".join(w for j, w in enumerate(names) if j != i)
+        if names[-1] in LEGAL or (len(names) > 2 and trade_of(names)[0]):
+            return None
+        return ("p", family, f, "", bones(family)) if len(family) >= 3 else None
+    if letters and len(names) == 1 and names[0] not in LEGAL and len(names[0]) >= 4:
+        return "p", names[0], letters[0][0], "", bones(names[0])
+    if trailer and len(names) >= 1 and not given:
+        return None
+    return None
+
+
+OWNER = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "head", "part", "legal", "bones")])
+
+
+@F.pandas_udf(OWNER)
+def owner_form(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_owner(x or "") for x in s], columns=["kind", "head", "part", "legal", "bones"])

@@ -12,6 +12,7 @@ from .components import connected_components
 from .names import is_stand_in
 from .quality import text_statistics, text_types
 from .survivor import preferred_entry, truth_discovery
+from .variants import link_spellings
 
 catalog = Catalog()
 
@@ -131,3 +132,25 @@ def p10_statistics(spark, d):
     rounded = [F.bround(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share", "distinct_share")]
     types = text_types(stats).select("doc_id", "kind", F.bround("confidence", 4).alias("confidence"))
     return stats.select("doc_id", "chars", "words", "lines", *rounded).join(types, "doc_id")
+
+
+# ---------------------------------------------------------------- problem 5
+
+
+def owner_spellings(spark, d):
+    e = table(spark, d, "entity").select("kind", "name", "operator", "parent")
+    return e.select(F.explode(F.array("operator", "parent", F.when(F.col("kind") != "facility", F.col("name")))).alias("spelling"))
+
+
+@catalog.query()
+def p5_found(spark, d):
+    linked = cut(link_spellings(owner_spellings(spark, d), "spelling"))
+    a = linked.select("group_id", F.col("spelling").alias("spelling_a"))
+    b = linked.select("group_id", F.col("spelling").alias("spelling_b"))
+    return a.join(b, "group_id").filter("spelling_a < spelling_b").select("spelling_a", "spelling_b")
+
+
+@catalog.query()
+def p5_canonical(spark, d):
+    """Every spelling with the canonical one of its group."""
+    return link_spellings(owner_spellings(spark, d), "spelling").select("spelling", "canonical", "n")
