@@ -168,7 +168,7 @@ def words_of(s: str) -> list[str]:
     s = re.sub(r"mr/ms", " ", s).replace("&", " and ").replace("+", " and ")
     s = re.sub(r"[’'`]", "", s)
     words = re.findall(r"[^\W_]+", s)
-    return [w.translate(DIGITS) if re.search(r"[a-z]", w) and re.search(r"\d", w) and len(w) > 3 else w for w in words]
+    return [w.translate(DIGITS) if re.search(r"[a-z]", w) and len(re.findall(r"\d", w)) == 1 and len(w) > 3 else w for w in words]
 
 
 def parse_owner(s: str) -> tuple[str, str, str, str, str]:
@@ -242,3 +242,131 @@ OWNER = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "head",
 @F.pandas_udf(OWNER)
 def owner_form(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_owner(x or "") for x in s], columns=["kind", "head", "part", "legal", "bones"])
+
+
+# fixed values: kinds of site and their short forms
+SITE_TYPES = {
+    "works": ["wks"], "plant": ["plt", "pl"], "terminal": ["term", "trml", "terml"], "depot": ["dpt", "dep"], "complex": ["cplx", "cmplx", "compl"], "campus": ["cmps", "cmpus"], "warehouse": ["whse", "wh", "whs", "warehse"],
+    "quarry": ["qry"], "station": ["sta", "stn"], "mill": ["ml"], "lab": ["laboratory"], "yard": ["yd"], "creamery": ["crmy", "crm"], "kiln": ["kln"], "tank farm": ["tf", "tnk fm", "tank fm", "tk farm"], "shop": [], "facility": ["fac", "fclty"],
+    "office": ["ofc", "off"], "factory": ["fcty"], "foundry works": [], "center": ["ctr"],
+}
+# fixed values: words that tell sites of one owner apart
+SIDES = {
+    "north": "n", "south": "s", "east": "e", "west": "w", "upper": "", "lower": "", "old": "", "new": "", "hillside": "", "harbor": "hbr", "river": "riv", "ridge": "rdg", "central": "ctrl", "main": "", "lake": "lk", "valley": "vly",
+    "inner": "", "outer": "", "middle": "", "first": "", "second": "", "annex": "", "grove": "",
+}
+ROADS = {"road": "rd", "street": "st", "lane": "ln", "pike": "pk", "highway": "hwy", "avenue": "ave", "drive": "dr", "way": "wy", "court": "ct"}
+UNIT_WORDS = {"unit", "u", "bldg", "building", "block", "blk", "hall", "bay"}
+NUMBER_WORDS = {"no", "nbr", "num", "number", "nr", "nmbr"}
+FORMER = r"\(\s*(?:ex|fka|f/k/a|formerly|former|was|aka|a/k/a|dba|d/b/a|prev|previously)\b[ .:]*(.*?)\)?$"
+TYPE_OF = {s: t for t, ss in SITE_TYPES.items() for s in [t, *ss]}
+SIDE_OF = {s: t for t, x in SIDES.items() for s in [t, *x.split()] if len(s) > 1}
+ROAD_WORDS = {x for k, v in ROADS.items() for x in (k, v)}
+
+
+def _tell_apart(words: list[str], towns: frozenset[str]) -> tuple[list[str], list[str], str]:
+    """Words left for the owner, the marks that tell sites apart, and the kind of site."""
+    left, marks, kind, i = [], [], "", 0
+    while i < len(words):
+        w, after, later = words[i], words[i + 1] if i + 1 < len(words) else "", words[i + 2] if i + 2 < len(words) else ""
+        pair = f"{w} {after}"
+        if w in NUMBER_WORDS and after.isdigit():
+            marks.append(f"n{int(after)}")
+            i += 2
+            continue
+        if w.isdigit():
+            marks.append(f"n{int(w)}")
+        elif w in UNIT_WORDS and len(after) == 1 and after.isalnum():
+            marks.append(f"u{after}")
+            i += 2
+            continue
+        elif w in UNIT_WORDS and re.fullmatch(r"[a-z]{0,2}[0-9]+[a-z]?", after):
+            marks.append(f"u{after}")
+            i += 2
+            continue
+        elif pair in TYPE_OF:
+            kind = TYPE_OF[pair]
+            i += 2
+            continue
+        elif after in ROAD_WORDS and len(w) >= 3:
+            marks.append(f"r{w}")
+            i += 2
+            continue
+        elif after and _squeeze(pair) in towns and i + 2 <= len(words):
+            marks.append(f"t{_squeeze(pair)}")
+            i += 2
+            continue
+        elif later and _squeeze(pair + later) in towns:
+            marks.append(f"t{_squeeze(pair + later)}")
+            i += 3
+            continue
+        elif w in TYPE_OF and (left or i):
+            kind = TYPE_OF[w]
+        elif w in TYPE_OF and len(words) > i + 1 and (after in TYPE_OF or w not in ("mill", "kiln")):
+            kind = TYPE_OF[w]
+        elif w in SIDE_OF:
+            marks.append(f"d{SIDE_OF[w]}")
+        elif w in towns and len(w) >= 5:
+            marks.append(f"t{w}")
+        else:
+            left.append(w)
+        i += 1
+    return left, marks, kind
+
+
+def _guess(words: list[str], towns: frozenset[str]) -> tuple[list[str], list[str], str]:
+    """As _tell_apart for the words left over after an owner: misspelt marks and kinds."""
+    left, marks, kind = [], [], ""
+    for w in words:
+        near = [t for k, t in TYPE_OF.items() if len(k) >= 4 and " " not in k and edits(w, k, 1) <= 1]
+        side = [t for k, t in SIDE_OF.items() if len(k) >= 5 and edits(w, k, 1) <= 1]
+        town = [t for t in towns if len(w) >= 6 and w[0] == t[0] and abs(len(t) - len(w)) <= 2 and edits(w, t, 2) <= 2] if not near and not side else []
+        if near:
+            kind = near[0]
+        elif side:
+            marks.append(f"d{side[0]}")
+        elif town:
+            marks.append(f"t{min(town)}")
+        else:
+            left.append(w)
+    return left, marks, kind
+
+
+def parse_site(s: str, towns: frozenset[str] = frozenset()) -> list[tuple[str, str, str, str, str, str]]:
+    """[(kind of owner, head, part, bones, marks, kind of site)] of each name given: the present one, then a former one in brackets."""
+    former = re.search(FORMER, s, re.I)
+    said = [re.sub(FORMER, " ", s, flags=re.I)] + ([former.group(1)] if former else [])
+    out = []
+    for raw in said:
+        raw = re.sub(r"#\s*(\d+)", r" no \1 ", raw)
+        raw = re.sub(r"\b([Uu]|[Uu]nit|[Bb]ldg|UNIT|BLDG)-([A-Za-z0-9])\b", r"\1 \2", raw)
+        flat = raw.replace("(", " ").replace(")", " ").replace(" - ", " ")
+        pieces = flat.split(",")
+        # the owner may stand after a comma: read each piece, then join what is left in order of speech
+        lefts, marks, kind = [], [], ""
+        for piece in pieces:
+            left, m, k = _tell_apart(words_of(piece), towns)
+            marks += m
+            kind = k or kind
+            if left:
+                lefts.append(" ".join(left))
+        owner = parse_owner(", ".join(lefts) if len(lefts) > 1 and len(lefts) <= 2 else " ".join(lefts))
+        rest = [w for x in lefts for w in x.split()]
+        if owner[0] == "o" and len(rest) > 1 and len(owner[1]) > 16 or (owner[0] == "o" and not owner[2] and len(rest) > 1):
+            owner, extra = _owner_inside(rest, towns)
+            marks += extra[1]
+            kind = kind or extra[2]
+        elif owner[0] == "p" and len(rest) > 2:
+            owner, extra = _owner_inside(rest, towns)
+            marks += extra[1]
+            kind = kind or extra[2]
+        out.append((owner[0], owner[1], owner[2], owner[4], " ".join(sorted(set(marks))), kind))
+    return [x for x in out if x[1]]
+
+
+def _owner_inside(rest: list[str], towns: frozenset[str]):
+    """The owner among words of which some misspell a mark or a kind of site."""
+    left, marks, kind = _guess(rest, towns)
+    if not left:
+        left, marks, kind = rest, [], ""
+    return parse_owner(" ".join(left)), (left, marks, kind)

@@ -9,6 +9,7 @@ from ..plans.catalog import Catalog
 from ..session import cut, table
 from .canon import map_values
 from .components import connected_components
+from .linkage import link, prepare
 from .names import is_stand_in
 from .quality import text_statistics, text_types
 from .survivor import preferred_entry, truth_discovery
@@ -154,3 +155,24 @@ def p5_found(spark, d):
 def p5_canonical(spark, d):
     """Every spelling with the canonical one of its group."""
     return link_spellings(owner_spellings(spark, d), "spelling").select("spelling", "canonical", "n")
+
+
+# ---------------------------------------------------------------- problem 2
+
+
+def linked_sites(spark, d):
+    places = table(spark, d, "place_ref")
+    registry = prepare(table(spark, d, "entity").select("id", "name", "lat", "lon", "jurisdiction"), places)
+    said = table(spark, d, "site_record").select(F.col("rec_id").alias("id"), "name", "lat", "lon", "jurisdiction", "coord_precision")
+    raw = prepare(said, places, F.coalesce("coord_precision", F.lit("site")) == "site")
+    return link(registry, raw)
+
+
+@catalog.query()
+def p2_found(spark, d):
+    return linked_sites(spark, d).select(F.col("l_id").alias("entity_id"), F.col("r_id").alias("rec_id"))
+
+
+@catalog.query()
+def p2_confidence(spark, d):
+    return linked_sites(spark, d).select(F.col("l_id").alias("entity_id"), F.col("r_id").alias("rec_id"), F.bround("confidence", 4).alias("confidence"))
