@@ -10,9 +10,12 @@ from ..session import cut, table
 from .canon import map_values
 from .components import connected_components
 from .linkage import link, prepare
+from .mixing import mix, report
 from .names import is_stand_in
+from .packing import pack
 from .quality import text_statistics, text_types
 from .survivor import preferred_entry, truth_discovery
+from .tokens import token_count
 from .variants import link_spellings
 
 catalog = Catalog()
@@ -176,3 +179,42 @@ def p2_found(spark, d):
 @catalog.query()
 def p2_confidence(spark, d):
     return linked_sites(spark, d).select(F.col("l_id").alias("entity_id"), F.col("r_id").alias("rec_id"), F.bround("confidence", 4).alias("confidence"))
+
+
+# ---------------------------------------------------------------- problem 8
+
+CAPACITY = 2048
+
+
+@catalog.query()
+def p8_containers(spark, d):
+    """The container of every document, or of each piece of one longer than a container."""
+    sized = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    return pack(sized, "doc_id", "n_tokens", CAPACITY).select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container")
+
+
+@catalog.query()
+def p8_fill(spark, d):
+    """Containers used, by how full they are in tenths."""
+    filled = p8_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
+    tenth = F.least(F.floor(F.col("used") * 10 / CAPACITY), F.lit(9)).cast("int")
+    return filled.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+
+
+# ---------------------------------------------------------------- problem 9
+
+
+def sized_documents(spark, d):
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", "source", F.md5("text").alias("content"), token_count(F.col("text")).alias("tokens"))
+
+
+@catalog.query()
+def p9_mix(spark, d):
+    return mix(sized_documents(spark, d), table(spark, d, "mix_target"))
+
+
+@catalog.query()
+def p9_shares(spark, d):
+    targets = table(spark, d, "mix_target")
+    return report(cut(mix(sized_documents(spark, d), targets)), targets)
