@@ -44,19 +44,23 @@ def _ornaments(table: dict[str, dict[str, bool]]) -> str:
     return "map(" + ", ".join(f"'{f}', array({', '.join(f"struct('{w}' AS w, {str(c).lower()} AS city)" for w, c in {'': False, **ws}.items())})" for f, ws in table.items()) + ")"
 
 
-def _spellings() -> str:
-    """SQL: the spellings of lower-case `n`, each short form put in place of a first or last word."""
+def _spellings(n: str, first: bool) -> str:
+    """SQL: the spellings of lower-case `n`, each short form put in place of its first, or of its last word."""
     pairs = [(w, s) for w, ss in SHORT_FORMS.items() for s in ss]
-    put = [f"CASE WHEN n LIKE '{w} %' THEN concat('{s} ', substring(n, {len(w) + 2})) END, CASE WHEN n LIKE '% {w}' THEN concat(left(n, length(n) - {len(w)}), '{s}') END" for w, s in pairs]
-    return "array_compact(array(n, " + ", ".join(put) + "))"
+    if first:
+        put = [f"CASE WHEN {n} LIKE '{w} %' THEN concat('{s} ', substring({n}, {len(w) + 2})) END" for w, s in pairs]
+    else:
+        put = [f"CASE WHEN {n} LIKE '% {w}' THEN concat(left({n}, length({n}) - {len(w)}), '{s}') END" for w, s in pairs]
+    return f"array_compact(array({n}, " + ", ".join(put) + "))"
 
 
 MATCH = """
 WITH entry AS (
-  SELECT field, ref_id, is_city, n FROM (SELECT field, ref_id, is_city, lower(name) AS n FROM {refs}) WHERE n IS NOT NULL
+  SELECT field, ref_id, is_city, lower(name) AS name FROM {refs} WHERE name IS NOT NULL
 ), spelled AS (
   SELECT DISTINCT field, ref_id, is_city, regexp_replace(s, '[^a-z]', '') AS ref
-  FROM entry LATERAL VIEW explode(SPELLINGS) x AS s
+  FROM (SELECT field, ref_id, is_city, said FROM entry LATERAL VIEW explode(FIRST_WORDS) x AS said) AS e
+  LATERAL VIEW explode(LAST_WORDS) y AS s
 ), ref AS (SELECT *, length(ref) AS len FROM spelled WHERE length(ref) >= 3
 ), piece AS (
   SELECT field, ref_id, is_city, ref, len, i,
@@ -100,7 +104,7 @@ def match_typed(typed: DataFrame, refs: DataFrame, edits: int = EDITS) -> DataFr
     `refs` has field, ref_id, name and is_city; of a city and another place of one name the
     other is meant, unless the value says it is a city.
     """
-    sql = MATCH.replace("SPELLINGS", _spellings()).replace("BEFORE", _ornaments(BEFORE)).replace("AFTER", _ornaments(AFTER)).replace("EDITS", str(edits))
+    sql = MATCH.replace("FIRST_WORDS", _spellings("name", True)).replace("LAST_WORDS", _spellings("said", False)).replace("BEFORE", _ornaments(BEFORE)).replace("AFTER", _ornaments(AFTER)).replace("EDITS", str(edits))
     return typed.sparkSession.sql(sql, typed=typed, refs=refs)
 
 

@@ -94,7 +94,7 @@ def text_statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
         | ((F.col("words") >= 5) & (F.col("forms") * 5 <= F.col("words")))
         | ((F.col("words") >= 6) & (F.col("knots") * 5 >= F.col("words")) & (share < 0.1))
     )
-    solid = rule | ((F.col("letters") + F.col("digits")) * 2 >= F.col("chars"))
+    solid = rule | ((F.col("letters") + F.col("digits")) * 2 >= F.col("chars") - F.col("pipes"))
     table = solid & (
         (F.col("tabs") >= 1) | (F.col("pipes") >= 2) | (rule & (F.col("pipes") >= 1))
         | ((F.col("semis") >= 2) & ~sentence) | ((F.col("commas") >= 2) & ~sentence)

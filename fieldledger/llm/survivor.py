@@ -1,8 +1,9 @@
 """One surviving record for each group of duplicates.
 
 `truth_discovery` is the iterative operator: a value's support is the sum of the weights of the
-sources claiming it, a source's weight grows with the share of its claims that win, and both are
-estimated in turn until the weights settle. Only per-source sums (one row a source label) reach
+sources claiming it, a source's trust is the mean support its claims have from the other sources
+(its own vote left out, or the strongest source would end as the only judge), and both are
+estimated in turn until the trust settles. Only per-source sums (one row a source label) reach
 the driver; the caller bounds their number with `max_sources`, beyond which it refuses.
 
 `preferred_entry` is the declared-order operator: where trust in sources is given as ranks and
@@ -10,7 +11,7 @@ the preferred entry is fixed by (rank, date, id), no estimate may overrule it, s
 least such key per group and field. It is a single combined aggregation, even under skew.
 
 Nulls: a claim without group, source or value counts nowhere. Ties go to the greater number of
-claims, then the least value by its text. Groups without a claim give no row.
+claims, then the greatest value by its text. Groups without a claim give no row.
 """
 
 from __future__ import annotations
@@ -41,19 +42,23 @@ def truth_discovery(claims: DataFrame, max_sources: int = 10_000) -> tuple[DataF
     trust = dict.fromkeys(sources, START_TRUST)
     spark = claims.sparkSession
 
+    def votes():
+        w = spark.createDataFrame([(s, -math.log(1 - t)) for s, t in trust.items()] or [("", 0.0)], "source string, weight double")
+        weighed = c.join(F.broadcast(w), "source")  # at most max_sources rows
+        by = weighed.groupBy("group_id", "field", "value").agg(F.sum("weight").alias("support"), F.sum("n").alias("claims"))
+        return weighed, by, by.groupBy("group_id", "field").agg(F.sum("support").alias("total"))
+
     def winners():
-        w = spark.createDataFrame([(s, math.log(t / (1 - t)) + 4.0) for s, t in trust.items()] or [("", 0.0)], "source string, weight double")
-        # at most max_sources rows are broadcast
-        votes = c.join(F.broadcast(w), "source").groupBy("group_id", "field", "value").agg(F.sum("weight").alias("support"), F.sum("n").alias("claims"))
-        best = F.max_by(F.struct("value", "support", "claims"), F.struct(F.bround("support", 9), F.col("claims"), F.hash("value")))
-        return votes.groupBy("group_id", "field").agg(best.alias("b"), F.sum("support").alias("total")).select(
-            "group_id", "field", F.col("b.value").alias("value"), F.col("b.claims").alias("claims"),
-            (F.col("b.support") / F.col("total")).alias("confidence"),
-        )
+        _, by, totals = votes()
+        best = F.max_by(F.struct("value", "support", "claims"), F.struct(F.bround("support", 9), F.col("claims"), F.col("value")))
+        won = by.groupBy("group_id", "field").agg(best.alias("b")).join(totals, ["group_id", "field"])
+        return won.select("group_id", "field", F.col("b.value").alias("value"), F.col("b.claims").alias("claims"), (F.col("b.support") / F.col("total")).alias("confidence"))
 
     for _ in range(MAX_ROUNDS):
-        won = c.join(winners().select("group_id", "field", "value", F.lit(1.0).alias("won")), ["group_id", "field", "value"], "left")
-        share = won.groupBy("source").agg(((F.sum(F.coalesce("won", F.lit(0.0))) + 2 * START_TRUST) / (F.count("*") + 2)).alias("t")).collect()
+        weighed, by, totals = votes()
+        j = weighed.join(by.drop("claims"), ["group_id", "field", "value"]).join(totals, ["group_id", "field"])
+        others = F.when(F.col("total") - F.col("weight") > 1e-9, (F.col("support") - F.col("weight")) / (F.col("total") - F.col("weight")))
+        share = j.groupBy("source").agg(((F.coalesce(F.sum(others), F.lit(0.0)) + 2 * START_TRUST) / (F.count(others) + 2)).alias("t")).collect()
         fresh = {r[0]: min(max(r[1], TRUST_RANGE[0]), TRUST_RANGE[1]) for r in share}
         moved = max((abs(fresh[s] - trust[s]) for s in fresh), default=0.0)
         trust.update(fresh)
