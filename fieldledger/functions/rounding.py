@@ -19,6 +19,6 @@ def fixed4(x: Column) -> Column:
     error = (high * 10000.0 - product) + (x - high) * 10000.0
     floor = F.floor(product)
     part = product - floor
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (floor % 2 == 1))))
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(floor, F.lit(2)) == 1))))
     whole = floor + F.when(up, 1).otherwise(0)
     return F.format_string("%.4f", whole / 10000.0)

@@ -70,6 +70,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _inner(schema: dict, root: dict, path: str, depth: int):
+    """Errors of a property, none where it is absent."""
+    return lambda c: F.when(c.isNotNull(), _errors(c, schema, root, path, depth)).otherwise(F.array().cast("array<string>"))
+
+
 def _errors(v: Column, schema: dict, root: dict, path: str, depth: int = 0) -> Column:
     """array<string> of the errors of variant `v`; empty where it is absent."""
     if depth > 12:
@@ -118,7 +123,7 @@ def _errors_of_kind(v: Column, kind: Column, schema: dict, root: dict, path: str
             parts.append(F.when(is_obj & ~F.array_contains(keys, k), F.array(F.lit(f"{path}: lacks {k}"))).otherwise(none))
         for k, sub in props.items():
             child = F.when(is_obj, F.try_variant_get(v, f"$['{k}']", "variant"))
-            parts.append(_let(child, lambda c, sub=sub, k=k: F.when(c.isNotNull(), _errors(c, sub, root, f"{path}.{k}", depth + 1)).otherwise(none)))
+            parts.append(_let(child, _inner(sub, root, f"{path}.{k}", depth + 1)))
         extra = F.array_except(keys, F.array(*[F.lit(k) for k in props]).cast("array<string>"))
         if schema.get("additionalProperties") is False:
             parts.append(F.when(is_obj, F.transform(F.array_sort(extra), lambda k: F.concat(F.lit(f"{path}: unknown "), k))).otherwise(none))
