@@ -17,47 +17,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import split_join
+from ..functions.skew import HOT_ROWS, split_join
 from ..session import cut
 
+CUT_EVERY = 4  # rounds expanded in one plan
 MAX_ROUNDS = 200  # far beyond what 10^18 edges would take; a guard, not a cap on results
 
 
 def connected_components(pairs: DataFrame, a: str, b: str, seed: int = 7) -> DataFrame:
     """(id, group_id) of every id in a pair; group_id is the least id of its group."""
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = cut(edges)
+    # the round is a column, not a literal, so that every round runs the same compiled code
+    edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("turn", F.lit(seed)))
     hooks = []
-    for n in range(MAX_ROUNDS):
-        if edges.isEmpty():
+    for _ in range(MAX_ROUNDS):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "turn"))
+        order = lambda c: F.struct(F.xxhash64("turn", c).alias("h"), F.col(c).alias("id"))
+        hook = both.groupBy("u").agg(F.min(order("v")).alias("near"), F.min(order("u")).alias("own"), F.count("*").alias("n"))
+        hook = cut(hook.select(F.col("u").alias("id"), F.least("near", "own")["id"].alias("to"), "n"))
+        total, most = hook.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if not total:
             break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        order = lambda c: F.struct(F.xxhash64(F.lit(seed + n), c).alias("h"), F.col(c).alias("id"))
-        hook = both.groupBy("u").agg(F.min(order("v")).alias("near"), F.count("*").alias("n"))
-        hook = cut(hook.select(F.col("u").alias("id"), F.least("near", order("u"))["id"].alias("to"), "n"))
         hooks.append(hook.select("id", "to"))
-        edges = _relabel(edges, hook, "u")
-        edges = _relabel(edges, hook, "v")
-        edges = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        even = most <= HOT_ROWS
+        edges = _relabel(_relabel(edges, hook, "u", even), hook, "v", even)
+        edges = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.col("turn") + 1).alias("turn")).distinct()
         edges = cut(edges)
     else:
         raise RuntimeError("contraction did not end")
     if not hooks:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
-    # expand backwards: the last round's hooks end at their targets, each earlier round's hooks
-    # lead to a vertex that either moved on in a later round or stayed
+    # expand backwards: the last round's hooks end at their targets; an earlier round's hook leads to
+    # a vertex that moved on in a later round, or stayed. The later side has one row a vertex; a hot
+    # target makes only the outer side uneven, which the adaptive skew join splits.
     final = hooks[-1]
-    for hook in reversed(hooks[:-1]):
+    for k, hook in enumerate(reversed(hooks[:-1])):
         on = final.select(F.col("id").alias("to"), F.col("to").alias("end"))
-        sizes = hook.groupBy("to").agg(F.count("*").alias("n"))
-        followed = split_join(hook, on.join(sizes, "to"), ["to"], "n").select("id", F.col("end").alias("to"))
-        stayed = hook.join(on.select("to"), "to", "left_anti").select("id", "to")
-        final = cut(followed.unionByName(stayed))
+        final = hook.join(on, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+        if k % CUT_EVERY == CUT_EVERY - 1:
+            final = cut(final)
+    final = cut(final)
     least = final.groupBy("to").agg(F.least(F.min("id"), F.first("to")).alias("group_id"), F.count("*").alias("n"))
     return split_join(final, least, ["to"], "n").select("id", "group_id")
 
 
-def _relabel(edges: DataFrame, hook: DataFrame, end: str) -> DataFrame:
+def _relabel(edges: DataFrame, hook: DataFrame, end: str, even: bool) -> DataFrame:
     to = hook.select(F.col("id").alias(end), F.col("to").alias("_to"), "n")
-    return split_join(edges, to, [end], "n").drop(end, "n").withColumnRenamed("_to", end)
+    joined = edges.join(to, end) if even else split_join(edges, to, [end], "n", HOT_ROWS)
+    return joined.drop(end, "n").withColumnRenamed("_to", end)
