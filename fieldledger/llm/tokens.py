@@ -23,4 +23,5 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
         for texts in batches:
             yield pd.Series([len(e.ids) for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)], dtype="int64")
 
-    return F.pandas_udf(count, T.LongType())(text)
+    # not deterministic, by name only: else a filter on the count is pushed down and texts are counted twice
+    return F.pandas_udf(count, T.LongType()).asNondeterministic()(text)
