@@ -35,7 +35,6 @@ TRADES = {
     "packaging": ["pkg", "pack"], "paper": ["ppr", "pape"], "pharma": ["phrm", "phar"], "polymers": ["polym", "poly"], "poultry": ["pltry", "poul"], "process equipment": ["proc equip", "proc eqpt", "proc"],
     "refining": ["refg", "refi"], "rubber": ["rbr", "rubb"], "services": ["svcs", "serv", "svc"], "systems supply": ["sys sup", "sys supp", "syst"], "technologies": ["tech", "techs"], "textiles": ["txtl", "txtls", "text"],
     "timber": ["tmbr", "timb"], "valve and pump": ["valve pump", "vlv and pmp", "valve and pmp", "vlv pmp", "valve n pump", "valve n pmp", "valv", "vlv"], "water products": ["wtr prod", "wtr prods", "wate"], "wire": ["wr"],
-    "supply": ["sup"], "holdings": ["hldgs"], "products": ["prods"], "construction": ["constr"],
 }
 # fixed values: first names and their short forms
 NICKNAMES = {
@@ -50,7 +49,8 @@ FIRST = {n: k for k, v in NICKNAMES.items() for n in [k, *v.split()]}
 TRAILERS = {"sons", "farms", "farm", "trucking", "sawmill", "daughters", "son"}
 
 SHORT = {s: t for t, ss in TRADES.items() for s in ss} | {t: t for t in TRADES} | {t.replace(" ", ""): t for t in TRADES}
-BY_LENGTH = sorted(((t.replace(" ", ""), t) for t in TRADES), key=lambda x: -len(x[0]))
+BY_LENGTH = sorted({(t.replace(" ", ""), t) for t in TRADES} | {(s.replace(" ", ""), t) for s, t in SHORT.items() if s.count(" ") and len(s) > 8}, key=lambda x: (-len(x[0]), x))
+TRADE_WORDS = {w for t in TRADES for w in t.split()}
 FULL = [k for k in NICKNAMES if len(k) >= 5]
 DIGITS = str.maketrans({"0": "o", "1": "l", "5": "s", "3": "e", "4": "a", "8": "b", "@": "a", "$": "s"})
 
@@ -79,9 +79,11 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def first_name(word: str) -> str | None:
+    if word in TRADE_WORDS:
+        return None
     if word in FIRST:
         return FIRST[word]
-    if len(word) >= 5:
+    if len(word) >= 4:
         for full in FULL:
             if word[0] == full[0] and abs(len(word) - len(full)) <= 1 and edits(word, full, 1) <= 1:
                 return full
@@ -132,7 +134,7 @@ def _bones(s: str) -> str:
 
 def bones(head: str) -> str:
     """Consonants of a name after folding letters often taken for one another."""
-    return re.sub("[aeiou]", "", head.replace("rn", "m").replace("ii", "u"))
+    return re.sub("[aeiou]", "", head).replace("rn", "m")
 
 
 def _legal(words: list[str]) -> tuple[list[str], str]:
@@ -219,8 +221,10 @@ def _person(words: list[str]) -> tuple[str, str, str, str, str] | None:
     if any(w in TRAILERS for w in rest[1:]):
         rest = [w for w in rest if w not in TRAILERS and w != "and"]
         trailer = True
-    letters = [w for w in rest if len(w) <= 2 and w.isalpha() and w not in FIRST and w not in ("co", "lp")]
+    letters = [w for w in rest if len(w) <= 2 and w.isalpha() and w not in FIRST and w not in SHORT and w not in ("co", "lp")]
     names = [w for w in rest if w not in letters]
+    if len(names) > 2:  # a misspelt trailer
+        names = [w for w in names if not (len(w) >= 4 and any(len(t) >= 4 and edits(w, t, 1) <= 1 for t in TRAILERS))]
     given = [(i, first_name(w)) for i, w in enumerate(names)]
     given = [(i, f) for i, f in given if f]
     if given and len(names) >= 2:
@@ -251,6 +255,7 @@ SITE_TYPES = {
     "office": ["ofc", "off"], "factory": ["fcty"], "foundry works": [], "center": ["ctr"],
 }
 # fixed values: words that tell sites of one owner apart
+LANDMARKS = {"chapel", "orchard", "tannery", "canal", "foundry", "landing", "furnace", "ferry"}
 SIDES = {
     "north": "n", "south": "s", "east": "e", "west": "w", "upper": "", "lower": "", "old": "", "new": "", "hillside": "", "harbor": "hbr", "river": "riv", "ridge": "rdg", "central": "ctrl", "main": "", "lake": "lk", "valley": "vly",
     "inner": "", "outer": "", "middle": "", "first": "", "second": "", "annex": "", "grove": "",
@@ -264,53 +269,43 @@ SIDE_OF = {s: t for t, x in SIDES.items() for s in [t, *x.split()] if len(s) > 1
 ROAD_WORDS = {x for k, v in ROADS.items() for x in (k, v)}
 
 
-def _tell_apart(words: list[str], towns: frozenset[str]) -> tuple[list[str], list[str], str]:
-    """Words left for the owner, the marks that tell sites apart, and the kind of site."""
+def _tell_apart(words: list[str], towns: frozenset[str], only: bool) -> tuple[list[str], list[str], str]:
+    """Words left for the owner, the marks that tell sites apart, and the kind of site. `only`: there is no other piece."""
     left, marks, kind, i = [], [], "", 0
     while i < len(words):
         w, after, later = words[i], words[i + 1] if i + 1 < len(words) else "", words[i + 2] if i + 2 < len(words) else ""
-        pair = f"{w} {after}"
-        if w in NUMBER_WORDS and after.isdigit():
+        pair, step = f"{w} {after}", 1
+        if later and _squeeze(pair + later) in towns or (after == "court" and later == "house"):
+            marks.append(f"t{_squeeze(pair + later)}")
+            step = 3
+        elif after and _squeeze(pair) in towns:
+            marks.append(f"t{_squeeze(pair)}")
+            step = 2
+        elif w in NUMBER_WORDS and after.isdigit():
             marks.append(f"n{int(after)}")
-            i += 2
-            continue
-        if w.isdigit():
+            step = 2
+        elif w.isdigit():
             marks.append(f"n{int(w)}")
-        elif w in UNIT_WORDS and len(after) == 1 and after.isalnum():
+        elif w in UNIT_WORDS and (len(after) == 1 and after.isalnum() or re.fullmatch(r"[a-z]{0,2}[0-9]+[a-z]?", after)):
             marks.append(f"u{after}")
-            i += 2
-            continue
-        elif w in UNIT_WORDS and re.fullmatch(r"[a-z]{0,2}[0-9]+[a-z]?", after):
-            marks.append(f"u{after}")
-            i += 2
-            continue
-        elif pair in TYPE_OF:
-            kind = TYPE_OF[pair]
-            i += 2
-            continue
+            step = 2
+        elif pair in TYPE_OF or (w in TYPE_OF and after not in ROAD_WORDS and (left or i or len(words) == 1 and not only or after in TYPE_OF or after and w not in ("mill", "kiln"))):
+            # of several kinds the last is the site's; an earlier one names a landmark (Old Mill Yard)
+            if kind:
+                marks.append(f"x{kind}")
+            kind, step = (TYPE_OF[pair], 2) if pair in TYPE_OF else (TYPE_OF[w], 1)
         elif after in ROAD_WORDS and len(w) >= 3:
             marks.append(f"r{w}")
-            i += 2
-            continue
-        elif after and _squeeze(pair) in towns and i + 2 <= len(words):
-            marks.append(f"t{_squeeze(pair)}")
-            i += 2
-            continue
-        elif later and _squeeze(pair + later) in towns:
-            marks.append(f"t{_squeeze(pair + later)}")
-            i += 3
-            continue
-        elif w in TYPE_OF and (left or i):
-            kind = TYPE_OF[w]
-        elif w in TYPE_OF and len(words) > i + 1 and (after in TYPE_OF or w not in ("mill", "kiln")):
-            kind = TYPE_OF[w]
+            step = 2
         elif w in SIDE_OF:
             marks.append(f"d{SIDE_OF[w]}")
+        elif w in LANDMARKS:
+            marks.append(f"x{w}")
         elif w in towns and len(w) >= 5:
             marks.append(f"t{w}")
         else:
             left.append(w)
-        i += 1
+        i += step
     return left, marks, kind
 
 
@@ -345,8 +340,10 @@ def parse_site(s: str, towns: frozenset[str] = frozenset()) -> list[tuple[str, s
         # the owner may stand after a comma: read each piece, then join what is left in order of speech
         lefts, marks, kind = [], [], ""
         for piece in pieces:
-            left, m, k = _tell_apart(words_of(piece), towns)
+            left, m, k = _tell_apart(words_of(piece), towns, len(pieces) == 1)
             marks += m
+            if k and kind:
+                marks.append(f"x{kind}")
             kind = k or kind
             if left:
                 lefts.append(" ".join(left))
@@ -369,4 +366,15 @@ def _owner_inside(rest: list[str], towns: frozenset[str]):
     left, marks, kind = _guess(rest, towns)
     if not left:
         left, marks, kind = rest, [], ""
-    return parse_owner(" ".join(left)), (left, marks, kind)
+    owner = parse_owner(" ".join(left))
+    if owner[0] == "o" and not owner[2] and len(left) > 1:
+        # head, trade, and words that could not be read: the first trade after the first word counts
+        for k in range(2, len(left) + 1):
+            trade, took = trade_of(left[:k])
+            if trade and took < k:
+                head = "".join(left[: k - took])
+                return ("o", head, trade, "", bones(head)), (left, marks, kind)
+        long = [w for w in left if len(w) >= 6 and w not in FILLER]
+        if long and len(owner[1]) > 15:
+            return ("o", long[0], "", "", bones(long[0])), (left, marks, kind)
+    return owner, (left, marks, kind)

@@ -69,10 +69,12 @@ def _cost() -> Column:
     """Negative log-likelihood of writing `head` for `c_head`; null beyond reach."""
     d = F.levenshtein("head", "c_head")
     each = F.lit(TYPO) * F.greatest(F.lit(1.0), F.lit(8.0) / F.length("c_head"))
-    bare = (F.col("bones") == F.col("c_bones")) & (F.length("head") < F.length("c_head")) & (F.length("bones") >= 4)
+    bare = (F.col("bones") == F.col("c_bones")) & (F.length("bones") >= 4)
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    swapped = (F.length("head") == F.length("c_head")) & (F.length("head") >= 9) & (d <= 4) & (letters("head") == letters("c_head"))
     reach = F.least(F.lit(3), F.floor(F.length("c_head") / 3).cast("int"))
     typo = F.when(d <= reach, each * d)
-    return F.least(F.when(d == 0, F.lit(0.0)), F.when(bare, F.lit(SHORTENED)), typo)
+    return F.least(F.when(d == 0, F.lit(0.0)), F.when(bare, F.lit(SHORTENED)), F.when(swapped, each * 2), typo)
 
 
 def _best(pairs: DataFrame, extra: Column | None = None) -> DataFrame:
