@@ -43,9 +43,10 @@ NICKNAMES = {
     "george": "geo", "gregory": "greg", "henry": "hank harry", "james": "jim jas jimmy jamie", "jennifer": "jen jenny", "john": "jack jno", "jonathan": "jon", "joseph": "joe jos joey", "katherine": "kate kathy kath katie kathie kay",
     "kenneth": "ken kenny", "lawrence": "larry", "margaret": "maggie peggy meg marge peg margie", "matthew": "matt", "michael": "mike mick", "nancy": "nan", "nicholas": "nick", "pamela": "pam", "patricia": "pat trish patty tricia patsy",
     "patrick": "paddy", "philip": "phil", "raymond": "ray", "rebecca": "becky", "richard": "dick rick rich richd ricky", "robert": "bob rob bobby robt robbie bert", "ronald": "ron", "samuel": "sam saml sammy", "sandra": "",
-    "stephen": "steve", "susan": "sue susie suzy susy", "theodore": "ted teddy theo", "thomas": "tom thos tommy", "timothy": "tim", "victoria": "vicky", "virginia": "ginny", "walter": "walt", "william": "bill will wm billy willie liam",
+    "stephen": "steve", "susan": "sue susie suzy susy", "theodore": "teddy theo", "thomas": "tom thos tommy", "timothy": "tim", "victoria": "vicky", "virginia": "ginny", "walter": "walt", "william": "bill will wm billy willie liam",
 }
-FIRST = {n: k for k, v in NICKNAMES.items() for n in [k, *v.split()]}
+AMBIGUOUS = {"ted": ["edward", "theodore"]}  # short for more than one name
+FIRST = {n: k for k, v in NICKNAMES.items() for n in [k, *v.split()]} | {n: n for n in AMBIGUOUS}
 TRAILERS = {"sons", "farms", "farm", "trucking", "sawmill", "daughters", "son"}
 
 SHORT = {s: t for t, ss in TRADES.items() for s in ss} | {t: t for t in TRADES} | {t.replace(" ", ""): t for t in TRADES}
@@ -104,11 +105,13 @@ def trade_of(words: list[str]) -> tuple[str | None, int]:
     for take in (3, 2, 1):
         if len(words) > take or (len(words) == take and take > 1):
             said = _squeeze("".join(words[-take:]))
-            for flat, t in BY_LENGTH:
-                if (take == 1) == (" " not in t) or take == 1:
-                    limit = 1 if len(flat) < 7 else 2
-                    if len(said) >= 4 and abs(len(said) - len(flat)) <= limit and edits(said, flat, limit) <= limit:
-                        return t, take
+            near = []
+            for flat, t in BY_LENGTH if len(said) >= 4 else ():
+                limit = 1 if len(flat) < 7 else 2
+                if (take == 1 or " " in t) and abs(len(said) - len(flat)) <= limit and (far := edits(said, flat, limit)) <= limit:
+                    near.append((far, t))
+            if near:
+                return min(near)[1], take
     # two words, each cut short or misspelt
     if len(words) >= 3:
         for t in TRADES:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import connected_components
-from .names import is_stand_in, owner_form
+from .names import AMBIGUOUS, is_stand_in, owner_form
 
 EDITS = 2
 FREQUENT = 5
@@ -128,7 +128,11 @@ def link_spellings(names: DataFrame, column: str) -> DataFrame:
     person = lead.filter("kind = 'p' AND length(part) > 1").withColumn("part", F.substring("part", 1, 1))
     initial = long.filter("kind = 'p' AND length(part) = 1")
     initials = _best(_near(initial, person, 1))
-    links = links.unionByName(unsaid.select("form", "c_form")).unionByName(alone.select("form", "c_form")).unionByName(twins).unionByName(initials.select("form", "c_form"))
+    # a short name of several names: to the full name of that family it may stand for
+    stands = F.create_map(*[x for k, v in AMBIGUOUS.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    short = long.filter(F.col("part").isin(*AMBIGUOUS)).withColumn("part", F.explode(F.try_element_at(stands, F.col("part"))))
+    shorts = _best(_near(short, lead.filter("kind = 'p' AND length(part) > 1"), 1))
+    links = links.unionByName(unsaid.select("form", "c_form")).unionByName(alone.select("form", "c_form")).unionByName(twins).unionByName(initials.select("form", "c_form")).unionByName(shorts.select("form", "c_form"))
 
     groups = connected_components(cut(links.distinct()), "form", "c_form").select(F.col("id").alias("form"), F.col("group_id"))
     grouped = cut(parsed.join(groups, "form", "left").select("spelling", "n", F.coalesce("group_id", "form").alias("group_id")))
