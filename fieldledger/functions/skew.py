@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 HOT_ROWS = 100_000
 HOT_KEYS = 1_000
 
@@ -27,3 +29,32 @@ def split_join(big: DataFrame, table: DataFrame, on: list[str], n: str, hot_rows
         tagged.filter("_hot").drop("_hot").join(F.broadcast(hot), on)
         .unionByName(tagged.filter("_hot IS NULL").drop("_hot").join(table.filter(F.col(n) <= limit), on))
     )
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], column: str, out: str, how: str, inclusive: bool = True) -> DataFrame:
+    """Running 'sum', 'max' or 'last' (not null) of `column` within `keys` by `order`, whatever share of the rows one key holds.
+
+    Rows are range-partitioned by keys and order, so a hot key spans several partitions; each
+    partition runs over its own rows, and what lies in a key's earlier partitions is carried in.
+    Only keys that span partitions need that: fewer of them than partitions, so they are broadcast.
+    Without a row before, the result is null. Rows that tie in `order` may stand in any order.
+    """
+    parts = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    tail = F.max(F.when(F.col(column).isNotNull(), F.struct(*order, F.col(column).alias("_v"))))["_v"] if how == "last" else over(column)
+    tails = parts.groupBy("_part", *keys).agg(tail.alias("_tail"))
+    before = over("_tail").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = cut(tails.withColumn("_ahead", before).filter("_ahead IS NOT NULL").drop("_tail"))
+    on = F.col("p._part") == F.col("a._part")
+    for k in keys:
+        on = on & F.col(f"p.{k}").eqNullSafe(F.col(f"a.{k}"))
+    joined = parts.withColumn("_own", over(column).over(w)).alias("p").join(F.broadcast(ahead).alias("a"), on, "left")
+    own, carried = F.col("p._own"), F.col("a._ahead")
+    value = {"sum": F.when(own.isNull(), carried).otherwise(own + F.coalesce(carried, F.lit(0))), "max": F.greatest(own, carried), "last": F.coalesce(own, carried)}[how]
+    return joined.select(*[F.col(f"p.{c}") for c in df.columns if c != out], value.alias(out))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Rows numbered from 1 within `keys` by `order`, which must not tie."""
+    return running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", out, "sum").drop("_one")

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.skew import numbered, running
 from ..session import cut
 
 # fixed values of progression
@@ -43,19 +44,11 @@ def without_undone(events: DataFrame, id_col: str = "id") -> DataFrame:
 def merge_order(changes: DataFrame, events: DataFrame) -> DataFrame:
     """(source, id, instant, turn): both logs in the order of replay: instant, ledger first, then order of append.
 
-    The position is a range-partitioned sort followed by per-partition numbering with offsets, so no
-    single task holds the stream; `turn` counts from 1.
+    `turn` counts from 1 over range partitions with offsets, so no single task holds the stream.
     """
     both = changes.select(F.lit("ledger").alias("source"), "id", "instant", F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord"))
     both = both.unionByName(events.select(F.lit("log").alias("source"), "id", "instant", F.lit(1).alias("src"), F.col("ord").cast("long").alias("ord")))
-    keys = ["instant", "src", "ord", "id"]
-    parts = both.filter("instant IS NOT NULL").repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
-    parts = cut(parts)
-    at = parts.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct(*keys)).alias("first"))
-    # one row a partition
-    ahead = at.select("part", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
-    return parts.withColumn("own", own).join(F.broadcast(ahead), "part").select("source", "id", "instant", (F.col("own") + F.col("ahead")).alias("turn"))
+    return numbered(both.filter("instant IS NOT NULL"), [], ["instant", "src", "ord", "id"], "turn").select("source", "id", "instant", "turn")
 
 
 def tap_weight(band: str, kind: str, base_band: str):
@@ -100,8 +93,7 @@ def as_of_status(taps: DataFrame, changes: DataFrame) -> DataFrame:
     """
     t = taps.select("entity_id", "tap_id", "instant", F.lit(1).alias("src"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("status"))
     c = changes.select("entity_id", F.lit(None).cast("string").alias("tap_id"), "instant", F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord"), "status")
-    w = Window.partitionBy("entity_id").orderBy("instant", "src", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    u = t.unionByName(c).withColumn("now", F.last("status", ignorenulls=True).over(w))
+    u = running(t.unionByName(c), ["entity_id"], ["instant", "src", "ord"], "status", "now", "last")
     return u.filter("src = 1").select("tap_id", "entity_id", "instant", F.coalesce("now", F.lit("active")).alias("status"))
 
 
@@ -111,12 +103,13 @@ def share_timeline(first_taps: DataFrame, status: DataFrame, pool: DataFrame) ->
     `pool`: id, cluster of core facilities; `first_taps`: entity_id, instant of the first advancing tap;
     `status`: entity_id, instant, ord, status. An entity counts while active; it is done once tapped.
     Every change of either is a step of plus or minus one; steps are summed by cluster and instant
-    before the running sum, so a window holds one row an instant, not one a tap.
+    before the running sum. Running values are taken over range partitions (skew.running), so neither
+    an entity of very many changes nor a cluster is one task.
     """
     e = pool.select(F.col("id").alias("entity_id"), "cluster").dropDuplicates(["entity_id"])
-    w = Window.partitionBy("entity_id").orderBy("instant", "ord")
     s = status.join(e, "entity_id", "left_semi").select("entity_id", "instant", "ord", (F.col("status") == "active").alias("live"))
-    s = s.withColumn("was", F.coalesce(F.lag("live").over(w), F.lit(True))).filter("live <> was")
+    s = running(s, ["entity_id"], ["instant", "ord"], "live", "was", "last", inclusive=False)
+    s = cut(s.filter(F.col("live") != F.coalesce("was", F.lit(True))))
     tap = first_taps.select("entity_id", F.col("instant").alias("tapped"))
     flips = s.join(tap, "entity_id", "left")
     one = F.when(F.col("live"), 1).otherwise(-1)
@@ -127,8 +120,8 @@ def share_timeline(first_taps: DataFrame, status: DataFrame, pool: DataFrame) ->
     tap_steps = at_tap.filter(F.coalesce(F.col("l.live"), F.lit(True))).select("entity_id", F.col("tapped").alias("instant"), F.lit(1).alias("done"), F.lit(0).alias("size"))
     steps = size_steps.unionByName(done_steps).unionByName(tap_steps).join(e, "entity_id").groupBy("cluster", "instant").agg(F.sum("done").alias("d"), F.sum("size").alias("z"))
     start = e.groupBy("cluster").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("cluster").orderBy("instant").rowsBetween(Window.unboundedPreceding, 0)
-    r = steps.withColumn("done", F.sum("d").over(run)).withColumn("z", F.sum("z").over(run)).join(start, "cluster").withColumn("size", F.col("n") + F.col("z"))
+    r = running(steps, ["cluster"], ["instant"], "d", "done", "sum")
+    r = running(r, ["cluster"], ["instant"], "z", "moved", "sum").join(start, "cluster").withColumn("size", F.col("n") + F.col("moved"))
     return r.select("cluster", "instant", "done", "size", F.bround(F.coalesce(F.try_divide("done", "size"), F.lit(0.0)), 6).alias("share"))
 
 
@@ -138,8 +131,8 @@ def milestones(timeline: DataFrame, advancing: DataFrame) -> DataFrame:
     `advancing`: cluster, instant. The timeline is read as of each such instant.
     """
     u = timeline.select("cluster", "instant", F.lit(0).alias("src"), "done", "size").unionByName(advancing.select("cluster", "instant", F.lit(1).alias("src"), F.lit(None).cast("long").alias("done"), F.lit(None).cast("long").alias("size")).distinct())
-    w = Window.partitionBy("cluster").orderBy("instant", "src").rowsBetween(Window.unboundedPreceding, 0)
-    now = u.withColumn("done", F.last("done", ignorenulls=True).over(w)).withColumn("size", F.last("size", ignorenulls=True).over(w)).filter("src = 1")
+    held = u.withColumn("held", F.when(F.col("src") == 0, F.struct("done", "size")))
+    now = running(held, ["cluster"], ["instant", "src"], "held", "now", "last").filter("src = 1").select("cluster", "instant", "now.done", "now.size")
     marks = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(p).alias("points")) for s, p in MILESTONES])
     met = now.withColumn("m", F.explode(marks)).filter("size > 0 AND done / size >= m.share")
     return met.groupBy("cluster", F.col("m.share").alias("share"), F.col("m.points").alias("points")).agg(F.min("instant").alias("instant"))
@@ -188,17 +181,15 @@ def transferred_stages(taps: DataFrame, transfers: DataFrame, most: int = 40) ->
     greatest rank in the source's segment before them, again and again until nothing changes.
     """
     t = transfers.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target")
-    w = Window.partitionBy("entity").orderBy("seq")
     events = taps.select(F.col("target").alias("entity"), "seq", F.lit("tap").alias("what"), F.col("tap_id").alias("id"), F.col("rank").cast("int").alias("rank"))
     events = events.unionByName(t.select(F.col("source").alias("entity"), "seq", F.lit("out").alias("what"), F.col("change_id").alias("id"), F.lit(0).alias("rank")))
     events = events.unionByName(t.select(F.col("target").alias("entity"), "seq", F.lit("in").alias("what"), F.col("change_id").alias("id"), F.lit(0).alias("rank")))
-    events = events.withColumn("segment", F.coalesce(F.sum(F.when(F.col("what") == "out", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    events = cut(events)
-    seg = Window.partitionBy("entity", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    events = running(events.withColumn("out", F.when(F.col("what") == "out", 1).otherwise(0)), ["entity"], ["seq"], "out", "segment", "sum", inclusive=False).drop("out")
+    events = cut(events.withColumn("segment", F.coalesce("segment", F.lit(0))))
     carried = cut(t.select(F.col("change_id").alias("id"), F.lit(0).alias("moved")))
     for _ in range(most):
         now = events.join(carried, "id", "left").withColumn("rank", F.when(F.col("what") == "in", F.coalesce("moved", F.lit(0))).otherwise(F.col("rank")))
-        now = now.withColumn("before", F.coalesce(F.max("rank").over(seg), F.lit(0)))
+        now = running(now, ["entity", "segment"], ["seq"], "rank", "before", "max", inclusive=False).withColumn("before", F.coalesce("before", F.lit(0)))
         fresh = cut(now.filter("what = 'out'").select("id", F.col("before").alias("moved")))
         changed = fresh.exceptAll(carried).limit(1).count()
         carried = fresh

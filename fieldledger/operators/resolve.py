@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import MILES_PER_DEGREE, miles
-from ..functions.rounding import fixed4
 from ..functions.grid import with_cell, with_near_cells
+from ..functions.rounding import fixed4
+from ..functions.skew import numbered
 from ..functions.text import FLAG_STOP, flag_tokens, fold_tokens, jaccard, squeeze, subset_either, truthy, words
 from ..session import cut
 
@@ -329,13 +330,10 @@ def unique_ids(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds `unique_id`: an id met once stays; others get the registration number or six hex digits of a hash of name and place,
     and rows still equal get -2, -3 ... in `order`.
 
-    Rows: id, name, lat, lon, registration. Numbering runs within one full key only, never over all rows.
+    Rows: id, name, lat, lon, registration. `order` must not tie. A row copied very often is numbered in parts.
     """
-    from pyspark.sql import Window
-
     counts = rows.groupBy("id").agg(F.count("*").alias("_n"))
     place = F.concat_ws("|", F.coalesce("name", F.lit("")), fixed4(F.coalesce("lat", F.lit(0.0))), fixed4(F.coalesce("lon", F.lit(0.0))))
     tail = F.coalesce(F.when(truthy("registration"), F.col("registration")), F.substring(F.sha1(place), 1, 6))
     r = rows.join(counts, "id").withColumn("_u", F.when(F.col("_n") > 1, F.concat_ws("-", "id", tail)).otherwise(F.col("id")))
-    k = F.row_number().over(Window.partitionBy("_u").orderBy(*order))
-    return r.withColumn("_k", k).withColumn("unique_id", F.when(F.col("_k") > 1, F.concat_ws("-", "_u", F.col("_k").cast("string"))).otherwise(F.col("_u"))).drop("_n", "_u", "_k")
+    return numbered(r, ["_u"], order, "_k").withColumn("unique_id", F.when(F.col("_k") > 1, F.concat_ws("-", "_u", F.col("_k").cast("string"))).otherwise(F.col("_u"))).drop("_n", "_u", "_k")

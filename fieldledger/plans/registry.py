@@ -158,12 +158,25 @@ def q08_colocated_links(spark, d):
     return resolve.colocation_links(entities(spark, d).select("id", "lat", "lon"))
 
 
-@catalog.query()
+GROUP_SQL = (
+    NEAR_SQL.replace("WITH e AS", "WITH RECURSIVE e AS").replace("SELECT DISTINCT id, lat, lon FROM entity", "SELECT id, min(struct_pack(lat := lat, lon := lon)).lat AS lat, min(struct_pack(lat := lat, lon := lon)).lon AS lon FROM entity").replace("lon IS NOT NULL)", "lon IS NOT NULL GROUP BY id)", 1)
+    + """, nbr AS (SELECT a AS id, b AS o FROM pair UNION ALL SELECT b, a FROM pair), m AS (SELECT id, min(o) AS m FROM nbr GROUP BY id),
+ f AS (SELECT x.id, CASE WHEN x.m < x.id THEN x.m WHEN y.m < x.id THEN y.m END AS nxt FROM m x JOIN m y ON y.id = x.m),
+ walk(id, cur) AS (SELECT id, id FROM f UNION ALL SELECT w.id, f.nxt FROM walk w JOIN f ON f.id = w.cur WHERE f.nxt IS NOT NULL),
+ grp AS (SELECT id, min(cur) AS site_group FROM walk GROUP BY id)"""
+)
+
+
+@catalog.query(sql=GROUP_SQL + " SELECT id, site_group FROM grp")
 def q09_colocated_groups(spark, d):
     return resolve.colocation_groups(entities(spark, d).select("id", "lat", "lon"))
 
 
-@catalog.query()
+@catalog.query(
+    sql=GROUP_SQL
+    + """, nm AS (SELECT id, min(name) AS name FROM entity GROUP BY id), small AS (SELECT site_group FROM grp GROUP BY 1 HAVING count(*) <= 8)
+        SELECT a.id, list(nm.name ORDER BY b.id) AS colocated FROM grp a JOIN small USING (site_group) JOIN grp b ON b.site_group = a.site_group AND b.id <> a.id JOIN nm ON nm.id = b.id GROUP BY a.id"""
+)
 def q09_colocated_names(spark, d):
     e = entities(spark, d).select("id", "name", "lat", "lon")
     return resolve.colocated_names(cut(resolve.colocation_groups(e)), e)
