@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.time import period_end
 from ..plans.catalog import Catalog
 from ..session import cut, table
-from .canon import map_values
+from .canon import AFTER, BEFORE, SHORT_FORMS, map_values
 from .components import connected_components
 from .linkage import link, prepare
 from .mixing import mix, report
@@ -28,8 +28,7 @@ catalog = Catalog()
 WITH RECURSIVE edge AS (SELECT DISTINCT entity_id AS u, duplicate_of AS v FROM ledger_change
     WHERE change = 'mark_duplicate' AND entity_id IS NOT NULL AND duplicate_of IS NOT NULL AND entity_id <> duplicate_of),
  both_ways AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge),
- reach(id, root) AS (SELECT DISTINCT u, u FROM both_ways
-    UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.id WHERE r.root < b.v OR TRUE)
+ reach(id, root) AS (SELECT DISTINCT u, u FROM both_ways UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.id)
 SELECT id AS entity_id, min(root) AS group_id FROM reach GROUP BY id
 """
 )
@@ -105,7 +104,31 @@ def p4_truth(spark, d):
 # ---------------------------------------------------------------- problem 7
 
 
-@catalog.query()
+def _ornament_rows(table: dict) -> str:
+    return ", ".join(f"('{f}', '{w}', {c})" for f, ws in table.items() for w, c in {"": False, **ws}.items())
+
+
+# the same rules by comparing every form with every entry
+P7_SQL = f"""
+WITH before(field, w, c) AS (VALUES {_ornament_rows(BEFORE)}), after(field, w, c) AS (VALUES {_ornament_rows(AFTER)}),
+ short(long_form, s) AS (VALUES {", ".join(f"('{w}', '{s}')" for w, ss in SHORT_FORMS.items() for s in ss)}),
+ entry AS (SELECT 'jurisdiction' AS field, place_id, label AS literal, lower(short_name) AS n, kind = 'city' AS is_city FROM place_ref WHERE kind IN ('county', 'city')
+           UNION ALL SELECT 'city', place_id, short_name, lower(short_name), false FROM place_ref WHERE kind IN ('city', 'town')),
+ fst AS (SELECT * FROM entry UNION SELECT field, place_id, literal, s || n[length(long_form) + 1:], is_city FROM entry JOIN short ON starts_with(n, long_form || ' ')),
+ lst AS (SELECT * FROM fst UNION SELECT field, place_id, literal, n[:length(n) - length(long_form)] || s, is_city FROM fst JOIN short ON ends_with(n, ' ' || long_form)),
+ ref AS (SELECT DISTINCT field, place_id, is_city, regexp_replace(n, '[^a-z]', '', 'g') AS ref FROM lst WHERE length(regexp_replace(n, '[^a-z]', '', 'g')) >= 3),
+ said AS (SELECT DISTINCT id, 'jurisdiction' AS field, jurisdiction AS value FROM entity WHERE id IS NOT NULL UNION SELECT DISTINCT id, 'city', city FROM entity WHERE id IS NOT NULL),
+ cases AS (SELECT * FROM said WHERE trim(value) <> '' AND NOT EXISTS (SELECT 1 FROM entry e WHERE e.field = said.field AND e.literal = said.value)),
+ typed AS (SELECT DISTINCT field, value, regexp_replace(lower(value), '[^a-z]', '', 'g') AS s FROM cases),
+ led AS (SELECT t.field, value, b.c AS lc, s[length(b.w) + 1:] AS s FROM typed t JOIN before b ON b.field = t.field AND starts_with(s, b.w)),
+ form AS (SELECT DISTINCT l.field, value, lc OR a.c AS says, s[:length(s) - length(a.w)] AS form FROM led l JOIN after a ON a.field = l.field AND ends_with(s, a.w) WHERE length(s) - length(a.w) >= 3),
+ near AS (SELECT f.field, f.value, f.says, r.place_id, r.is_city, levenshtein(f.form, r.ref) AS d, length(r.ref) AS n FROM form f JOIN ref r ON r.field = f.field AND abs(length(f.form) - length(r.ref)) <= 3),
+ best AS (SELECT field, value, min(struct_pack(d := d, k := says <> is_city, p := place_id)).p AS place_id FROM near WHERE d <= 3 AND d * 3 <= n GROUP BY 1, 2)
+SELECT DISTINCT c.id AS entity_id, c.field, coalesce(b.place_id, -1)::int AS place_id FROM cases c LEFT JOIN best b ON b.field = c.field AND b.value = c.value
+"""
+
+
+@catalog.query(sql=P7_SQL)
 def p7_found(spark, d):
     place = table(spark, d, "place_ref")
     county_city = place.filter("kind IN ('county', 'city')").select(F.lit("jurisdiction").alias("field"), F.col("place_id").alias("ref_id"), "label", F.col("short_name").alias("name"), (F.col("kind") == "city").alias("is_city"))
