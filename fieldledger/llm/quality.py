@@ -38,12 +38,11 @@ SPECKS = r"^[lIi1|!'`´~_.,\-\s]+$"
 NUMBER = r"^[-+]?[0-9][0-9.,]*%?$"
 
 
-def _common(words: DataFrame) -> str:
+def _common(words: DataFrame) -> list[str]:
     rows = words.filter("word IS NOT NULL").select(F.lower(F.trim("word")).alias("w")).distinct().limit(MAX_COMMON + 1).collect()
     if len(rows) > MAX_COMMON:
         raise ValueError(f"more than {MAX_COMMON} common words")
-    kept = sorted(r[0] for r in rows if r[0].isalpha())
-    return r"(?<!\p{L})(?:" + "|".join(kept or ["the"]) + r")(?!\p{L})"
+    return sorted(r[0] for r in rows)
 
 
 def _count(col, pattern):
@@ -62,26 +61,31 @@ def text_statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     low = F.lower(F.col("s"))
     m = (
         lines.select("doc_id", s.alias("s"))
-        .withColumn("chars", F.length(F.regexp_replace("s", r"\s+", "")))
-        .withColumn("letters", _count(F.col("s"), r"\p{L}"))
-        .withColumn("digits", _count(F.col("s"), r"[0-9]"))
-        .withColumn("words", _count(F.col("s"), r"\p{L}+(?:['’-]\p{L}+)*"))
-        .withColumn("common", _count(low, common))
+        .withColumn("tokens", F.regexp_extract_all(low, F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), 0))
+        .withColumn("chars", F.length(F.translate("s", " \t\f\r\v", "")))
+        .withColumn("letters", F.length(F.translate(F.array_join("tokens", ""), "'’-", "")))
+        .withColumn("digits", F.length("s") - F.length(F.translate("s", "0123456789", "")))
+        .withColumn("words", F.size("tokens"))
+        .withColumn("common", F.size(F.filter("tokens", lambda t: t.isin(common))))
         .withColumn("gaps", _count(F.trim(F.col("s")), r"\S {2,}(?=\S)"))
         .withColumn("singles", _count(F.col("s"), r"(?<!\S)\p{L}(?!\S)"))
-        .withColumn("tabs", _count(F.trim(F.col("s")), r"\t"))
-        .withColumn("pipes", _count(F.col("s"), r"\|"))
+        .withColumn("tabs", F.length(F.trim("s")) - F.length(F.translate(F.trim("s"), "\t", "")))
+        .withColumn("pipes", F.length("s") - F.length(F.translate("s", "|", "")))
         .withColumn("semis", _count(F.col("s"), r";(?! )"))
         .withColumn("commas", _count(F.col("s"), r",(?! )"))
         .withColumn("stops", _count(F.col("s"), r"[,;](?: |$)| [/·•] "))
         .withColumn("garbled", _count(F.col("s"), GARBLED))
         .withColumn("knots", _count(low, r"[bcdfghjklmnpqrstvwxz]{4,}|(?<!\p{L})[bcdfghjklmnpqrstvwxz]{3,}(?!\p{L})|q(?!u)"))
         .withColumn("tags", _count(F.col("s"), r"(?<!\S)#\p{L}"))
-        .withColumn("forms", F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), 0))))
+        .withColumn("forms", F.size(F.array_distinct("tokens")))
+        .withColumn("marker", F.col("s").rlike(MARKER))
+        .withColumn("leader", F.col("s").rlike(LEADER))
+        .withColumn("labelled", F.col("s").rlike(LABELLED))
+        .drop("tokens")
     )
     n = F.greatest(F.col("words"), F.lit(1))
     share = F.col("common") / n
-    ends = F.col("s").rlike(r"[.!?…][\"'”’)\]]*$") & ~F.col("s").rlike(LEADER)
+    ends = F.col("s").rlike(r"[.!?…][\"'”’)\]]*$") & ~F.col("leader")
     sentence = (F.col("words") >= 6) & (share >= 0.22)
     numbers_only = F.expr(f"forall(filter(split(trim(s), ' +'), t -> t <> ''), t -> t rlike '{NUMBER}')")
     rule = F.col("s").rlike(r"^[\s|+:=-]+$") & (F.col("chars") >= 3)
@@ -101,15 +105,15 @@ def text_statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
         | ((F.col("gaps") >= 1) & ~sentence & (F.col("gaps") <= 20) & ((F.col("digits") > 0) | (F.col("words") > F.col("gaps") + 1) | (F.col("gaps") <= 6)) & ((F.col("letters") > 0) | numbers_only))
     )
     noise = (F.col("chars") >= 2) & (F.col("letters") * 2 < F.col("chars")) & ~numbers_only
-    item = F.col("s").rlike(MARKER) | F.col("s").rlike(LEADER) | (F.col("s").rlike(LABELLED) & ~sentence)
+    item = F.col("marker") | F.col("leader") | (F.col("labelled") & ~sentence)
     in_line = (F.col("stops") >= 2) & (share < 0.12) & (F.col("words") <= 5 * (F.col("stops") + 1))
     bare = (F.col("words") <= 7) & ~ends & (share < 0.3)
     kind = (
-        F.when(F.col("chars") == 0, "none").when(junk, "junk").when(F.col("s").rlike(MARKER) & (F.col("letters") > 2), F.when(sentence & (F.col("words") >= 9), "prose").otherwise("list"))
+        F.when(F.col("chars") == 0, "none").when(junk, "junk").when(F.col("marker") & (F.col("letters") > 2), F.when(sentence & (F.col("words") >= 9), "prose").otherwise("list"))
         .when(table, "table").when(item & (F.col("letters") > 1), "list").when(noise, "junk").when(sentence, "prose").when(in_line, "list")
         .when(bare, "list").when(((share >= 0.08) & (F.col("gaps") == 0)) | (ends & (F.col("words") <= 12)), "prose").otherwise("junk")
     )
-    typed = m.withColumn("kind", kind).withColumn("ends", ends & (F.col("chars") > 0)).withColumn("marked", F.col("s").rlike(MARKER) | F.col("s").rlike(LEADER) | F.col("s").rlike(LABELLED))
+    typed = m.withColumn("kind", kind).withColumn("ends", ends & (F.col("chars") > 0)).withColumn("marked", F.col("marker") | F.col("leader") | F.col("labelled"))
     w = lambda k: F.sum(F.when(F.col("kind") == k, F.col("chars")).otherwise(0)).alias(f"w_{k}")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     sums = typed.groupBy("doc_id").agg(
