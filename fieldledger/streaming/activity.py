@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.time import instant_micros
 from ..operators.progress import ACTION_RANK
-from ..session import shared_folder
+from ..session import cut, shared_folder
 
 LATE = "2 days"
 
@@ -102,13 +102,10 @@ def admission_stream(candidates: DataFrame, known, log_path: str, rejected_path:
 
     def write(batch: DataFrame, epoch: int) -> None:
         log = spark.read.schema(batch.schema).parquet(log_path)
-        ok, bad = admit(batch.dropDuplicates(["id"]), known(), log)
-        ok.persist()
-        try:
-            ok.write.mode("append").parquet(log_path)
-        finally:
-            ok.unpersist()
+        # both verdicts are fixed before the log changes; a batch that is run again finds its ids taken
+        ok, bad = (cut(x) for x in admit(batch.dropDuplicates(["id"]), known(), log))
         bad.write.mode("append").parquet(rejected_path)
+        ok.write.mode("append").parquet(log_path)
 
     return candidates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
@@ -155,7 +152,10 @@ class StageKeeper(StatefulProcessor):
 
 
 def live_stages(stream: DataFrame) -> DataFrame:
-    """(entity_id, tap_id, old_rank, new_rank) as taps arrive; undo and late taps are for the batch replay."""
+    """(entity_id, tap_id, old_rank, new_rank) as taps arrive; undo and late taps are for the batch replay.
+
+    Keyed state needs the RocksDB provider: spark.sql.streaming.stateStore.providerClass.
+    """
     rank = F.try_element_at(F.create_map(*[F.lit(x) for kv in ACTION_RANK.items() for x in kv]), F.col("action"))
     t = stream.withColumn("rank", rank.cast("int")).withColumn("instant", instant_micros("ts")).filter("rank IS NOT NULL AND entity_id IS NOT NULL AND instant IS NOT NULL")
     keyed = t.select("entity_id", "id", "rank", "instant").groupBy("entity_id")

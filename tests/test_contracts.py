@@ -181,6 +181,32 @@ def test_streams(spark, tmp_path):
     assert sorted(seen) == ["a", "b", "c"]
 
 
+def test_live_stages(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = [("a", "surveyed", "E", "2026-01-01T00:00:00Z"), ("b", "won", "E", "2026-01-02T00:00:00Z"), ("c", "met", "E", "2026-01-03T00:00:00Z"), ("d", "met", "F", "2026-01-03T00:00:00Z"), ("e", "met", None, None)]
+        spark.createDataFrame(rows, "id string, action string, entity_id string, ts string").write.parquet(str(tmp_path / "log.parquet"))
+        seen = []
+        activity.run_available(activity.live_stages(activity.read_log(spark, str(tmp_path / "log.parquet"))), "append", lambda b, e: seen.extend(map(tuple, b.collect())))
+        assert sorted(seen) == [("E", "a", 0, 1), ("E", "b", 1, 4), ("F", "d", 0, 2)]
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_admission_stream_appends_what_is_allowed(spark, tmp_path):
+    f = "id string, ts string, actor string, action string, entity_id string, undo_of string, role string, band string"
+    spark.createDataFrame([("t0", "", "", "met", "E1", None, None, None)], f).write.parquet(str(tmp_path / "log"))
+    rows = [("a", "", "", "won", "E1", None, None, None), ("b", "", "", "won", "zz", None, None, None), ("t0", "", "", "won", "E1", None, None, None)]
+    spark.createDataFrame(rows, f).write.parquet(str(tmp_path / "in"))
+    known = lambda: spark.createDataFrame([("E1", "active", "High")], "id string, status string, band string")
+    q = activity.admission_stream(activity.read_log(spark, str(tmp_path / "in")), known, str(tmp_path / "log"), str(tmp_path / "bad"), str(tmp_path / "cp"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["id"], r["band"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [("a", "High"), ("t0", None)]
+    assert sorted((r["id"], r["code"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [("b", 400), ("t0", 409)]
+
+
 def test_entry_works_without_the_llm_folder():
     import __spark_entry__ as e
 
