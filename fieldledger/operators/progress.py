@@ -138,6 +138,17 @@ def milestones(timeline: DataFrame, advancing: DataFrame) -> DataFrame:
     return met.groupBy("cluster", F.col("m.share").alias("share"), F.col("m.points").alias("points")).agg(F.min("instant").alias("instant"))
 
 
+def history(paid: DataFrame, met: DataFrame, most: int = 200) -> DataFrame:
+    """(instant, subject, what, points): the last `most` stages and milestones, newest first.
+
+    `paid` as from stage_points, `met` as from milestones.
+    """
+    names = F.array(*[F.lit(s) for s in STAGES])
+    a = paid.select(F.col("seq.instant").alias("instant"), F.col("entity_id").alias("subject"), F.element_at(names, F.col("new_rank") + 1).alias("what"), F.col("points").cast("long").alias("points"))
+    b = met.select("instant", F.col("cluster").alias("subject"), F.concat(F.lit("share "), F.col("share").cast("string")).alias("what"), F.col("points").cast("long").alias("points"))
+    return a.unionByName(b).orderBy(F.desc("instant"), "subject", "what").limit(most)
+
+
 def rank_ladder(spark: SparkSession) -> DataFrame:
     """(level, min_points): thresholds grow as a power of the step, rounded half to even to a multiple, strictly rising."""
     top, last, step = LADDER["top_points"], LADDER["steps"] - 1, LADDER["round_to"]

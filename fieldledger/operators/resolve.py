@@ -288,9 +288,7 @@ def near_duplicates(rows: DataFrame, most: float = 1.2, least: float = 0.55, rar
     sets = t.join(df, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
     r = cut(rows.filter("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon", "jurisdiction").join(sets, "id"))
     side = most / MILES_PER_DEGREE / 0.76
-    n = F.size("ts")
     pre = r.withColumn("token", F.explode(F.expr(f"slice(ts, 1, cast(size(ts) - ceil(size(ts) * {least}) + 1 AS int)).token"))).drop("ts")
-    del n
     a = with_near_cells(pre, "lat", "lon", side).select(F.col("id").alias("a"), "jurisdiction", "cell", "token")
     b = with_cell(pre, "lat", "lon", side).select(F.col("id").alias("b"), "jurisdiction", "cell", "token")
     same = F.col("x.jurisdiction").eqNullSafe(F.col("y.jurisdiction"))

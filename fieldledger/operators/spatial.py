@@ -68,7 +68,6 @@ class Tree:
 
     def __init__(self, cells: DataFrame, depth: int, leaf_rows: int):
         self.depth = depth
-        up = F.lit(depth) - F.col("level")
         nodes = (
             cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
             .withColumn("x", F.expr(f"shiftright(cx, {depth} - level)"))
@@ -82,7 +81,6 @@ class Tree:
             .withColumn("parent", F.when(F.col("level") > 0, _key(F.col("level") - 1, F.expr("shiftright(x, 1)"), F.expr("shiftright(y, 1)"))))
             .withColumn("leaf", (F.col("n") <= leaf_rows) | (F.col("level") == depth))
         )
-        del up
         nodes = cut(nodes)
         split = nodes.filter(~F.col("leaf")).select(F.col("key").alias("parent"))
         # children of split nodes; a node whose parent is a leaf has no place in the tree

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.time import instant_micros
 from ..operators import geo_etl, ledger, progress, signals, validate
@@ -210,6 +209,10 @@ def q37_cluster_share_timeline(spark, d):
  SELECT cluster, m.share::double AS share, m.points::int AS points, min(instant) AS instant FROM held, (VALUES (0.1::double, 5), (0.25, 15), (0.5, 30), (0.75, 50)) m(share, points) WHERE size > 0 AND done / size >= m.share GROUP BY 1, 2, 3"""
 )
 def q38_milestones(spark, d):
+    return _milestones(spark, d)
+
+
+def _milestones(spark, d):
     adv = progress.advancing_taps(taps(spark, d)).join(known(spark, d).select(F.col("id").alias("entity_id"), "cluster"), "entity_id").select("cluster", F.col("seq.instant").alias("instant"))
     return progress.milestones(cut(_timeline(spark, d)), adv)
 
@@ -549,4 +552,14 @@ def q67_compose(spark, d):
     return count("entities", s["registry"]).unionByName(count("retired", s["registry"].filter("status <> 'active'"))).unionByName(count("taps", s["taps"])).unionByName(one("stage_points", points))
 
 
-SCHEMA_OF_EVENT = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "ts", "actor", "action", "entity_id", "undo_of", "role", "band")])
+@catalog.query(
+    sql=SHARE_SQL
+    + """, seen AS (SELECT DISTINCT p.cluster, a.instant FROM adv a JOIN ent p ON p.id = a.entity_id),
+ held AS (SELECT seen.cluster, seen.instant, t.done, t.size FROM seen ASOF JOIN tl t ON seen.cluster = t.cluster AND seen.instant >= t.instant),
+ met AS (SELECT cluster, m.share AS share, m.points AS points, min(instant) AS instant FROM held, (VALUES (0.1::double, 5), (0.25, 15), (0.5, 30), (0.75, 50)) m(share, points) WHERE size > 0 AND done / size >= m.share GROUP BY 1, 2, 3)
+ SELECT instant, entity_id AS subject, ['surveyed', 'landfall', 'established', 'anchored'][rank] AS what, points::bigint AS points FROM points
+ UNION ALL SELECT instant, cluster, 'share ' || share::double::varchar, points::bigint FROM met ORDER BY instant DESC, subject, what LIMIT 200"""
+)
+def q68_history(spark, d):
+    """The last 200 stages and milestones."""
+    return progress.history(paid(spark, d), cut(_milestones(spark, d)))

@@ -127,7 +127,7 @@ def test_share_timeline_and_milestones_equal_a_replay(spark, seed):
 
 
 def replay_transfers(events):
-    stage, dup, adv = {}, {}, []
+    stage, adv = {}, []
     for kind, _, rec in events:
         if kind == "mark":
             change_id, source, target = rec
@@ -146,7 +146,7 @@ def replay_transfers(events):
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_transferred_stages_equal_a_replay(spark, seed):
     rng = random.Random(seed)
-    events, marked = [], set()
+    events = []
     for at in range(40):
         if rng.random() < 0.25:
             i = rng.randrange(1, 8)
@@ -154,7 +154,6 @@ def test_transferred_stages_equal_a_replay(spark, seed):
             events.append(("mark", at, (f"c{at}", f"e{i}", target)))
         else:
             events.append(("tap", at, (f"t{at}", f"e{rng.randrange(8)}", rng.randint(1, 4))))
-    del marked
     taps = spark.createDataFrame([(r[0], r[1], r[2], at) for k, at, r in events if k == "tap"], "tap_id string, target string, rank int, seq long")
     marks = spark.createDataFrame([(r[0], r[1], r[2], at) for k, at, r in events if k == "mark"], "change_id string, source string, target string, seq long")
     stages, adv = progress.transferred_stages(taps, marks)
