@@ -190,7 +190,7 @@ def linked_sites(spark, d):
     places = table(spark, d, "place_ref")
     registry = prepare(table(spark, d, "entity").select("id", "name", "lat", "lon", "jurisdiction"), places)
     said = table(spark, d, "site_record").select(F.col("rec_id").alias("id"), "name", "lat", "lon", "jurisdiction", "coord_precision")
-    raw = prepare(said, places, F.coalesce("coord_precision", F.lit("site")) == "site")
+    raw = prepare(said, places, F.col("coord_precision") == "site")
     return link(registry, raw)
 
 
