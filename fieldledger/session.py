@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -34,12 +35,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made.
+    Where that is unset, a temporary folder serves a local master (tests, a laptop); on any
+    other master it is an error, for executors would not find one another's files.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if named is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="fieldledger-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
@@ -53,3 +57,19 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free(*frames: DataFrame | None) -> None:
+    """Delete the files of frames made by `cut`, none of which anything still to be computed reads.
+
+    Loops call it with a round's frames once the next round is cut, so their disk does not grow
+    with the number of rounds. Frames not made by `cut` are left alone.
+    """
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed() if df is not None else None
+        if plan is None or plan.nodeName() != "LogicalRDD" and not plan.toString().startswith("LogicalRDD"):
+            continue
+        at = plan.rdd().getCheckpointFile()
+        if at.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
