@@ -1,13 +1,17 @@
 """Dual-tree spatial joins: points near points, and regions containing points.
 
-Both sides are held as quadtrees whose nodes are rows (key, bounding box, row count).
-A frontier of node pairs starts at the two roots. Each round joins the frontier with
-the children of both sides and sorts the new pairs into
+Both sides are held as quadtrees whose nodes are rows (key, tight bounding box, row count), two
+levels of the grid apart, so a node has at most sixteen children. A frontier of node pairs starts
+at the two roots. Each round joins the frontier with the children of its own level only, on both
+sides, and sorts the new pairs into
   discarded  no point of one box can be near the other box,
   certain    every point of one box is near every point of the other: taken wholesale,
   leaf       both nodes are leaves, but the boxes do not decide: points are compared,
   open       carried into the next round.
-Nodes, pairs and points are DataFrames all along; only counts reach the driver.
+Pairs carry their boxes, so a leaf waiting for the other side to come down joins nothing. Each side
+has a grid of its own, since only boxes are compared. Nodes, pairs and points are DataFrames all
+along; only extremes and counts reach the driver. A round's open pairs are freed once the next
+round is written.
 
 Nulls: a point without id, latitude or longitude (or with NaN) matches nothing.
 Repeated points give repeated results unless the caller removes them. Empty inputs give
@@ -18,15 +22,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import MILES_PER_DEGREE, SITE_LATITUDE, in_ring, lon_miles, ring_meets_box
 from ..functions.skew import split_join
-from ..session import cut
+from ..session import cut, free
 
 LEAF_ROWS = 64  # a node of at most so many points is not split
+STEP = 2  # levels of the grid between a node and its children
 MAX_DEPTH = 14
+SMALL_LEVEL = 6  # levels above hold at most 4^6 nodes, few enough to broadcast
 SLICE_ROWS = 20_000  # a leaf of more points (all close together) is compared in slices
 SLACK = 1e-9  # miles left to rounding when boxes decide
 
@@ -40,86 +46,110 @@ def _clean(df: DataFrame, id_col: str, lat: str, lon: str) -> DataFrame:
     )
 
 
-def _bounds(*sides: DataFrame):
-    """One row of extremes and the row counts; None if a side is empty."""
-    rows = [s.agg(F.count("*"), F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first() for s in sides]
-    if any(r[0] == 0 for r in rows):
-        return None
-    lo_lat, lo_lon = min(r[1] for r in rows), min(r[2] for r in rows)
-    span = max(max(r[3] for r in rows) - lo_lat, max(r[4] for r in rows) - lo_lon, 1e-6) * (1 + 1e-9)
-    depth = max(3, min(MAX_DEPTH, math.ceil(math.log(max(max(r[0] for r in rows) / LEAF_ROWS, 1), 4)) + 4))
-    return lo_lat, lo_lon, span, depth
-
-
 def _key(level, x, y):
     """One long for (level, x, y); 29 bits a coordinate."""
     return F.shiftleft(level.cast("long"), 58).bitwiseOR(F.shiftleft(x.cast("long"), 29)).bitwiseOR(y.cast("long"))
 
 
-def _with_cell(df: DataFrame, grid) -> DataFrame:
-    lo_lat, lo_lon, span, depth = grid
-    side = float(2**depth)
-    at = lambda c, lo: F.floor((F.col(c) - F.lit(lo)) / F.lit(span) * F.lit(side)).cast("long")
-    return df.withColumn("cx", at("lon", lo_lon)).withColumn("cy", at("lat", lo_lat))
+def _above(level: str, x: str, y: str, at: str):
+    """Key of the node at level `at` that holds node (level, x, y)."""
+    return _key(F.col(at), F.expr(f"shiftright({x}, {level} - {at})"), F.expr(f"shiftright({y}, {level} - {at})"))
+
+
+class Grid:
+    """The square over one side's points and the depth its tree may reach; `n` is 0 for an empty side."""
+
+    def __init__(self, side: DataFrame, lo=("lat", "lon"), hi=("lat", "lon")):
+        r = side.agg(F.count("*"), F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon"), F.min(lo[0]), F.min(lo[1]), F.max(hi[0]), F.max(hi[1])).first()
+        self.n, self.box = r[0], tuple(r[5:9])
+        if self.n:
+            self.lo_lat, self.lo_lon = r[1], r[2]
+            self.span = max(r[3] - r[1], r[4] - r[2], 1e-6) * (1 + 1e-9)
+            deep = math.ceil(math.log(max(self.n / LEAF_ROWS, 1), 4)) + 4
+            self.depth = min(MAX_DEPTH, math.ceil(deep / STEP) * STEP)
+
+    def with_cell(self, df: DataFrame) -> DataFrame:
+        at = lambda c, lo: F.floor((F.col(c) - F.lit(lo)) / F.lit(self.span) * F.lit(float(2**self.depth))).cast("long")
+        return df.withColumn("cx", at("lon", self.lo_lon)).withColumn("cy", at("lat", self.lo_lat))
 
 
 class Tree:
-    """A quadtree as rows. `steps`: node -> its children (a leaf: itself); `leaves`: cell -> leaf."""
+    """A quadtree as rows. `steps`: each node but the root under its parent `at` of level `at_level`."""
 
-    def __init__(self, cells: DataFrame, depth: int, leaf_rows: int):
-        self.depth = depth
+    def __init__(self, cells: DataFrame, grid: Grid, leaf_rows: int):
+        self.depth, self.grid, self.root_leaf = grid.depth, grid, grid.n <= leaf_rows
         nodes = (
-            cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-            .withColumn("x", F.expr(f"shiftright(cx, {depth} - level)"))
-            .withColumn("y", F.expr(f"shiftright(cy, {depth} - level)"))
+            cells.withColumn("level", F.explode(F.sequence(F.lit(STEP), F.lit(self.depth), F.lit(STEP))))
+            .withColumn("x", F.expr(f"shiftright(cx, {self.depth} - level)"))
+            .withColumn("y", F.expr(f"shiftright(cy, {self.depth} - level)"))
             .groupBy("level", "x", "y")
             .agg(
                 F.sum("n").alias("n"), F.min("lo_lat").alias("lo_lat"), F.min("lo_lon").alias("lo_lon"),
                 F.max("hi_lat").alias("hi_lat"), F.max("hi_lon").alias("hi_lon"),
             )
+            .withColumn("at_level", F.col("level") - STEP)
+            .withColumn("at", _above("level", "x", "y", "at_level"))
             .withColumn("key", _key(F.col("level"), F.col("x"), F.col("y")))
-            .withColumn("parent", F.when(F.col("level") > 0, _key(F.col("level") - 1, F.expr("shiftright(x, 1)"), F.expr("shiftright(y, 1)"))))
-            .withColumn("leaf", (F.col("n") <= leaf_rows) | (F.col("level") == depth))
+            .withColumn("leaf", (F.col("n") <= leaf_rows) | (F.col("level") == self.depth))
+            # at most sixteen rows a window; a parent of few rows is a leaf, and what is under it no node
+            .withColumn("whole", F.sum("n").over(Window.partitionBy("at")))
+            .filter(F.col("whole") > leaf_rows)
         )
-        nodes = cut(nodes)
-        split = nodes.filter(~F.col("leaf")).select(F.col("key").alias("parent"))
-        # children of split nodes; a node whose parent is a leaf has no place in the tree
-        kept = nodes.filter("level = 0").unionByName(nodes.join(split, "parent", "left_semi").select(nodes.columns))
-        self.nodes = cut(kept.select("level", "x", "y", "key", "parent", "leaf", "n", *BOX))
-        down = self.nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("at"), "key", "leaf", "n", *BOX)
-        stay = self.nodes.filter("leaf").select(F.col("key").alias("at"), "key", "leaf", "n", *BOX)
-        self.steps = down.unionByName(stay)
-        self.root = 0
+        self.steps = cut(nodes.select("at_level", "at", "key", "leaf", "n", *BOX, "level", "x", "y"))
+
+    def leaves(self) -> DataFrame:
+        """(leaf_key, level, x, y, n)"""
+        below = self.steps.filter("leaf").select(F.col("key").alias("leaf_key"), "level", "x", "y", "n")
+        if not self.root_leaf:
+            return below
+        return self.steps.sparkSession.createDataFrame([(0, 0, 0, 0, self.grid.n)], "leaf_key long, level int, x long, y long, n long")
 
     def under(self) -> DataFrame:
         """(node, leaf): each leaf below each node, itself included."""
-        lv = self.nodes.filter("leaf").select("level", "x", "y", F.col("key").alias("leaf_key"))
-        return (
-            lv.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("level"))))
-            .select(
-                _key(F.col("l"), F.expr("shiftright(x, level - l)"), F.expr("shiftright(y, level - l)")).alias("node"), "leaf_key"
-            )
-        )
+        up = self.leaves().withColumn("l", F.explode(F.sequence(F.lit(0), F.col("level"), F.lit(STEP))))
+        return up.select(_above("level", "x", "y", "l").alias("node"), "leaf_key")
+
+    def homes(self, cells: DataFrame) -> DataFrame:
+        """Cells (cx, cy, ...) with `leaf_key` and the leaf's rows `leaf_n`."""
+        up = cells.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(self.depth), F.lit(STEP)))).withColumn("d", F.lit(self.depth))
+        up = up.withColumn("leaf_key", _above("d", "cx", "cy", "l")).drop("l", "d")
+        return up.join(self.leaves().select("leaf_key", F.col("n").alias("leaf_n")), "leaf_key")
 
     def place(self, points: DataFrame, cells: DataFrame) -> DataFrame:
         """Points with `leaf_key` and `slice`; a leaf of many points is spread over slices."""
-        depth = self.depth
-        up = cells.select("cx", "cy", "n").withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-        up = up.withColumn("leaf_key", _key(F.col("l"), F.expr(f"shiftright(cx, {depth} - l)"), F.expr(f"shiftright(cy, {depth} - l)")))
-        leaves = self.nodes.filter("leaf").select(F.col("key").alias("leaf_key"), F.col("n").alias("leaf_n"))
-        where = cut(up.join(leaves, "leaf_key").select("cx", "cy", "n", "leaf_key", F.ceil(F.col("leaf_n") / SLICE_ROWS).cast("int").alias("slices")))
+        where = self.homes(cells.select("cx", "cy", "n")).select("cx", "cy", "n", "leaf_key", F.ceil(F.col("leaf_n") / SLICE_ROWS).cast("int").alias("slices"))
         return (
-            split_join(points, where, ["cx", "cy"], "n")
+            split_join(points, cut(where), ["cx", "cy"], "n")
             .withColumn("slice", F.pmod(F.xxhash64("id", "lat", "lon"), F.col("slices").cast("long")).cast("int"))
             .drop("cx", "cy", "n", "slices")
         )
 
     def sliced(self, pairs: DataFrame, key: str, out: str) -> DataFrame:
         """Each pair once for every slice of the leaf in `key`."""
-        s = self.nodes.filter("leaf").select(F.col("key").alias(key), F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices"))
+        s = self.leaves().select(F.col("leaf_key").alias(key), F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices"))
         return pairs.join(s, key).withColumn(out, F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
 
 
+class PointIndex:
+    """Points with their grid, cells and tree, for several joins against one set of points."""
+
+    def __init__(self, points: DataFrame, id_col: str, lat: str = "lat", lon: str = "lon"):
+        p = cut(_clean(points, id_col, lat, lon))  # read for the grid, the cells and the result
+        self.grid = Grid(p)
+        self.empty = self.grid.n == 0
+        self.ids = p.select(F.col("id").alias("l_id"))
+        if not self.empty:
+            self.points = self.grid.with_cell(p)
+            self.cells = cut(_cells(self.points))
+            self.tree = Tree(self.cells, self.grid, LEAF_ROWS)
+            self._placed = None
+
+    def placed(self) -> DataFrame:
+        if self._placed is None:
+            self._placed = self.tree.place(self.points, self.cells)
+        return self._placed
+
+
 def _cells(points: DataFrame) -> DataFrame:
     """Points counted by finest cell before anything is shuffled by place."""
     return points.groupBy("cx", "cy").agg(
@@ -128,24 +158,39 @@ def _cells(points: DataFrame) -> DataFrame:
     )
 
 
-def _prefixed(df: DataFrame, p: str) -> DataFrame:
-    return df.select([F.col(c).alias(f"{p}_{c}") for c in df.columns])
-
+def _descend(a: PointIndex, b_steps: DataFrame, b_grid: Grid, b_leaf: bool, rounds: int, classify, ring=None) -> list[DataFrame]:
+    """All decided pairs (a_key, b_key, verdict) with verdict 'certain' or 'leaf', one frame a round.
 
-def _descend(spark, a: Tree, b_steps: DataFrame, b_root: int, rounds: int, classify) -> list[DataFrame]:
-    """All decided pairs (a_key, b_key, verdict) with verdict 'certain' or 'leaf', one frame a round."""
-    frontier = spark.createDataFrame([(a.root, b_root)], "a_at long, b_at long")
-    a_steps, b_steps = _prefixed(a.steps, "a"), _prefixed(b_steps, "b")
-    decided = []
-    for _ in range(rounds):
-        pairs = frontier.join(a_steps, "a_at").join(b_steps, "b_at").withColumn("verdict", classify())
-        pairs = cut(pairs.filter("verdict <> 'none'").select("a_key", "b_key", "verdict"))
+    `b_steps` has at_level, at, key, leaf, the box, and with `ring` a type for it, a ring (null but for regions).
+    """
+    spark = b_steps.sparkSession
+    node = ["key", "leaf", *BOX]
+    kind = {"key": "long", "leaf": "boolean", **dict.fromkeys(BOX, "double")}
+    row = (0, a.tree.root_leaf, *a.grid.box, 0, b_leaf, *b_grid.box)
+    frontier = spark.createDataFrame([row], ", ".join(f"{s}_{c} {kind[c]}" for s in "ab" for c in node))
+    cols = {"a": node, "b": node}
+    if ring:
+        frontier, cols["b"] = frontier.withColumn("b_ring", F.lit(None).cast(ring)), [*node, "ring"]
+    decided, before = [], None
+    for turn in range(rounds):
+        pairs = frontier
+        for s, steps in (("a", a.tree.steps), ("b", b_steps)):
+            # a node of this round's level comes down to its children; a leaf finds none and stays
+            down = steps.filter(F.col("at_level") == turn * STEP).select(F.col("at").alias(f"{s}_key"), *[F.col(c).alias(f"n_{c}") for c in cols[s]])
+            if turn * STEP < SMALL_LEVEL and not (s == "b" and ring):
+                down = F.broadcast(down)  # at most 4^SMALL_LEVEL nodes
+            other = [F.col(f"{o}_{c}") for o in "ab" if o != s for c in cols[o]]
+            stays = F.col("n_key").isNull()
+            pairs = pairs.join(down, f"{s}_key", "left").select(*other, *[F.when(stays, F.col(f"{s}_{c}")).otherwise(F.col(f"n_{c}")).alias(f"{s}_{c}") for c in cols[s]])
+        pairs = cut(pairs.withColumn("verdict", classify()).filter("verdict <> 'none'"))
+        free(before)
         left = {r[0]: r[1] for r in pairs.groupBy("verdict").count().collect()}
         if set(left) - {"open"}:
-            decided.append(pairs.filter("verdict <> 'open'"))
+            decided.append(pairs.filter("verdict <> 'open'").select("a_key", "b_key", "verdict"))
         if not left.get("open"):
             break
-        frontier = pairs.filter("verdict = 'open'").select(F.col("a_key").alias("a_at"), F.col("b_key").alias("b_at"))
+        before = None if set(left) - {"open"} else pairs
+        frontier = pairs.filter("verdict = 'open'").drop("verdict")
     return decided
 
 
@@ -157,20 +202,17 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def within_distance(
-    left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str,
+    left: DataFrame | PointIndex, right: DataFrame, radius: float, left_id: str, right_id: str,
     left_xy: tuple[str, str] = ("lat", "lon"), right_xy: tuple[str, str] = ("lat", "lon"), at: float = SITE_LATITUDE,
 ) -> DataFrame:
     """(left_id, right_id) of every pair of points at most `radius` miles apart, as `l_id`, `r_id`."""
-    spark = left.sparkSession
-    p, q = _clean(left, left_id, *left_xy), _clean(right, right_id, *right_xy)
-    none = p.select(F.col("id").alias("l_id")).limit(0).crossJoin(q.select(F.col("id").alias("r_id")).limit(0))
-    grid = _bounds(p, q)
-    if grid is None:
+    p = left if isinstance(left, PointIndex) else PointIndex(left, left_id, *left_xy)
+    q = PointIndex(right, right_id, *right_xy)
+    none = p.ids.limit(0).crossJoin(q.ids.withColumnRenamed("l_id", "r_id").limit(0))
+    if p.empty or q.empty:
         return none
+    a, b = p.tree, q.tree
     kx, ky = lon_miles(at), MILES_PER_DEGREE
-    p, q = _with_cell(p, grid), _with_cell(q, grid)
-    pc, qc = cut(_cells(p)), cut(_cells(q))
-    a, b = Tree(pc, grid[3], LEAF_ROWS), Tree(qc, grid[3], LEAF_ROWS)
 
     gap = lambda lo, hi: F.greatest(F.lit(0.0), F.col(f"a_{lo}") - F.col(f"b_{hi}"), F.col(f"b_{lo}") - F.col(f"a_{hi}"))
     reach = lambda lo, hi: F.greatest(F.col(f"a_{hi}") - F.col(f"b_{lo}"), F.col(f"b_{hi}") - F.col(f"a_{lo}"))
@@ -185,19 +227,18 @@ def within_distance(
             .otherwise("open")
         )
 
-    decided = _descend(spark, a, b.steps, b.root, 2 * grid[3] + 2, classify)
+    decided = _descend(p, b.steps, q.grid, b.root_leaf, max(a.depth, b.depth) // STEP + 1, classify)
     if not decided:
         return none
-    pairs = _union(decided)
     # certain pairs of inner nodes are spread to the leaves below them, without comparing anything
     pairs = (
-        pairs.join(a.under().select(F.col("node").alias("a_key"), F.col("leaf_key").alias("a_leaf")), "a_key")
+        _union(decided).join(a.under().select(F.col("node").alias("a_key"), F.col("leaf_key").alias("a_leaf")), "a_key")
         .join(b.under().select(F.col("node").alias("b_key"), F.col("leaf_key").alias("b_leaf")), "b_key")
         .select("a_leaf", "b_leaf", (F.col("verdict") == "certain").alias("certain"))
     )
     pairs = b.sliced(a.sliced(pairs, "a_leaf", "a_slice").withColumnRenamed("b_leaf", "key_b"), "key_b", "b_slice")
-    pl = a.place(p, pc).select(F.col("leaf_key").alias("a_leaf"), F.col("slice").alias("a_slice"), F.col("id").alias("l_id"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
-    ql = b.place(q, qc).select(F.col("leaf_key").alias("key_b"), F.col("slice").alias("b_slice"), F.col("id").alias("r_id"), F.col("lat").alias("ra"), F.col("lon").alias("ro"))
+    pl = p.placed().select(F.col("leaf_key").alias("a_leaf"), F.col("slice").alias("a_slice"), F.col("id").alias("l_id"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    ql = q.placed().select(F.col("leaf_key").alias("key_b"), F.col("slice").alias("b_slice"), F.col("id").alias("r_id"), F.col("lat").alias("ra"), F.col("lon").alias("ro"))
     near = F.hypot((F.col("la") - F.col("ra")) * ky, (F.col("lo") - F.col("ro")) * ky * F.cos(F.radians(F.lit(at)))) <= radius
     return (
         pairs.join(ql, ["key_b", "b_slice"]).join(pl, ["a_leaf", "a_slice"])
@@ -207,7 +248,7 @@ def within_distance(
 
 
 def within_region(
-    points: DataFrame, regions: DataFrame, point_id: str, region_id: str, ring: str = "ring",
+    points: DataFrame | PointIndex, regions: DataFrame, point_id: str, region_id: str, ring: str = "ring",
     xy: tuple[str, str] = ("lat", "lon"),
 ) -> DataFrame:
     """(l_id, r_id) of every point and every region whose ring encloses it.
@@ -216,8 +257,7 @@ def within_region(
     whole point node is taken or refused at once when no edge of the ring comes near its box.
     A ring that is null, shorter than three points or has a null coordinate encloses nothing.
     """
-    spark = points.sparkSession
-    p = _clean(points, point_id, *xy)
+    p = points if isinstance(points, PointIndex) else PointIndex(points, point_id, *xy)
     whole = F.expr(f"size({ring}) > 2 AND NOT exists({ring}, v -> v.lat IS NULL OR v.lon IS NULL)")
     r = regions.filter(F.col(region_id).isNotNull() & whole).select(
         F.col(region_id).alias("id"), F.col(ring).alias("ring"),
@@ -225,29 +265,20 @@ def within_region(
         F.expr(f"array_max(transform({ring}, v -> v.lat))").alias("hi_lat"), F.expr(f"array_max(transform({ring}, v -> v.lon))").alias("hi_lon"),
     )
     r = r.withColumn("lat", F.expr("(lo_lat + hi_lat) / 2")).withColumn("lon", F.expr("(lo_lon + hi_lon) / 2"))
-    none = p.select(F.col("id").alias("l_id")).limit(0).crossJoin(r.select(F.col("id").alias("r_id")).limit(0))
-    grid = _bounds(p, r)
-    if grid is None:
+    none = p.ids.limit(0).crossJoin(r.select(F.col("id").alias("r_id")).limit(0))
+    grid = Grid(r, ("lo_lat", "lo_lon"), ("hi_lat", "hi_lon"))
+    if p.empty or not grid.n:
         return none
-    p = _with_cell(p, grid)
     # regions are numbered below zero; the cut makes the numbers stay
-    r = cut(_with_cell(r, grid).withColumn("key", -1 - F.monotonically_increasing_id()))
-    pc = cut(_cells(p))
-    rc = r.groupBy("cx", "cy").agg(F.count("*").alias("n"), *[(F.min if c[:2] == "lo" else F.max)(c).alias(c) for c in BOX])
-    rc = cut(rc)
-    a, b = Tree(pc, grid[3], LEAF_ROWS), Tree(rc, grid[3], 1)
+    r = cut(grid.with_cell(r).withColumn("key", -1 - F.monotonically_increasing_id()))
+    rc = cut(r.groupBy("cx", "cy").agg(F.count("*").alias("n"), *[(F.min if c[:2] == "lo" else F.max)(c).alias(c) for c in BOX]))
+    a, b = p.tree, Tree(rc, grid, 1)
     # below each leaf of the region tree stand its regions, which then stay
-    up = rc.select("cx", "cy").withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(grid[3]))))
-    up = up.withColumn("at", _key(F.col("l"), F.expr(f"shiftright(cx, {grid[3]} - l)"), F.expr(f"shiftright(cy, {grid[3]} - l)")))
-    homes = up.join(b.nodes.filter("leaf").select(F.col("key").alias("at")), "at").select("cx", "cy", "at")
-    item = r.select("cx", "cy", "key", F.lit(True).alias("leaf"), F.lit(1).cast("long").alias("n"), *BOX, "ring")
-    none_ring = F.lit(None).cast(dict(r.dtypes)["ring"]).alias("ring")
-    cols = ["at", "key", "leaf", "n", *BOX, "ring"]
-    steps = (
-        b.nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("at"), "key", F.lit(False).alias("leaf"), "n", *BOX, none_ring)
-        .unionByName(item.join(homes, ["cx", "cy"]).select(cols))
-        .unionByName(item.withColumn("at", F.col("key")).select(cols))
-    )
+    homes = b.homes(rc.select("cx", "cy")).select("cx", "cy", F.col("leaf_key").alias("at"), F.expr("cast(shiftrightunsigned(leaf_key, 58) AS int)").alias("at_level"))
+    kind = dict(r.dtypes)["ring"]
+    cols = ["at_level", "at", "key", "leaf", *BOX, "ring"]
+    inner = b.steps.withColumn("leaf", F.lit(False)).withColumn("ring", F.lit(None).cast(kind)).select(cols)
+    steps = cut(inner.unionByName(r.withColumn("leaf", F.lit(True)).join(homes, ["cx", "cy"]).select(cols)))
 
     def classify():
         apart = F.expr("a_lo_lat > b_hi_lat OR b_lo_lat > a_hi_lat OR a_lo_lon > b_hi_lon OR b_lo_lon > a_hi_lon")
@@ -262,12 +293,12 @@ def within_region(
             .otherwise("open")
         )
 
-    decided = _descend(spark, a, steps, b.root, 2 * grid[3] + 3, classify)
+    decided = _descend(p, steps, grid, False, max(a.depth, b.depth) // STEP + 2, classify, kind)
     if not decided:
         return none
     pairs = _union(decided).join(a.under().select(F.col("node").alias("a_key"), F.col("leaf_key").alias("a_leaf")), "a_key")
     pairs = a.sliced(pairs.select("a_leaf", F.col("b_key").alias("key"), (F.col("verdict") == "certain").alias("certain")), "a_leaf", "a_slice")
-    pl = a.place(p, pc).select(F.col("leaf_key").alias("a_leaf"), F.col("slice").alias("a_slice"), F.col("id").alias("l_id"), "lat", "lon")
+    pl = p.placed().select(F.col("leaf_key").alias("a_leaf"), F.col("slice").alias("a_slice"), F.col("id").alias("l_id"), "lat", "lon")
     return (
         pairs.join(r.select("key", F.col("id").alias("r_id"), "ring"), "key").join(pl, ["a_leaf", "a_slice"])
         .filter(F.col("certain") | in_ring("ring", "lat", "lon"))

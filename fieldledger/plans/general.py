@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import instant_micros
 from ..operators.changefeed import first_deliveries, resolve_newest_first
-from ..operators.spatial import within_distance, within_region
+from ..operators.spatial import PointIndex, within_distance, within_region
 from ..session import table
 from .catalog import Catalog
 
@@ -45,7 +45,7 @@ UNION ALL SELECT DISTINCT id, zone_id FROM hit WHERE n % 2 = 1
 """
 )
 def p1_found(spark, d):
-    e = placed_entities(spark, d)
+    e = PointIndex(placed_entities(spark, d), "id")
     plants = table(spark, d, "power_plant").select("plant_id", "lat", "lon")
     zones = table(spark, d, "survey_zone").select("zone_id", "ring")
     near = within_distance(e, plants, PLANT_MILES, "id", "plant_id")
