@@ -13,7 +13,7 @@ from .linkage import link, prepare
 from .mixing import mix, report
 from .names import is_stand_in
 from .packing import pack
-from .quality import text_statistics, text_types
+from .quality import line_groups, text_statistics, text_types
 from .survivor import preferred_entry, truth_discovery
 from .tokens import token_count
 from .variants import link_spellings
@@ -142,23 +142,23 @@ def p7_found(spark, d):
 # ---------------------------------------------------------------- problem 10
 
 
-def statistics(spark, d):
-    return text_statistics(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "common_word"))
+def typed_lines(spark, d):
+    return line_groups(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "common_word"))
 
 
 @catalog.query()
 def p10_found(spark, d):
-    types = text_types(cut(statistics(spark, d)))
+    types = text_types(cut(typed_lines(spark, d).select("doc_id", "pattern", "chars", "lines")))
     return types.filter("kind <> 'prose'").select("doc_id", "kind")
 
 
 @catalog.query()
 def p10_statistics(spark, d):
-    """Every document's statistics with the posterior of each type."""
-    stats = cut(statistics(spark, d))
-    rounded = [F.bround(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share", "distinct_share")]
-    types = text_types(stats).select("doc_id", "kind", F.bround("confidence", 4).alias("confidence"))
-    return stats.select("doc_id", "chars", "words", "lines", *rounded).join(types, "doc_id")
+    """Every document's statistics with its type and how much of it is of that type."""
+    groups = cut(typed_lines(spark, d))
+    rounded = [F.bround(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "marked_lines", "common_share", "distinct_share")]
+    types = text_types(groups).select("doc_id", "kind", F.bround("confidence", 4).alias("confidence"))
+    return text_statistics(groups).select("doc_id", "chars", "words", "lines", *rounded).join(types, "doc_id")
 
 
 # ---------------------------------------------------------------- problem 5
