@@ -58,3 +58,33 @@ def running(df: DataFrame, keys: list[str], order: list[str], column: str, out:
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Rows numbered from 1 within `keys` by `order`, which must not tie."""
     return running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", out, "sum").drop("_one")
+
+
+BLOCK_ROWS = 20_000
+BLOCK_SAMPLE = 1 / 64
+
+
+def block_join(left: DataFrame, right: DataFrame, l_id: str, r_id: str, keys: str = "keys", block_rows: int = BLOCK_ROWS, share: float = BLOCK_SAMPLE) -> DataFrame:
+    """(l_id, r_id) of every two rows whose arrays `keys` share an element, once for each one they share.
+
+    A key of more than `block_rows` rows on a side is spread over slices of that side, and the other
+    side's rows are repeated for each slice, so no task gets a whole block. Which keys are such is
+    judged from a sample of the rows (at most the HOT_KEYS most frequent of it reach the driver);
+    the result does not depend on the sample. Null arrays and null elements meet nothing.
+    """
+    each = lambda d, i: d.select(F.col(i), F.explode(keys).alias("_key"))
+    seen = each(left.sample(share, 7), l_id).select("_key", F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+    seen = seen.unionByName(each(right.sample(share, 7), r_id).select("_key", F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    most = seen.groupBy("_key").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter(F.greatest("_l", "_r") > block_rows * share)
+    hot = [(k, -int(-n // (block_rows * share)) or 1, -int(-m // (block_rows * share)) or 1) for k, n, m in most.orderBy(F.desc(F.greatest("_l", "_r"))).limit(HOT_KEYS).collect()]
+    a, b = each(left, l_id), each(right, r_id)
+    if not hot:
+        return a.join(b, "_key").select(l_id, r_id)
+    slices = F.broadcast(left.sparkSession.createDataFrame(hot, f"_key {dict(a.dtypes)['_key']}, _ls long, _rs long"))  # at most HOT_KEYS rows
+
+    def spread(d, i, own, other):
+        d = d.join(slices, "_key", "left")
+        d = d.withColumn(own, F.coalesce(F.pmod(F.xxhash64(i), F.col(f"{own}s")), F.lit(0)))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(f"{other}s"), F.lit(1)) - 1))).drop("_ls", "_rs")
+
+    return spread(a, l_id, "_l", "_r").join(spread(b, r_id, "_r", "_l"), ["_key", "_l", "_r"]).select(l_id, r_id)

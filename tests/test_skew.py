@@ -30,3 +30,13 @@ def test_split_join_equals_a_join(spark, monkeypatch, hot_rows):
     table = [(k, n, f"v{k}") for k, n in sizes.items() if k not in (None, "lost")] + [("unused", 0, "u")]
     got = skew.split_join(spark.createDataFrame(big, "k string, i int"), spark.createDataFrame(table, "k string, n long, v string"), ["k"], "n", hot_rows)
     assert sorted((r["i"], r["v"]) for r in got.collect()) == sorted((i, f"v{k}") for k, i in big if k not in (None, "lost"))
+
+
+def test_block_join_is_the_same_however_blocks_are_cut(spark):
+    rng = random.Random(4)
+    a = [(i, [rng.choice([0, 0, 0, rng.randrange(9)]), rng.randrange(9)]) for i in range(60)] + [(98, None), (99, [])]
+    b = [(i, [rng.choice([0, 0, rng.randrange(9)])]) for i in range(50)] + [(98, None)]
+    left, right = spark.createDataFrame(a, "l long, keys array<long>"), spark.createDataFrame(b, "r long, keys array<long>")
+    want = sorted((x, y) for x, xs in a for y, ys in b for k in xs or [] for m in ys or [] if k == m)
+    for rows, share in ((10**6, 1.0), (5, 1.0), (3, 0.5)):
+        assert sorted(map(tuple, skew.block_join(left, right, "l", "r", block_rows=rows, share=share).collect())) == want
