@@ -8,6 +8,7 @@ left to the comparison of forms.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MEMORY = 1 << 16  # words a worker remembers the reading of; they repeat far more often than whole names
+
 # fixed values: words that stand in for a name
 STAND_INS = [
     "n/a", "na", "tbd", "tba", "null", "nil", "none", "none listed", "not listed", "not reported", "not available", "not applicable", "not known",
@@ -79,6 +82,7 @@ def edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+@functools.lru_cache(MEMORY)
 def first_name(word: str) -> str | None:
     if word in TRADE_WORDS:
         return None
@@ -97,6 +101,11 @@ def _squeeze(s: str) -> str:
 
 def trade_of(words: list[str]) -> tuple[str | None, int]:
     """The trade that the last words name, and how many words it takes."""
+    return _trade_of(tuple(words[-4:]))
+
+
+@functools.lru_cache(MEMORY)
+def _trade_of(words: tuple[str, ...]) -> tuple[str | None, int]:
     for take in (3, 2, 1):
         if len(words) >= take:
             said = " ".join(words[-take:])
@@ -316,20 +325,29 @@ def _guess(words: list[str], towns: frozenset[str]) -> tuple[list[str], list[str
     """As _tell_apart for the words left over after an owner: misspelt marks and kinds."""
     left, marks, kind = [], [], ""
     for w in words:
-        near = [t for k, t in TYPE_OF.items() if len(k) >= 4 and " " not in k and edits(w, k, 1) <= 1]
-        side = [t for k, t in SIDE_OF.items() if len(k) >= 5 and edits(w, k, 1) <= 1]
-        town = [t for t in towns if len(w) >= 6 and w[0] == t[0] and abs(len(t) - len(w)) <= 2 and edits(w, t, 2) <= 2] if not near and not side else []
-        if near:
-            kind = near[0]
-        elif side:
-            marks.append(f"d{side[0]}")
-        elif town:
-            marks.append(f"t{min(town)}")
+        what, read = _misspelt(w, towns)
+        if what == "kind":
+            kind = read
+        elif what:
+            marks.append(read)
         else:
             left.append(w)
     return left, marks, kind
 
 
+@functools.lru_cache(MEMORY)
+def _misspelt(w: str, towns: frozenset[str]) -> tuple[str, str]:
+    """('kind', kind of site), ('mark', mark) or ('', '') for a word that may misspell one."""
+    near = [t for k, t in TYPE_OF.items() if len(k) >= 4 and " " not in k and edits(w, k, 1) <= 1]
+    if near:
+        return "kind", near[0]
+    side = [t for k, t in SIDE_OF.items() if len(k) >= 5 and edits(w, k, 1) <= 1]
+    if side:
+        return "mark", f"d{side[0]}"
+    town = [t for t in towns if len(w) >= 6 and w[0] == t[0] and abs(len(t) - len(w)) <= 2 and edits(w, t, 2) <= 2]
+    return ("mark", f"t{min(town)}") if town else ("", "")
+
+
 def parse_site(s: str, towns: frozenset[str] = frozenset()) -> list[tuple[str, str, str, str, str, str]]:
     """[(kind of owner, head, part, bones, marks, kind of site)] of each name given: the present one, then a former one in brackets."""
     former = re.search(FORMER, s, re.I)

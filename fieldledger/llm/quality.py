@@ -94,6 +94,10 @@ def _common(words: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
+def _digits(s):
+    return F.length(s) - F.length(F.translate(s, "0123456789", ""))
+
+
 def _measured(docs: DataFrame, common: list[str]) -> DataFrame:
     """(doc_id, s, only, and the statistics) of each line that is not blank; a blank text keeps one empty line."""
     body = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n\f\x0b"))
@@ -118,7 +122,7 @@ def _measured(docs: DataFrame, common: list[str]) -> DataFrame:
         .withColumn("words", F.size("tokens"))
         .withColumn("common", F.size(F.filter("tokens", lambda t: t.isin(common))))
         .withColumn("forms", F.size(F.array_distinct("tokens")))
-        .withColumn("digits", F.length(s) - F.length(F.translate(s, "0123456789", "")))
+        .withColumn("digits", _digits(s))
         .withColumn("tabbed", F.instr(F.trim(s), "\t") > 0)
         .withColumn("pipes", signs("|"))
         .withColumn("gaps", tried(has("  "), count(r"\S {2,}(?=\S)", F.trim(s))))
@@ -164,7 +168,7 @@ def _levels(m: DataFrame) -> dict:
         "length": step((words == 0, 0), (words <= 3, 1), (words <= 7, 2), (words <= 14, 3), (F.lit(True), 4)),
         "machine": step((code, 1), ((words <= 12) & s.rlike(PAGE), 2)),
         "broken": step((broken, 1)),
-        "symbols": step((plain_numbers, 1), (ruled, 0), ((letters * 2 < solid) & ((letters + F.col("digits")) * 2 < solid), 2), (letters * 2 < solid, 3)),
+        "symbols": step((plain_numbers, 1), (ruled, 0), ((letters * 2 < solid) & ((letters + _digits(s)) * 2 < solid), 2), (letters * 2 < solid, 3)),
         "repeats": step(((words >= 5) & (F.col("forms") * 5 <= words), 1)),
         "inline": step(((F.col("stops") >= 2) & (words <= 5 * (F.col("stops") + 1)), 1)),
         "alone": step((lonely, 1), (F.col("only"), 2)),

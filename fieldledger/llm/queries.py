@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.time import period_end
 from ..plans.catalog import Catalog
-from ..session import cut, table
+from ..session import cut, free, table
 from .canon import AFTER, BEFORE, SHORT_FORMS, map_values
 from .components import connected_components
-from .linkage import link, prepare
+from .linkage import compare, decide, prepare, score
 from .mixing import mix, report
 from .names import is_stand_in
 from .packing import pack
@@ -189,9 +189,11 @@ def p5_canonical(spark, d):
 def linked_sites(spark, d):
     places = table(spark, d, "place_ref")
     registry = prepare(table(spark, d, "entity").select("id", "name", "lat", "lon", "jurisdiction"), places)
-    said = table(spark, d, "site_record").select(F.col("rec_id").alias("id"), "name", "lat", "lon", "jurisdiction", "coord_precision")
-    raw = prepare(said, places, F.col("coord_precision") == "site")
-    return link(registry, raw)
+    said = table(spark, d, "site_record").select(F.col("rec_id").alias("id"), "name", "lat", "lon", "jurisdiction")
+    raw = prepare(said, places)
+    levels = compare(registry, raw)
+    free(registry, raw)
+    return decide(score(levels))
 
 
 @catalog.query()
