@@ -59,6 +59,10 @@ FULL = [k for k in NICKNAMES if len(k) >= 5]
 DIGITS = str.maketrans({"0": "o", "1": "l", "5": "s", "3": "e", "4": "a", "8": "b", "@": "a", "$": "s"})
 
 
+JOINED, DOTTED_LLC, DOTTED_LP = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])"), re.compile(r"\bl\.\s?l\.\s?c\b\.?"), re.compile(r"\bl\.\s?p\b\.?")
+WORD, DIGIT, LETTER, QUOTES = re.compile(r"[^\W_]+"), re.compile(r"\d"), re.compile(r"[a-z]"), str.maketrans("", "", "’'`")
+
+
 def is_stand_in(c: str) -> Column:
     """Blank, without any letter, or a stand-in word."""
     return F.expr(f"trim({c}) NOT RLIKE '[A-Za-z]'") | F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))).isin(STAND_INS)
@@ -149,6 +153,18 @@ def bones(head: str) -> str:
     return re.sub("[aeiou]", "", head).replace("rn", "m")
 
 
+@functools.lru_cache(MEMORY)
+def _near_legal(w: str) -> str:
+    """The legal form that a word misspells, or ''."""
+    near = [f for k, f in LEGAL.items() if len(k) >= 6 and edits(w, k, 2) <= (2 if len(k) >= 9 else 1)]
+    return near[0] if near else "llc" if len(w) == 3 and w not in SHORT and edits(w, "llc", 1) <= 1 else ""
+
+
+@functools.lru_cache(MEMORY)
+def _near_trailer(w: str) -> bool:
+    return len(w) >= 4 and any(len(t) >= 4 and edits(w, t, 1) <= 1 for t in TRAILERS)
+
+
 def _legal(words: list[str]) -> tuple[list[str], str]:
     """Words without the legal form at their end, and the form."""
     form = ""
@@ -165,24 +181,22 @@ def _legal(words: list[str]) -> tuple[list[str], str]:
             break
     if len(words) > 1 and not form:
         w = words[-1]
-        near = [f for k, f in LEGAL.items() if len(k) >= 6 and edits(w, k, 2) <= (2 if len(k) >= 9 else 1)]
-        if near:
-            return words[:-1], near[0]
-        if len(w) == 3 and len(words) > 2 and edits(w, "llc", 1) <= 1 and w not in SHORT:
-            return words[:-1], "llc"
+        near = _near_legal(w)
+        if near and (near != "llc" or len(words) > 2):
+            return words[:-1], near
     return words, form
 
 
 def words_of(s: str) -> list[str]:
     """Lower-case words; dotted initials joined for legal forms (L.L.C.), letters taken from digits inside words."""
-    s = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", s)
-    s = s.lower()
-    s = re.sub(r"\bl\.\s?l\.\s?c\b\.?", "llc", s)
-    s = re.sub(r"\bl\.\s?p\b\.?", "lp", s)
-    s = re.sub(r"mr/ms", " ", s).replace("&", " and ").replace("+", " and ")
-    s = re.sub(r"[’'`]", "", s)
-    words = re.findall(r"[^\W_]+", s)
-    return [w.translate(DIGITS) if re.search(r"[a-z]", w) and len(re.findall(r"\d", w)) == 1 and len(w) > 3 else w for w in words]
+    s = JOINED.sub(" ", s).lower()
+    if "l." in s:
+        s = DOTTED_LP.sub("lp", DOTTED_LLC.sub("llc", s))
+    s = s.replace("mr/ms", " ").replace("&", " and ").replace("+", " and ").translate(QUOTES)
+    words = WORD.findall(s)
+    if not DIGIT.search(s):
+        return words
+    return [w.translate(DIGITS) if len(w) > 3 and LETTER.search(w) and len(DIGIT.findall(w)) == 1 else w for w in words]
 
 
 def parse_owner(s: str) -> tuple[str, str, str, str, str]:
@@ -236,7 +250,7 @@ def _person(words: list[str]) -> tuple[str, str, str, str, str] | None:
     letters = [w for w in rest if len(w) <= 2 and w.isalpha() and w not in FIRST and w not in SHORT and w not in ("co", "lp")]
     names = [w for w in rest if w not in letters]
     if len(names) > 2:  # a misspelt trailer
-        names = [w for w in names if not (len(w) >= 4 and any(len(t) >= 4 and edits(w, t, 1) <= 1 for t in TRAILERS))]
+        names = [w for w in names if not _near_trailer(w)]
     given = [(i, first_name(w)) for i, w in enumerate(names)]
     given = [(i, f) for i, f in given if f]
     if given and len(names) >= 2:
