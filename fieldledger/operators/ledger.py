@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import HOME_LATITUDE, miles
 from .graph import follow
+from .validate import errors_of
 
 # fixed values of the ledger
 STATUS_OF = {"mark_defunct": "defunct", "mark_not_a_fit": "not_a_fit", "mark_assigned_elsewhere": "assigned_elsewhere", "mark_duplicate": "duplicate", "reinstate": "active"}
@@ -37,8 +38,29 @@ def latest_corrections(changes: DataFrame) -> DataFrame:
     return c.groupBy("entity_id").agg(*pick).select("entity_id", *[F.col(f)["value"].alias(f) for f in CORRECTABLE])
 
 
-def apply_ledger(base: DataFrame, changes: DataFrame, home: tuple[float, float]) -> DataFrame:
-    """The effective registry: base rows with corrections and status on top; miles anew where a coordinate was corrected."""
+# what an added entry brings along, as JSON text
+ENTRY = "id string, kind string, name string, parent string, lat double, lon double, cluster string, scope string, band int, subindustry string, miles double"
+
+
+def additions(changes: DataFrame) -> DataFrame:
+    """(id, kind, ..., miles of ENTRY, existence, since): the entry of the first add_entity of each id, by (instant, ord), and its instant.
+
+    `changes` has `entity`, its JSON text. Text that is null, unreadable or names another id adds nothing.
+    """
+    c = changes.filter("change = 'add_entity' AND entity_id IS NOT NULL AND instant IS NOT NULL").withColumn("e", F.from_json("entity", ENTRY)).filter("e.id = entity_id")
+    first = c.groupBy("entity_id").agg(F.min_by("e", F.struct("instant", "ord")).alias("e"), F.min("instant").alias("since"))
+    return first.select("e.*", F.lit("ledger").alias("existence"), "since")
+
+
+def apply_ledger(base: DataFrame, changes: DataFrame, home: tuple[float, float], added: DataFrame | None = None) -> DataFrame:
+    """The effective registry: base rows and added ones, with corrections and status on top; miles anew where a coordinate was corrected.
+
+    `added` as from `additions`; an id that the base has is not added again. Changes to an added entry count whether they
+    stand before or after its addition, as in the change feed's own rule.
+    """
+    if added is not None:
+        fresh = added.drop("since").join(base.select("id"), "id", "left_anti")
+        base = base.unionByName(fresh, allowMissingColumns=True)
     fixed = latest_corrections(changes).select("entity_id", *[F.col(c).alias(f"_{c}") for c in CORRECTABLE])
     status = latest_status(changes).select("entity_id", F.col("status").alias("_status"), F.col("duplicate_of").alias("_dup"), F.col("change_id").alias("_change"))
     b = base.withColumnRenamed("id", "entity_id").join(fixed, "entity_id", "left").join(status, "entity_id", "left")
@@ -48,7 +70,7 @@ def apply_ledger(base: DataFrame, changes: DataFrame, home: tuple[float, float])
     return b.select(
         F.col("entity_id").alias("id"), "kind", F.coalesce("_name", "name").alias("name"), F.coalesce("_parent", "parent").alias("parent"), lat.alias("lat"), lon.alias("lon"),
         "cluster", "scope", "band", F.coalesce("_subindustry", "subindustry").alias("subindustry"), F.when(moved, far).otherwise(F.col("miles")).alias("miles"),
-        F.coalesce("_status", F.lit("active")).alias("status"), F.col("_dup").alias("duplicate_of"), F.col("_change").alias("change_id"),
+        F.coalesce("_status", F.lit("active")).alias("status"), F.col("_dup").alias("duplicate_of"), F.col("_change").alias("change_id"), *[c for c in ("existence",) if c in base.columns],
     )
 
 
@@ -58,10 +80,21 @@ def audit_trail(changes: DataFrame) -> DataFrame:
     return changes.filter("instant IS NOT NULL").select("change_id", "entity_id", effect.alias("effect"), "instant", "ord")
 
 
-def violations(changes: DataFrame, known: DataFrame) -> DataFrame:
+# fixed values of an added entry's contract
+ENTRY_CONTRACT = {
+    "type": "object", "required": ["id", "kind", "name", "lat", "lon"],
+    "properties": {
+        "id": {"type": "string", "minLength": 3, "maxLength": 80, "pattern": "^[A-Za-z0-9_.:-]+$"}, "kind": {"enum": ["facility", "oem", "engineering_office", "integrator", "distributor"]},
+        "name": {"type": "string", "minLength": 1, "maxLength": 200}, "lat": {"type": "number", "minimum": 36, "maximum": 40}, "lon": {"type": "number", "minimum": -80, "maximum": -74}, "scope": {"enum": ["core", "extended"]},
+    },
+}
+
+
+def violations(changes: DataFrame, known: DataFrame, contract: dict | None = None) -> DataFrame:
     """(change_id, problem): changes that break a rule, against ids known from the base or added earlier in the ledger.
 
-    `known`: id of the base. An added id is known from its first add_entity on.
+    `known`: id of the base. An added id is known from its first add_entity on. With a `contract` the JSON text in
+    `entity` of an addition must keep it and carry the id of its change.
     """
     base = known.select(F.col("id").alias("entity_id")).filter("entity_id IS NOT NULL").distinct().withColumn("in_base", F.lit(True))
     order = F.struct("instant", "ord")
@@ -83,6 +116,12 @@ def violations(changes: DataFrame, known: DataFrame) -> DataFrame:
         ((F.col("change") == "correct") & F.col("value").isNull(), "no value"),
         ((F.col("change") == "correct") & F.col("field").isin("lat", "lon") & F.col("value").isNotNull() & number.isNull(), "not a number"),
     ]
+    if contract is not None:
+        own = F.try_variant_get(F.try_parse_json("entity"), "$.id", "string")
+        rules += [
+            ((F.col("change") == "add_entity") & ~own.eqNullSafe(F.col("entity_id")), "entry of another id"),
+            ((F.col("change") == "add_entity") & (F.size(errors_of(F.coalesce("entity", F.lit("")), contract)) > 0), "entry breaks its contract"),
+        ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(text)) for bad, text in rules]))
     return c.select("change_id", F.explode(found).alias("problem"))
 

@@ -100,13 +100,14 @@ def as_of_status(taps: DataFrame, changes: DataFrame) -> DataFrame:
 def share_timeline(first_taps: DataFrame, status: DataFrame, pool: DataFrame) -> DataFrame:
     """(cluster, instant, done, size, share) after every instant at which a cluster's share changes.
 
-    `pool`: id, cluster of core facilities; `first_taps`: entity_id, instant of the first advancing tap;
+    `pool`: id, cluster of core facilities, and `since`, the instant from which one counts (null: always); `first_taps`: entity_id, instant of the first advancing tap;
     `status`: entity_id, instant, ord, status. An entity counts while active; it is done once tapped.
     Every change of either is a step of plus or minus one; steps are summed by cluster and instant
     before the running sum. Running values are taken over range partitions (skew.running), so neither
     an entity of very many changes nor a cluster is one task.
     """
-    e = pool.select(F.col("id").alias("entity_id"), "cluster").dropDuplicates(["entity_id"])
+    since = F.col("since") if "since" in pool.columns else F.lit(None).cast("long").alias("since")
+    e = pool.select(F.col("id").alias("entity_id"), "cluster", since).dropDuplicates(["entity_id"])
     s = status.join(e, "entity_id", "left_semi").select("entity_id", "instant", "ord", (F.col("status") == "active").alias("live"))
     s = running(s, ["entity_id"], ["instant", "ord"], "live", "was", "last", inclusive=False)
     s = cut(s.filter(F.col("live") != F.coalesce("was", F.lit(True))))
@@ -118,8 +119,9 @@ def share_timeline(first_taps: DataFrame, status: DataFrame, pool: DataFrame) ->
     done_steps = flips.filter("tapped IS NOT NULL AND instant > tapped").select("entity_id", "instant", one.alias("done"), F.lit(0).alias("size"))
     at_tap = tap.join(e, "entity_id", "left_semi").join(flips.filter("instant <= tapped").groupBy("entity_id").agg(F.max(F.struct("instant", "ord", "live")).alias("l")), "entity_id", "left")
     tap_steps = at_tap.filter(F.coalesce(F.col("l.live"), F.lit(True))).select("entity_id", F.col("tapped").alias("instant"), F.lit(1).alias("done"), F.lit(0).alias("size"))
-    steps = size_steps.unionByName(done_steps).unionByName(tap_steps).join(e, "entity_id").groupBy("cluster", "instant").agg(F.sum("done").alias("d"), F.sum("size").alias("z"))
-    start = e.groupBy("cluster").agg(F.count("*").alias("n"))
+    joined_steps = e.filter("since IS NOT NULL").select("entity_id", F.col("since").alias("instant"), F.lit(0).alias("done"), F.lit(1).alias("size"))
+    steps = size_steps.unionByName(done_steps).unionByName(tap_steps).unionByName(joined_steps).join(e, "entity_id").groupBy("cluster", "instant").agg(F.sum("done").alias("d"), F.sum("size").alias("z"))
+    start = e.groupBy("cluster").agg(F.count_if(F.col("since").isNull()).alias("n"))
     r = running(steps, ["cluster"], ["instant"], "d", "done", "sum")
     r = running(r, ["cluster"], ["instant"], "z", "moved", "sum").join(start, "cluster").withColumn("size", F.col("n") + F.col("moved"))
     return r.select("cluster", "instant", "done", "size", F.bround(F.coalesce(F.try_divide("done", "size"), F.lit(0.0)), 6).alias("share"))

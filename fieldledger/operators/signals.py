@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 
 # fixed values of the signal layer
 SEED_TIMINGS = {"proposed": "announced", "construction": "construction", "expansion": "construction", "hold": "on_hold"}
+SEED_KINDS = {"proposed": "project_status", "construction": "project_status", "expansion": "expansion", "hold": "project_status"}
 FRESH_SOURCES = ["public_web", "trade_press", "government_record", "enterprise_db", "manual"]
 BRIGHT_HOURS, FADE_DAYS = 72, 7
 SPEC_WINDOW = ["announced", "design", "permitting"]
 
 
 def seed(entities: DataFrame) -> DataFrame:
-    """A signal for each core entity whose timing says that something is going on; the id is the same every time.
+    """A signal for each core entity whose timing says that something is going on, with the contract's kind, match and origin; the id is the same every time.
 
     `entities`: id, name, scope, timing_k, timing_label. Repeated ids give one signal.
     """
-    stage = F.create_map(*[F.lit(x) for kv in SEED_TIMINGS.items() for x in kv])
+    stage, kind = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (SEED_TIMINGS, SEED_KINDS))
     kept = entities.filter((F.col("scope") == "core") & F.col("timing_k").isin(*SEED_TIMINGS) & F.col("id").isNotNull())
     return kept.select(
         F.concat_ws("-", F.lit("sig-snap"), "id", "timing_k").alias("signal_id"), F.col("id").alias("entity_id"), F.lit("registry_snapshot").alias("source_type"),
-        F.try_element_at(stage, "timing_k").alias("stage"), F.substring(F.concat_ws(": ", "name", "timing_label"), 1, 200).alias("headline"),
+        F.try_element_at(stage, "timing_k").alias("stage"), F.try_element_at(kind, "timing_k").alias("kind"), F.lit("exact_id").alias("match_method"), F.lit("high").alias("match_confidence"), F.lit("rule").alias("generated_by"), F.substring(F.concat_ws(": ", "name", "timing_label"), 1, 200).alias("headline"),
     ).distinct()
 
 
@@ -64,6 +65,20 @@ def orphans(signals: DataFrame, known: DataFrame) -> DataFrame:
     return signals.filter("entity_id IS NOT NULL").join(known.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
 
 
+def counters(signals: DataFrame, triaged: DataFrame, known: DataFrame) -> DataFrame:
+    """(what, value, n): signals by source type, kind, generator and triage status, and those unplaced or orphaned; in one pass over the signals.
+
+    `signals`: signal_id, entity_id, source_type, kind, generated_by. Nulls are counted under null.
+    """
+    ids = known.select(F.col("id").alias("entity_id")).distinct().withColumn("_known", F.lit(True))
+    s = signals.join(triaged, "signal_id", "left").join(ids, "entity_id", "left")
+    where = F.when(F.col("entity_id").isNull(), "unplaced").when(F.col("_known").isNull(), "orphaned").otherwise("placed")
+    each = F.array(*[F.struct(F.lit(n).alias("what"), v.cast("string").alias("value")) for n, v in {
+        "signals_by_source": F.col("source_type"), "signals_by_kind": F.col("kind"), "signals_by_generator": F.col("generated_by"), "signals_by_status": F.coalesce("status", F.lit("new")), "signals_by_place": where,
+    }.items()])
+    return s.select(F.explode(each).alias("x")).groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
+
+
 def recent(events: DataFrame, most: int) -> DataFrame:
     """The last `most` events by instant; of one instant the earlier appended first."""
     return events.filter("instant IS NOT NULL").orderBy(F.desc("instant"), F.asc("ord"), F.asc("id")).limit(most)

@@ -28,7 +28,13 @@ WITH once AS (SELECT id, arg_min(struct_pack(ts := ts, change := change, entity_
  status AS (SELECT entity_id, CASE r.c WHEN 'mark_defunct' THEN 'defunct' WHEN 'mark_not_a_fit' THEN 'not_a_fit' WHEN 'mark_assigned_elsewhere' THEN 'assigned_elsewhere' WHEN 'mark_duplicate' THEN 'duplicate' ELSE 'active' END AS status,
    CASE WHEN r.c = 'mark_duplicate' THEN r.d END AS duplicate_of, r.i AS change_id FROM stat)
 """
-LOG_SQL = """
+ADDED_SQL = """add_once AS (SELECT arg_min(struct_pack(ts := ts, change := change, entity_id := entity_id, j := entity), ord) AS r, min(ord) AS ord FROM ledger_change WHERE id IS NOT NULL GROUP BY id),
+ add_first AS (SELECT r.entity_id AS id, arg_min(r.j, struct_pack(i := epoch_us(try_cast(r.ts AS timestamptz)), o := ord)) AS j, min(epoch_us(try_cast(r.ts AS timestamptz))) AS since FROM add_once
+   WHERE r.change = 'add_entity' AND try_cast(r.ts AS timestamptz) IS NOT NULL AND json_extract_string(r.j, '$.id') = r.entity_id GROUP BY 1),
+ entry AS (SELECT DISTINCT ON (id) id, kind, name, parent, cluster, scope, subindustry, lat, lon, miles, existence FROM entity WHERE id IS NOT NULL
+   UNION ALL SELECT id, j->>'$.kind', j->>'$.name', j->>'$.parent', j->>'$.cluster', j->>'$.scope', j->>'$.subindustry', (j->>'$.lat')::double, (j->>'$.lon')::double, (j->>'$.miles')::double, 'ledger'
+   FROM add_first WHERE id NOT IN (SELECT id FROM entity WHERE id IS NOT NULL))"""
+LOG_SQL = ADDED_SQL + """,
  log AS (SELECT id, epoch_us(try_cast(r.ts AS timestamptz)) AS instant, r.action AS action, r.entity_id AS entity_id, r.undo_of AS undo_of, r.band AS band
          FROM (SELECT id, arg_min(struct_pack(ts := ts, action := action, entity_id := entity_id, undo_of := undo_of, band := band),
                                   struct_pack(a := arrived_at, b := action, c := entity_id)) AS r FROM logbook_event WHERE id IS NOT NULL GROUP BY id)),
@@ -36,7 +42,8 @@ LOG_SQL = """
  ranked AS (SELECT *, CASE action WHEN 'surveyed' THEN 1 WHEN 'visited' THEN 2 WHEN 'met' THEN 2 WHEN 'quoted' THEN 3 WHEN 'won' THEN 4 END AS rank FROM tap WHERE entity_id IS NOT NULL AND instant IS NOT NULL),
  run AS (SELECT *, coalesce(max(rank) OVER (PARTITION BY entity_id ORDER BY instant, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS old_rank FROM ranked WHERE rank IS NOT NULL),
  adv AS (SELECT * FROM run WHERE rank > old_rank),
- ent AS (SELECT DISTINCT ON (id) id, kind, cluster, scope, potential.band AS base_band FROM entity WHERE id IS NOT NULL),
+ ent AS (SELECT DISTINCT ON (id) id, kind, cluster, scope, potential.band AS base_band, NULL::bigint AS since FROM entity WHERE id IS NOT NULL
+   UNION ALL SELECT id, j->>'$.kind', j->>'$.cluster', j->>'$.scope', NULL, since FROM add_first WHERE id NOT IN (SELECT id FROM entity WHERE id IS NOT NULL)),
  paid AS (SELECT adv.*, kind, cluster, CASE WHEN kind = 'facility' THEN CASE coalesce(adv.band, base_band) WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END
            ELSE CASE kind WHEN 'oem' THEN 3 WHEN 'engineering_office' THEN 3 WHEN 'integrator' THEN 2 WHEN 'distributor' THEN 2 ELSE 1 END END AS weight FROM adv JOIN ent ON ent.id = adv.entity_id),
  points AS (SELECT *, ([1, 4, 9, 17][rank] - coalesce([1, 4, 9, 17][nullif(old_rank, 0)], 0)) * weight AS points FROM paid)
@@ -49,10 +56,16 @@ def changes(spark, d):
 
 def all_changes(spark, d):
     """Every change once, those of no effect included."""
-    feed = table(spark, d, "ledger_change").select("ord", "id", "ts", "change", "entity_id", "duplicate_of", "field", "value", "reason")
+    feed = table(spark, d, "ledger_change").select("ord", "id", "ts", "change", "entity_id", "duplicate_of", "field", "value", "reason", "entity")
     return first_deliveries(feed, "id", "ord").withColumn("instant", instant_micros("ts")).withColumnRenamed("id", "change_id")
 
 
+def registry_now(spark, d):
+    """The registry as the ledger leaves it, added entries included."""
+    base = entities(spark, d).select("id", "kind", "name", "parent", "lat", "lon", "cluster", "scope", "band", "subindustry", "miles", "existence")
+    return ledger.apply_ledger(base, changes(spark, d), HOME, ledger.additions(all_changes(spark, d)))
+
+
 def events(spark, d):
     """Activity once an id: the first arrival. (id, instant, action, entity_id, undo_of, band, ord)"""
     e = table(spark, d, "logbook_event").filter("id IS NOT NULL").select("id", "ts", "action", "entity_id", "undo_of", "band", "role", "arrived_at")
@@ -68,7 +81,10 @@ def taps(spark, d):
 
 
 def known(spark, d):
-    return entities(spark, d).select("id", "kind", "cluster", "scope", F.col("potential.band").alias("base_band"))
+    """Entries of the base, and added ones with the instant `since` which they are there."""
+    base = entities(spark, d).select("id", "kind", "cluster", "scope", F.col("potential.band").alias("base_band"), F.lit(None).cast("long").alias("since"))
+    added = ledger.additions(all_changes(spark, d)).select("id", "kind", "cluster", "scope", F.lit(None).cast("string").alias("base_band"), "since")
+    return base.unionByName(added.join(base.select("id"), "id", "left_anti"))
 
 
 def paid(spark, d):
@@ -85,22 +101,22 @@ def q27_ledger_latest_status(spark, d):
 
 @catalog.query(
     sql=LIVE_SQL
+    + "," + ADDED_SQL
     + """, c AS (SELECT entity_id, field, arg_max(value, struct_pack(i := instant, o := ord)) AS v FROM live WHERE change = 'correct' GROUP BY 1, 2),
          w AS (SELECT entity_id, max(v) FILTER (field = 'name') AS name, max(v) FILTER (field = 'parent') AS parent, max(v) FILTER (field = 'subindustry') AS subindustry,
                  try_cast(max(v) FILTER (field = 'lat') AS double) AS lat, try_cast(max(v) FILTER (field = 'lon') AS double) AS lon FROM c GROUP BY 1),
-         b AS (SELECT DISTINCT ON (id) id, name, parent, subindustry, lat, lon, miles FROM entity WHERE id IS NOT NULL)
-         SELECT b.id, coalesce(w.name, b.name) AS name, coalesce(w.parent, b.parent) AS parent, coalesce(w.subindustry, b.subindustry) AS subindustry, coalesce(w.lat, b.lat) AS lat, coalesce(w.lon, b.lon) AS lon,
+         b AS (SELECT * FROM entry)
+         SELECT b.id, b.kind, b.cluster, b.scope, b.existence, coalesce(w.name, b.name) AS name, coalesce(w.parent, b.parent) AS parent, coalesce(w.subindustry, b.subindustry) AS subindustry, coalesce(w.lat, b.lat) AS lat, coalesce(w.lon, b.lon) AS lon,
            CASE WHEN w.lat IS NOT NULL OR w.lon IS NOT NULL THEN round_even(sqrt(pow((coalesce(w.lon, b.lon) - -77.44) * 69 * cos(radians(37.5)), 2) + pow((coalesce(w.lat, b.lat) - 37.54) * 69, 2)), 1) ELSE b.miles END AS miles,
            coalesce(s.status, 'active') AS status FROM b LEFT JOIN w ON w.entity_id = b.id LEFT JOIN status s ON s.entity_id = b.id"""
 )
 def q28_ledger_corrections(spark, d):
-    """The effective registry of base entries."""
-    base = entities(spark, d).select("id", "kind", "name", "parent", "lat", "lon", "cluster", "scope", "band", "subindustry", "miles")
-    return ledger.apply_ledger(base, changes(spark, d), HOME).select("id", "name", "parent", "subindustry", "lat", "lon", "miles", "status")
+    """The effective registry, added entries included."""
+    return registry_now(spark, d).select("id", "kind", "cluster", "scope", "existence", "name", "parent", "subindustry", "lat", "lon", "miles", "status")
 
 
 @catalog.query(
-    sql="""WITH once AS (SELECT id, arg_min(struct_pack(ts := ts, change := change, entity_id := entity_id, duplicate_of := duplicate_of, field := field, value := value), ord) AS r, min(ord) AS ord
+    sql="""WITH once AS (SELECT id, arg_min(struct_pack(ts := ts, change := change, entity_id := entity_id, duplicate_of := duplicate_of, field := field, value := value, entity := entity), ord) AS r, min(ord) AS ord
               FROM ledger_change WHERE id IS NOT NULL GROUP BY id),
  c AS (SELECT id AS change_id, ord, epoch_us(try_cast(r.ts AS timestamptz)) AS instant, r.* FROM once),
  base AS (SELECT DISTINCT id FROM entity WHERE id IS NOT NULL),
@@ -113,11 +129,15 @@ def q28_ledger_corrections(spark, d):
    CASE WHEN change = 'mark_duplicate' AND duplicate_of IS NOT NULL AND NOT target_known THEN 'unknown target' END,
    CASE WHEN change = 'correct' AND NOT coalesce(field IN ('name', 'lat', 'lon', 'subindustry', 'parent'), false) THEN 'field not correctable' END,
    CASE WHEN change = 'correct' AND value IS NULL THEN 'no value' END,
-   CASE WHEN change = 'correct' AND field IN ('lat', 'lon') AND value IS NOT NULL AND try_cast(value AS double) IS NULL THEN 'not a number' END], lambda x: x IS NOT NULL)) AS problem FROM k)
+   CASE WHEN change = 'correct' AND field IN ('lat', 'lon') AND value IS NOT NULL AND try_cast(value AS double) IS NULL THEN 'not a number' END,
+   CASE WHEN change = 'add_entity' AND (entity->>'$.id') IS DISTINCT FROM entity_id THEN 'entry of another id' END,
+   CASE WHEN change = 'add_entity' AND NOT coalesce(regexp_full_match(entity->>'$.id', '[A-Za-z0-9_.:-]{3,80}') AND entity->>'$.kind' IN ('facility', 'oem', 'engineering_office', 'integrator', 'distributor')
+     AND length(entity->>'$.name') BETWEEN 1 AND 200 AND (entity->>'$.lat')::double BETWEEN 36 AND 40 AND (entity->>'$.lon')::double BETWEEN -80 AND -74 AND coalesce(entity->>'$.scope', 'core') IN ('core', 'extended'), false)
+     THEN 'entry breaks its contract' END], lambda x: x IS NOT NULL)) AS problem FROM k)
  SELECT change_id, problem FROM v"""
 )
 def q29_ledger_violations(spark, d):
-    return ledger.violations(all_changes(spark, d), entities(spark, d).select("id"))
+    return ledger.violations(all_changes(spark, d), entities(spark, d).select("id"), ledger.ENTRY_CONTRACT)
 
 
 CHAIN_SQL = LIVE_SQL.replace("WITH once", "WITH RECURSIVE once") + """, dup AS (SELECT entity_id AS id, duplicate_of AS nxt FROM status WHERE status = 'duplicate'),
@@ -176,7 +196,7 @@ def q36_points_by_stage(spark, d):
 
 
 def _timeline(spark, d):
-    pool = known(spark, d).filter("kind = 'facility' AND scope = 'core'").select("id", "cluster")
+    pool = known(spark, d).filter("kind = 'facility' AND scope = 'core'").select("id", "cluster", "since")
     first = progress.advancing_taps(taps(spark, d)).filter("old_rank = 0").select("entity_id", F.col("seq.instant").alias("instant"))
     status = changes(spark, d).filter("field = 'status'").withColumn("status", ledger.status_column("change")).select("entity_id", "instant", "ord", "status")
     return progress.share_timeline(first, status, pool)
@@ -184,16 +204,17 @@ def _timeline(spark, d):
 
 SHARE_SQL = (
     LIVE_SQL + "," + LOG_SQL
-    + """, pool AS (SELECT id, cluster FROM ent WHERE kind = 'facility' AND scope = 'core'),
+    + """, pool AS (SELECT id, cluster, since FROM ent WHERE kind = 'facility' AND scope = 'core'),
  st AS (SELECT l.entity_id, l.instant, l.ord, l.change = 'reinstate' AS live FROM live l JOIN pool p ON p.id = l.entity_id WHERE l.field = 'status'),
  ch AS (SELECT *, coalesce(lag(live) OVER (PARTITION BY entity_id ORDER BY instant, ord), true) AS was FROM st),
  flip AS (SELECT entity_id, instant, ord, live FROM ch WHERE live <> was),
  ft AS (SELECT a.entity_id, a.instant AS tapped FROM adv a JOIN pool p ON p.id = a.entity_id WHERE a.old_rank = 0),
  step AS (SELECT entity_id, instant, 0 AS d, CASE WHEN live THEN 1 ELSE -1 END AS z FROM flip
    UNION ALL SELECT f.entity_id, f.instant, CASE WHEN f.live THEN 1 ELSE -1 END, 0 FROM flip f JOIN ft ON ft.entity_id = f.entity_id AND f.instant > tapped
+   UNION ALL SELECT id, since, 0, 1 FROM pool WHERE since IS NOT NULL
    UNION ALL SELECT ft.entity_id, tapped, 1, 0 FROM ft WHERE coalesce((SELECT arg_max(f.live, struct_pack(i := f.instant, o := f.ord)) FROM flip f WHERE f.entity_id = ft.entity_id AND f.instant <= tapped), true)),
  net AS (SELECT p.cluster, s.instant, sum(d) AS d, sum(z) AS z FROM step s JOIN pool p ON p.id = s.entity_id GROUP BY 1, 2),
- tl AS (SELECT n.cluster, instant, sum(d) OVER w AS done, c.n + sum(z) OVER w AS size FROM net n JOIN (SELECT cluster, count(*) AS n FROM pool GROUP BY 1) c USING (cluster) WINDOW w AS (PARTITION BY n.cluster ORDER BY instant ROWS UNBOUNDED PRECEDING))"""
+ tl AS (SELECT n.cluster, instant, sum(d) OVER w AS done, c.n + sum(z) OVER w AS size FROM net n JOIN (SELECT cluster, count(*) FILTER (since IS NULL) AS n FROM pool GROUP BY 1) c USING (cluster) WINDOW w AS (PARTITION BY n.cluster ORDER BY instant ROWS UNBOUNDED PRECEDING))"""
 )
 
 
@@ -209,32 +230,33 @@ def q37_cluster_share_timeline(spark, d):
  SELECT cluster, m.share::double AS share, m.points::int AS points, min(instant) AS instant FROM held, (VALUES (0.1::double, 5), (0.25, 15), (0.5, 30), (0.75, 50)) m(share, points) WHERE size > 0 AND done / size >= m.share GROUP BY 1, 2, 3"""
 )
 def q38_milestones(spark, d):
-    return _milestones(spark, d)
+    return milestones_met(spark, d)
 
 
-def _milestones(spark, d):
+def milestones_met(spark, d):
+    """(cluster, share, points, instant) of every milestone met."""
     adv = progress.advancing_taps(taps(spark, d)).join(known(spark, d).select(F.col("id").alias("entity_id"), "cluster"), "entity_id").select("cluster", F.col("seq.instant").alias("instant"))
     return progress.milestones(cut(_timeline(spark, d)), adv)
 
 
-def _signals(spark, d):
+def signals_now(spark, d):
     """Registry signals plus one for each added entry, received when it was added."""
     e = entities(spark, d).select("id", "name", "scope", F.col("timing.k").alias("timing_k"), F.col("timing.label").alias("timing_label"), "loaded_at")
     snap = signals.seed(e).join(e.select(F.col("id").alias("entity_id"), F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("received")), "entity_id")
-    snap = snap.select("signal_id", "entity_id", "source_type", "stage", "received")
-    added = changes(spark, d).filter("field = 'record'").select(F.concat(F.lit("sig-add-"), "change_id").alias("signal_id"), "entity_id", F.lit("manual").alias("source_type"), F.lit("announced").alias("stage"), F.col("instant").alias("received"))
+    snap = snap.select("signal_id", "entity_id", "source_type", "stage", "kind", "generated_by", "received")
+    added = changes(spark, d).filter("field = 'record'").select(F.concat(F.lit("sig-add-"), "change_id").alias("signal_id"), "entity_id", F.lit("manual").alias("source_type"), F.lit("announced").alias("stage"), F.lit("project_status").alias("kind"), F.lit("person").alias("generated_by"), F.col("instant").alias("received"))
     return snap.unionByName(added)
 
 
-SIGNAL_SQL = (
-    LIVE_SQL
-    + """, e AS (SELECT DISTINCT ON (id) id, name, scope, timing.k AS k, epoch_us(loaded_at) AS received FROM entity WHERE id IS NOT NULL),
- sig AS (SELECT 'sig-snap-' || id || '-' || k AS signal_id, id AS entity_id, 'registry_snapshot' AS source_type, CASE k WHEN 'proposed' THEN 'announced' WHEN 'construction' THEN 'construction' WHEN 'expansion' THEN 'construction' ELSE 'on_hold' END AS stage, received
+SIGNAL_TAIL = (
+    """, e AS (SELECT DISTINCT ON (id) id, name, scope, timing.k AS k, epoch_us(loaded_at) AS received FROM entity WHERE id IS NOT NULL),
+ sig AS (SELECT 'sig-snap-' || id || '-' || k AS signal_id, id AS entity_id, 'registry_snapshot' AS source_type, CASE k WHEN 'expansion' THEN 'expansion' ELSE 'project_status' END AS kind, 'rule' AS generated_by, CASE k WHEN 'proposed' THEN 'announced' WHEN 'construction' THEN 'construction' WHEN 'expansion' THEN 'construction' ELSE 'on_hold' END AS stage, received
          FROM e WHERE scope = 'core' AND k IN ('proposed', 'construction', 'expansion', 'hold')
-         UNION ALL SELECT 'sig-add-' || change_id, entity_id, 'manual', 'announced', instant FROM live WHERE field = 'record'),
+         UNION ALL SELECT 'sig-add-' || change_id, entity_id, 'manual', 'project_status', 'person', 'announced', instant FROM live WHERE field = 'record'),
  fresh AS (SELECT *, CASE WHEN source_type = 'registry_snapshot' THEN 0.0::double ELSE CASE WHEN (1790000000 - received // 1000000) / 3600 <= 72 THEN 1.0::double WHEN (1790000000 - received // 1000000) / 3600 >= 168 THEN 0.0
      ELSE round_even(1 - ((1790000000 - received // 1000000) / 3600 - 72) / 96, 3) END END AS freshness FROM sig)"""
 )
+SIGNAL_SQL = LIVE_SQL + "," + ADDED_SQL + SIGNAL_TAIL
 
 
 @catalog.query(
@@ -276,6 +298,10 @@ def q41_rank_for(spark, d):
    round_even(count(*) FILTER (r > 0) / count(*), 4) AS surveyed_share FROM pool GROUP BY cluster"""
 )
 def q42_cluster_rollup_pivot(spark, d):
+    return cluster_rollup(spark, d)
+
+
+def cluster_rollup(spark, d):
     status = ledger.latest_status(changes(spark, d)).select(F.col("entity_id").alias("id"), "status")
     top = progress.advancing_taps(taps(spark, d)).groupBy(F.col("entity_id").alias("id")).agg(F.max("new_rank").alias("r"))
     pool = known(spark, d).filter("kind = 'facility' AND scope = 'core'").join(status, "id", "left").filter("coalesce(status, 'active') = 'active'").join(top, "id", "left")
@@ -306,7 +332,7 @@ def q42_transferred_stages(spark, d):
 
 @catalog.query(
     sql="""SELECT DISTINCT 'sig-snap-' || id || '-' || timing.k AS signal_id, id AS entity_id, 'registry_snapshot' AS source_type, CASE timing.k WHEN 'proposed' THEN 'announced' WHEN 'construction' THEN 'construction' WHEN 'expansion' THEN 'construction' ELSE 'on_hold' END AS stage,
-             left(concat_ws(': ', name, timing.label), 200) AS headline FROM entity WHERE scope = 'core' AND timing.k IN ('proposed', 'construction', 'expansion', 'hold') AND id IS NOT NULL"""
+             CASE timing.k WHEN 'expansion' THEN 'expansion' ELSE 'project_status' END AS kind, 'exact_id' AS match_method, 'high' AS match_confidence, 'rule' AS generated_by, left(concat_ws(': ', name, timing.label), 200) AS headline FROM entity WHERE scope = 'core' AND timing.k IN ('proposed', 'construction', 'expansion', 'hold') AND id IS NOT NULL"""
 )
 def q43_signal_seed(spark, d):
     e = entities(spark, d).select("id", "name", "scope", F.col("timing.k").alias("timing_k"), F.col("timing.label").alias("timing_label"))
@@ -315,7 +341,7 @@ def q43_signal_seed(spark, d):
 
 @catalog.query(sql=SIGNAL_SQL + " SELECT signal_id, freshness FROM fresh")
 def q44_freshness(spark, d):
-    return _signals(spark, d).select("signal_id", signals.freshness(F.col("received"), F.col("source_type"), NOW).alias("freshness"))
+    return signals_now(spark, d).select("signal_id", signals.freshness(F.col("received"), F.col("source_type"), NOW).alias("freshness"))
 
 
 def _triage(spark, d):
@@ -324,6 +350,18 @@ def _triage(spark, d):
     return events(spark, d).withColumn("action", F.try_element_at(named, F.col("action"))).filter("action IS NOT NULL AND entity_id IS NOT NULL").select(F.col("entity_id").alias("signal_id"), "action", "instant", F.struct("ord", "id").alias("ord"))
 
 
+def triaged(spark, d, found):
+    """(signal_id, status) of the signals in `found` that were triaged: an action on an entry is one on its signals."""
+    t = signals.triage(_triage(spark, d)).withColumnRenamed("signal_id", "entity_id")
+    return found.select("signal_id", "entity_id").join(t, "entity_id").select("signal_id", "status")
+
+
+def reviews(spark, d, found):
+    """(signal_id, instant, ord) of every review of a signal in `found`."""
+    r = _triage(spark, d).filter("action = 'signal_reviewed' AND instant IS NOT NULL").withColumnRenamed("signal_id", "entity_id")
+    return found.select("signal_id", "entity_id").join(r, "entity_id").select("signal_id", "instant", "ord")
+
+
 TRIAGE_SQL = """
  log AS (SELECT id, arg_min(struct_pack(ts := ts, action := action, entity_id := entity_id), struct_pack(a := arrived_at, b := action, c := entity_id)) AS r, epoch_us(min(arrived_at)) AS ord FROM logbook_event WHERE id IS NOT NULL GROUP BY id),
  act AS (SELECT id, r.entity_id AS entity_id, epoch_us(try_cast(r.ts AS timestamptz)) AS instant, ord, CASE r.action WHEN 'visited' THEN 'reviewed' WHEN 'met' THEN 'pinned' WHEN 'won' THEN 'dismissed' END AS a FROM log),
@@ -338,18 +376,17 @@ def q45_triage(spark, d):
 @catalog.query(
     sql=SIGNAL_SQL + "," + TRIAGE_SQL
     + """, one AS (SELECT f.*, coalesce(t.status, 'new') AS status FROM fresh f LEFT JOIN tri t ON t.entity_id = f.entity_id)
-         SELECT signal_id, entity_id, status, freshness, stage IN ('announced', 'design', 'permitting') AS spec_window FROM one WHERE entity_id IN (SELECT id FROM e)"""
+         SELECT signal_id, entity_id, status, freshness, stage IN ('announced', 'design', 'permitting') AS spec_window FROM one WHERE entity_id IN (SELECT id FROM entry)"""
 )
 def q46_signal_view(spark, d):
-    t = signals.triage(_triage(spark, d)).withColumnRenamed("signal_id", "entity_id")
-    s = _signals(spark, d)
-    keyed = s.select("signal_id", "entity_id").join(t, "entity_id").select("signal_id", "status")
-    return signals.view(s, keyed, entities(spark, d).select("id"), NOW)
+    s = signals_now(spark, d)
+    return signals.view(s, triaged(spark, d, s), known(spark, d).select("id"), NOW)
 
 
 @catalog.query(sql=SIGNAL_SQL + " SELECT signal_id FROM sig WHERE entity_id IS NOT NULL AND entity_id NOT IN (SELECT id FROM e)")
 def q46_orphans(spark, d):
-    return signals.orphans(_signals(spark, d), entities(spark, d).select("id")).select("signal_id")
+    """Signals whose entity the base registry lacks (here those of added entries)."""
+    return signals.orphans(signals_now(spark, d), entities(spark, d).select("id")).select("signal_id")
 
 
 @catalog.query(
@@ -378,6 +415,19 @@ def q49_counters_grouping_sets(spark, d):
     return spark.sql("SELECT kind, scope, existence, count(*) AS n FROM fieldledger_counted GROUP BY GROUPING SETS ((kind), (scope), (existence), ())")
 
 
+COUNTER_SQL = """, tagged AS (SELECT sig.*, coalesce(t.status, 'new') AS status, CASE WHEN sig.entity_id IS NULL THEN 'unplaced' WHEN sig.entity_id NOT IN (SELECT id FROM entry) THEN 'orphaned' ELSE 'placed' END AS place
+   FROM sig LEFT JOIN tri t ON t.entity_id = sig.entity_id),
+ counted AS (SELECT 'signals_by_source' AS what, source_type AS value, count(*)::bigint AS n FROM tagged GROUP BY 2 UNION ALL SELECT 'signals_by_kind', kind, count(*) FROM tagged GROUP BY 2
+   UNION ALL SELECT 'signals_by_generator', generated_by, count(*) FROM tagged GROUP BY 2 UNION ALL SELECT 'signals_by_status', status, count(*) FROM tagged GROUP BY 2 UNION ALL SELECT 'signals_by_place', place, count(*) FROM tagged GROUP BY 2)"""
+
+
+@catalog.query(sql=SIGNAL_SQL + "," + TRIAGE_SQL + COUNTER_SQL + " SELECT what, value, n FROM counted")
+def q49_signal_counters(spark, d):
+    """Signals by source type, kind, generator, triage status and place."""
+    s = signals_now(spark, d)
+    return signals.counters(s, triaged(spark, d, s), known(spark, d).select("id"))
+
+
 # ------------------------------------------------------------------ validation
 
 CHANGE_CONTRACT = {
@@ -392,13 +442,21 @@ CHANGE_CONTRACT = {
 
 
 @catalog.query(
-    sql="""SELECT DISTINCT ord, list_filter([CASE WHEN reason IS NULL THEN '$: lacks reason' END, CASE WHEN NOT regexp_matches(actor, '^(desk|rep-[0-9]+|system:[a-z0-9_-]+)$') THEN '$.actor: pattern' END,
+    sql="""SELECT DISTINCT ord, list_filter([CASE WHEN reason IS NULL THEN '$: lacks reason' END, CASE WHEN id IS NULL THEN '$: lacks id' END, CASE WHEN ts IS NULL THEN '$: lacks ts' END, CASE WHEN actor IS NULL THEN '$: lacks actor' END,
+             CASE WHEN change IS NULL THEN '$: lacks change' END, CASE WHEN entity_id IS NULL THEN '$: lacks entity_id' END,
+             CASE WHEN NOT regexp_matches(actor, '^(desk|rep-[0-9]+|system:[a-z0-9_-]+)$') THEN '$.actor: pattern' END,
+             CASE WHEN NOT regexp_matches(id, '^lc-[a-z0-9]{12}$') THEN '$.id: pattern' END, CASE WHEN length(reason) < 3 THEN '$.reason: too short' END, CASE WHEN length(reason) > 500 THEN '$.reason: too long' END,
+             CASE WHEN length(evidence) > 500 THEN '$.evidence: too long' END, CASE WHEN length(entity_id) < 3 THEN '$.entity_id: too short' END, CASE WHEN length(entity_id) > 80 THEN '$.entity_id: too long' END,
+             CASE WHEN NOT regexp_matches(entity_id, '^[A-Za-z0-9_.:-]+$') THEN '$.entity_id: pattern' END, CASE WHEN NOT regexp_matches(duplicate_of, '^[A-Za-z0-9_.:-]+$') THEN '$.duplicate_of: pattern' END,
+             CASE WHEN field NOT IN ('name', 'lat', 'lon', 'subindustry', 'parent') THEN '$.field: not one of the values' END,
+             CASE WHEN change NOT IN ('mark_defunct', 'mark_not_a_fit', 'mark_assigned_elsewhere', 'mark_duplicate', 'reinstate', 'correct', 'add_entity') THEN '$.change: not one of the values' END,
+             CASE WHEN json_type(entity) <> 'OBJECT' THEN '$.entity: not object' END,
              CASE WHEN NOT regexp_matches(ts, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z$') THEN '$.ts: no instant' END], lambda x: x IS NOT NULL) AS errors FROM ledger_change"""
 )
 def q50_validate_json(spark, d):
-    """The ledger's JSON lines against their contract (only three rules can break in these tables)."""
+    """The ledger's JSON lines against their contract (every rule it has, in the twin as well)."""
     c = table(spark, d, "ledger_change")
-    raw = F.to_json(F.struct("id", "ts", "actor", "change", "entity_id", "reason", "duplicate_of", "field", "value", "evidence"))
+    raw = F.to_json(F.struct("id", "ts", "actor", "change", "entity_id", "reason", "duplicate_of", "field", "value", "evidence", F.try_parse_json("entity").alias("entity")))
     checked = validate.validate(c.select("ord", raw.alias("raw")), "raw", CHANGE_CONTRACT)
     rank = F.expr("array_sort(errors, (l, r) -> CASE WHEN l LIKE '$: %' AND r NOT LIKE '$: %' THEN -1 WHEN r LIKE '$: %' AND l NOT LIKE '$: %' THEN 1 WHEN l < r THEN -1 WHEN l > r THEN 1 ELSE 0 END)")
     return checked.select("ord", rank.alias("errors")).distinct()
@@ -535,31 +593,43 @@ def q66_stream_activity(spark, d):
     return count_actions(spark, f"{d}/logbook_event.parquet")
 
 
+MET_SQL = """, seen AS (SELECT DISTINCT p.cluster, a.instant FROM adv a JOIN ent p ON p.id = a.entity_id),
+ held AS (SELECT seen.cluster, seen.instant, t.done, t.size FROM seen ASOF JOIN tl t ON seen.cluster = t.cluster AND seen.instant >= t.instant),
+ met AS (SELECT cluster, m.share AS share, m.points AS points, min(instant) AS instant FROM held, (VALUES (0.1::double, 5), (0.25, 15), (0.5, 30), (0.75, 50)) m(share, points) WHERE size > 0 AND done / size >= m.share GROUP BY 1, 2, 3)"""
+
+
 @catalog.query(
-    sql=LIVE_SQL + "," + LOG_SQL
-    + """, total AS (SELECT coalesce(sum(points), 0)::bigint AS p FROM points)
-        SELECT 'entities' AS what, count(*)::bigint AS n FROM ent UNION ALL SELECT 'retired', count(*) FROM status s JOIN ent e ON e.id = s.entity_id WHERE s.status <> 'active'
-        UNION ALL SELECT 'taps', count(*) FROM ranked WHERE rank IS NOT NULL UNION ALL SELECT 'stage_points', p FROM total"""
+    sql=SHARE_SQL + MET_SQL + SIGNAL_TAIL + "," + TRIAGE_SQL.replace(" log AS", " plain AS").replace("FROM log)", "FROM plain)") + COUNTER_SQL + "," + LADDER_SQL
+    + """, rev AS (SELECT entity_id, min(struct_pack(i := instant, o := ord, id := id)) AS f FROM act WHERE a = 'reviewed' AND entity_id IS NOT NULL AND instant IS NOT NULL GROUP BY 1),
+ reviewed AS (SELECT count(*) FILTER ((f.i // 1000000 - received // 1000000) / 86400 BETWEEN 0 AND 3) AS p FROM rev JOIN sig ON sig.entity_id = rev.entity_id WHERE received IS NOT NULL),
+ pts AS (SELECT (SELECT coalesce(sum(points), 0)::bigint FROM points) AS stage, (SELECT coalesce(sum(points), 0)::bigint FROM met) AS milestone, (SELECT p FROM reviewed) AS review),
+ registry AS (SELECT e.*, coalesce(s.status, 'active') AS status FROM entry e LEFT JOIN status s ON s.entity_id = e.id)
+ SELECT what, value, n FROM counted UNION ALL SELECT 'entities_by_kind', kind, count(*) FROM registry GROUP BY 2 UNION ALL SELECT 'entities_by_status', status, count(*) FROM registry GROUP BY 2
+ UNION ALL SELECT 'entities_by_existence', existence, count(*) FROM registry GROUP BY 2 UNION ALL SELECT 'entities_visible', NULL, count(*) FROM registry WHERE scope = 'core' AND status = 'active'
+ UNION ALL SELECT 'points', 'stages', stage FROM pts UNION ALL SELECT 'points', 'milestones', milestone FROM pts UNION ALL SELECT 'points', 'reviews', review FROM pts UNION ALL SELECT 'points', 'total', stage + milestone + review FROM pts
+ UNION ALL SELECT 'rank', NULL, (SELECT max(level) FROM ladder, pts WHERE min_points <= stage + milestone + review)::bigint
+ UNION ALL SELECT 'milestones', cluster, count(*) FROM met GROUP BY 2 UNION ALL SELECT 'taps', NULL, count(*) FROM ranked WHERE rank IS NOT NULL
+ UNION ALL SELECT 'active_facilities', cluster, count(*) FROM registry WHERE kind = 'facility' AND scope = 'core' AND status = 'active' GROUP BY 2"""
 )
 def q67_compose(spark, d):
-    """Totals of the composed state."""
+    """The composed state as counters: registry, signals, taps, milestones, clusters, points and rank."""
     from .compose import compose
 
     s = compose(spark, d)
-    one = lambda name, df: df.select(F.lit(name).alias("what"), F.col("n").cast("long").alias("n"))
-    count = lambda name, df: one(name, df.agg(F.count("*").alias("n")))
-    points = s["paid"].agg(F.coalesce(F.sum("points"), F.lit(0)).alias("n"))
-    return count("entities", s["registry"]).unionByName(count("retired", s["registry"].filter("status <> 'active'"))).unionByName(count("taps", s["taps"])).unionByName(one("stage_points", points))
+    one = lambda what, value, n: F.struct(F.lit(what).alias("what"), F.lit(value).cast("string").alias("value"), F.col(n).cast("long").alias("n"))
+    totals = s["totals"].crossJoin(s["rank"].select("level"))  # one row each
+    totals = totals.select(F.explode(F.array(one("points", "stages", "stages"), one("points", "milestones", "milestones"), one("points", "reviews", "reviews"), one("points", "total", "points"), one("rank", None, "level"))).alias("x")).select("x.*")
+    cols = lambda df, what, value: df.select(F.lit(what).alias("what"), (F.col(value) if value else F.lit(None).cast("string")).alias("value"), F.col("n").cast("long").alias("n"))
+    by = cols(s["milestones"].groupBy("cluster").agg(F.count("*").alias("n")), "milestones", "cluster")
+    active = cols(s["clusters"].select("cluster", F.col("entities").alias("n")), "active_facilities", "cluster")
+    return s["counters"].unionByName(totals).unionByName(by).unionByName(active).unionByName(cols(s["taps"].agg(F.count("*").alias("n")), "taps", None))
 
 
 @catalog.query(
-    sql=SHARE_SQL
-    + """, seen AS (SELECT DISTINCT p.cluster, a.instant FROM adv a JOIN ent p ON p.id = a.entity_id),
- held AS (SELECT seen.cluster, seen.instant, t.done, t.size FROM seen ASOF JOIN tl t ON seen.cluster = t.cluster AND seen.instant >= t.instant),
- met AS (SELECT cluster, m.share AS share, m.points AS points, min(instant) AS instant FROM held, (VALUES (0.1::double, 5), (0.25, 15), (0.5, 30), (0.75, 50)) m(share, points) WHERE size > 0 AND done / size >= m.share GROUP BY 1, 2, 3)
- SELECT instant, entity_id AS subject, ['surveyed', 'landfall', 'established', 'anchored'][rank] AS what, points::bigint AS points FROM points
+    sql=SHARE_SQL + MET_SQL
+    + """ SELECT instant, entity_id AS subject, ['surveyed', 'landfall', 'established', 'anchored'][rank] AS what, points::bigint AS points FROM points
  UNION ALL SELECT instant, cluster, 'share ' || share::double::varchar, points::bigint FROM met ORDER BY instant DESC, subject, what LIMIT 200"""
 )
 def q68_history(spark, d):
     """The last 200 stages and milestones."""
-    return progress.history(paid(spark, d), cut(_milestones(spark, d)))
+    return progress.history(paid(spark, d), cut(milestones_met(spark, d)))

@@ -231,18 +231,18 @@ def q13_survivorship_fold(spark, d):
 
 
 @catalog.query(
-    sql="""WITH p AS (SELECT DISTINCT rec_id % 5000 AS k, max(employees) AS employees, min(operator) AS operator FROM site_record WHERE rec_id IS NOT NULL AND source_name = 'recall_sweep' GROUP BY 1),
-             r AS (SELECT DISTINCT rec_id, name, employees, operator FROM site_record WHERE rec_id IS NOT NULL AND source_name = 'trade_list')
+    sql="""WITH s AS (SELECT DISTINCT rec_id, source_name, name, employees, operator, lower(trim(address)) AS place FROM site_record WHERE rec_id IS NOT NULL),
+             p AS (SELECT place AS k, max(employees) AS employees, min(operator) AS operator FROM s WHERE source_name = 'recall_sweep' AND place <> '' GROUP BY 1)
          SELECT r.rec_id, r.name, CASE WHEN p.k IS NOT NULL THEN p.employees ELSE r.employees END AS employees, CASE WHEN p.operator IS NOT NULL THEN p.operator ELSE r.operator END AS operator
-         FROM r LEFT JOIN p ON p.k = r.rec_id"""
+         FROM s r LEFT JOIN p ON p.k = r.place WHERE r.source_name = 'trade_list'"""
 )
 def q14_overlay_update(spark, d):
-    """Enrichment over records: stated keys win even where null (employees always, operator only where it has a value)."""
-    r = site_records(spark, d)
-    patch = r.filter("source_name = 'recall_sweep'").groupBy((F.col("rec_id") % 5000).alias("rec_id")).agg(F.max("employees").alias("employees"), F.min("operator").alias("operator"))
+    """What the recall sweep says of an address, over the trade list's records there: stated keys win even where null (employees always, operator only where it has a value)."""
+    r = table(spark, d, "site_record").filter("rec_id IS NOT NULL").select("rec_id", "source_name", "name", "employees", "operator", F.lower(F.trim("address")).alias("place")).distinct()
+    patch = r.filter("source_name = 'recall_sweep' AND place <> ''").groupBy("place").agg(F.max("employees").alias("employees"), F.min("operator").alias("operator"))
     keys = F.array_compact(F.array(F.lit("employees"), F.when(F.col("operator").isNotNull(), F.lit("operator"))))
-    rows = r.filter("source_name = 'trade_list'").select("rec_id", "name", "employees", "operator")
-    return resolve.overlay(rows, patch.withColumn("present_keys", keys), "rec_id")
+    rows = r.filter("source_name = 'trade_list'").select("rec_id", "place", "name", "employees", "operator")
+    return resolve.overlay(rows, patch.withColumn("present_keys", keys), "place").drop("place")
 
 
 @catalog.query(

@@ -65,45 +65,70 @@ def count_actions(spark: SparkSession, path: str) -> DataFrame:
 # fixed values: which fields an activity may state, and with which actions
 FIELDS = ["id", "ts", "actor", "action", "entity_id", "undo_of", "role", "band"]
 TAPS = list(ACTION_RANK)
+SIGNAL_ACTIONS = ["signal_reviewed", "signal_pinned", "signal_dismissed"]
 
 
-def admit(batch: DataFrame, known: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+def admit(batch: DataFrame, known: DataFrame, log: DataFrame, signals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of a batch of candidate events; rejected carries code and message.
 
-    `known`: id, status, band of the effective registry; `log`: id, action, undo_of already stored.
-    400: unknown action or entity, an undo of nothing, a role on anything but a meeting, an address or
-    digits in a role. 409: entity retired, tap undone before. Accepted taps take the entity's band.
+    `known`: id, status, band of the effective registry; `log`: id, action, entity_id, undo_of already stored;
+    `signals`: signal_id of those on record, for the triage actions. A batch with a column signal_id keeps it.
+    400: unknown action, entity or signal, an undo of anything but a stored tap or an accepted one earlier in the
+    batch, a role on anything but a meeting, an address or digits in a role. 409: id taken, entity retired, tap
+    undone before, in the log or by an earlier undo of the batch. Rows of a batch are in order of (ts, id).
+    An accepted tap takes the entity's own band whatever was stated, an accepted undo its tap's entity.
     """
+    fields = FIELDS + (["signal_id"] if "signal_id" in batch.columns else [])
+    if "signal_id" not in batch.columns:
+        batch = batch.withColumn("signal_id", F.lit(None).cast("string"))
     ents = known.select(F.col("id").alias("entity_id"), F.col("status").alias("_status"), F.col("band").alias("_band"))
-    stored = log.filter("action <> 'undo'").select(F.col("id").alias("undo_of"), F.lit(True).alias("_there"))
     undone = log.filter("action = 'undo'").select("undo_of").distinct().withColumn("_gone", F.lit(True))
     twice = log.select("id").distinct().withColumn("_twice", F.lit(True))
-    c = batch.join(ents, "entity_id", "left").join(stored, "undo_of", "left").join(undone, "undo_of", "left").join(twice, "id", "left")
-    tap = F.col("action").isin(TAPS)
-    rules = [
+    signs = (signals.select("signal_id") if signals is not None else batch.select("signal_id").limit(0)).distinct().withColumn("_sign", F.lit(True))
+    c = batch.join(ents, "entity_id", "left").join(twice, "id", "left").join(signs, "signal_id", "left")
+    tap, triage, undo = F.col("action").isin(TAPS), F.col("action").isin(SIGNAL_ACTIONS), F.col("action") == "undo"
+
+    def judged(rows, rules):
+        verdict = F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(text).alias("message"))) for bad, code, text in rules])
+        return rows.withColumn("_v", verdict)
+
+    own = judged(c, [
         (F.coalesce("_twice", F.lit(False)), 409, "id is taken"),
-        (~F.coalesce(F.col("action").isin([*TAPS, "undo"]), F.lit(False)), 400, "unknown action"),
+        (~F.coalesce(tap | triage | undo, F.lit(False)), 400, "unknown action"),
         (tap & F.col("_status").isNull(), 400, "unknown entity"),
         (tap & (F.col("_status") != "active"), 409, "entity is not active"),
-        ((F.col("action") == "undo") & ~F.coalesce("_there", F.lit(False)), 400, "nothing to undo"),
-        ((F.col("action") == "undo") & F.coalesce("_gone", F.lit(False)), 409, "already undone"),
+        (triage & F.col("_sign").isNull(), 400, "unknown signal"),
         (F.col("role").isNotNull() & (F.col("action") != "met"), 400, "role only with a meeting"),
         (F.col("role").rlike("[@0-9]"), 400, "role holds an address or number"),
-    ]
-    verdict = F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(text).alias("message"))) for bad, code, text in rules])
-    judged = c.withColumn("_v", verdict)
-    ok = judged.filter("_v IS NULL").withColumn("band", F.when(tap, F.coalesce("band", "_band")).otherwise(F.col("band"))).select(FIELDS)
-    return ok, judged.filter("_v IS NOT NULL").select(*FIELDS, "_v.code", "_v.message")
-
-
-def admission_stream(candidates: DataFrame, known, log_path: str, rejected_path: str, checkpoint: str):
-    """One writer: each batch is judged against the stored log, then appended. `known` is a function giving the registry."""
+    ])
+    # undos are judged once the batch's taps are
+    when = F.struct("ts", "id")
+    of = F.col("entity_id") if "entity_id" in log.columns else F.lit(None).cast("string")
+    stored = log.filter(tap).select(F.col("id").alias("undo_of"), of.alias("_of"), F.lit(None).cast(own.select(when.alias("x")).schema["x"].dataType).alias("_at"))
+    fresh = own.filter(tap & F.col("_v").isNull()).select(F.col("id").alias("undo_of"), F.col("entity_id").alias("_of"), when.alias("_at"))
+    targets = stored.unionByName(fresh).groupBy("undo_of").agg(F.min("_of").alias("_of"), F.min("_at").alias("_at"), F.lit(True).alias("_there"))
+    undos = own.filter(undo & F.col("_v").isNull()).join(targets, "undo_of", "left").join(undone, "undo_of", "left")
+    there = F.col("_there") & F.coalesce(F.col("_at") < when, F.lit(True))
+    first = undos.filter(there & F.col("_gone").isNull()).groupBy("undo_of").agg(F.min(when).alias("_first"))
+    undos = judged(undos.join(first, "undo_of", "left"), [
+        (~F.coalesce(there, F.lit(False)), 400, "nothing to undo"),
+        (F.coalesce("_gone", F.lit(False)) | (F.col("_first") < when), 409, "already undone"),
+    ])
+    rest = own.filter(~F.coalesce(undo, F.lit(False)) | F.col("_v").isNotNull())
+    ok = rest.filter("_v IS NULL").withColumn("band", F.when(tap, F.col("_band"))).select(fields)
+    ok = ok.unionByName(undos.filter("_v IS NULL").withColumn("entity_id", F.col("_of")).withColumn("band", F.lit(None).cast("string")).select(fields))
+    bad = lambda d: d.filter("_v IS NOT NULL").select(*fields, "_v.code", "_v.message")
+    return ok, bad(rest).unionByName(bad(undos))
+
+
+def admission_stream(candidates: DataFrame, known, log_path: str, rejected_path: str, checkpoint: str, signals=None):
+    """One writer: each batch is judged against the stored log, then appended. `known` is a function giving the registry, `signals` one giving the signals."""
     spark = candidates.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
         log = spark.read.schema(batch.schema).parquet(log_path)
         # both verdicts are fixed before the log changes; a batch that is run again finds its ids taken
-        ok, bad = (cut(x) for x in admit(batch.dropDuplicates(["id"]), known(), log))
+        ok, bad = (cut(x) for x in admit(batch.dropDuplicates(["id"]), known(), log, signals() if signals else None))
         bad.write.mode("append").parquet(rejected_path)
         ok.write.mode("append").parquet(log_path)
 
@@ -111,7 +136,7 @@ def admission_stream(candidates: DataFrame, known, log_path: str, rejected_path:
 
 
 def admit_changes(batch: DataFrame, ledger: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of candidate ledger changes: five kinds only, rules of the ledger, and no loop of duplicates.
+    """(accepted, rejected) of candidate ledger changes: five kinds only, rules of the ledger, and no loop of duplicates; rejected has code (400) and message.
 
     The trial applies ledger and candidates together; a candidate whose entity would then lead into a loop is refused.
     Columns as in operators.ledger.
@@ -125,7 +150,7 @@ def admit_changes(batch: DataFrame, ledger: DataFrame, known: DataFrame) -> tupl
     j = batch.join(wrong, "change_id", "left").join(loops, "entity_id", "left")
     message = F.coalesce(F.when(~F.col("change").isin(allowed), "kind not allowed"), F.col("message"), F.when(F.col("change") == "mark_duplicate", F.col("_loop")))
     judged = j.withColumn("_m", message)
-    return judged.filter("_m IS NULL").select(batch.columns), judged.filter("_m IS NOT NULL").select(*batch.columns, F.col("_m").alias("message"))
+    return judged.filter("_m IS NULL").select(batch.columns), judged.filter("_m IS NOT NULL").select(*batch.columns, F.lit(400).alias("code"), F.col("_m").alias("message"))
 
 
 class StageKeeper(StatefulProcessor):

@@ -162,6 +162,22 @@ def test_admission(spark):
     assert {r["id"]: r["code"] for r in bad.collect()} == {"b": 409, "c": 400, "d": 400, "f": 409, "g": 400, "h": 400, "t1": 409}
 
 
+def test_admission_within_a_batch(spark):
+    """Taps count for later undos of the batch, one undo a tap, the entity's own band, the tap's entity, triage of known signals."""
+    known = spark.createDataFrame([("E1", "active", "Low"), ("E2", "active", None)], "id string, status string, band string")
+    log = spark.createDataFrame([("t1", "met", "E2", None), ("s1", "signal_pinned", None, None)], "id string, action string, entity_id string, undo_of string")
+    signs = spark.createDataFrame([("sig-1",)], "signal_id string")
+    f = "id string, ts string, actor string, action string, entity_id string, undo_of string, role string, band string, signal_id string"
+    row = lambda i, ts, action, **k: (i, ts, "desk", action, k.get("e"), k.get("u"), None, k.get("b"), k.get("s"))
+    rows = [
+        row("a", "1", "won", e="E1", b="High"), row("b", "2", "undo", u="a", e="E2"), row("c", "3", "undo", u="a"), row("d", "0", "undo", u="a"), row("e", "4", "undo", u="t1", e="E1"), row("f", "5", "undo", u="t1"),
+        row("g", "1", "signal_reviewed", s="sig-1"), row("h", "1", "signal_reviewed", s="zz"), row("i", "1", "signal_pinned"), row("j", "9", "undo", u="s1"), row("k", "9", "undo", u="b"), row("l", "1", None, e="E1"),
+    ]
+    ok, bad = activity.admit(spark.createDataFrame(rows, f), known, log, signs)
+    assert {(r["id"], r["entity_id"], r["band"], r["signal_id"]) for r in ok.collect()} == {("a", "E1", "Low", None), ("b", "E1", None, None), ("e", "E2", None, None), ("g", None, None, "sig-1")}
+    assert {r["id"]: r["code"] for r in bad.collect()} == {"c": 409, "d": 400, "f": 409, "h": 400, "i": 400, "j": 400, "k": 400, "l": 400}
+
+
 def test_admitted_changes_refuse_loops(spark):
     s = "entity_id string, field string, instant long, ord long, change_id string, change string, value string, reason string, duplicate_of string"
     old = spark.createDataFrame([("A2", "status", 1, 1, "c1", "mark_duplicate", None, "r", "A1")], s)
