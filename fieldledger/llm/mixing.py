@@ -87,18 +87,21 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
 
 
 def contents(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(content, doc_id, tokens, pattern): one row a distinct text under listed sources, `doc_id` the least of its documents."""
+    """(content, tokens, pattern, of): one row a distinct text under listed sources; `of` has the least doc_id it has in each of them."""
     listed = docs.join(targets.select("source").filter("source IS NOT NULL").distinct(), "source")
     kept = listed.filter("tokens > 0 AND content IS NOT NULL AND doc_id IS NOT NULL")
-    # the set holds at most the listed sources, however often a text repeats
-    return kept.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("pattern"))
+    each = kept.groupBy("content", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
+    # the lists hold at most the listed sources, however often a text repeats
+    by = each.groupBy("content").agg(F.max("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("of"))
+    return by.withColumn("pattern", F.expr("transform(of, x -> x.source)"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None = None) -> DataFrame:
     """(source, doc_id, tokens, copies): the documents drawn for each source.
 
     `docs`: doc_id, source, content (a hash of the text), tokens. `targets`: source, target_share, max_repeats.
-    `total` is the size of the mix in tokens, by default that of all distinct listed texts.
+    `total` is the size of the mix in tokens, by default that of all distinct listed texts. Copies of a text within a source
+    are one text; a drawn doc_id is one of that source, the least.
     """
     spark = docs.sparkSession
     rows = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").select("source", "target_share", "max_repeats").limit(MAX_PATTERNS + 1).collect()
@@ -127,7 +130,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None =
     drawn = spread.join(at, ["pattern", "bucket"]).join(F.broadcast(plan_df), "pattern")
     along = F.pmod(F.col("middle") - F.col("begin"), F.col("have"))
     copies = F.col("whole") + F.when(along < F.col("part"), 1).otherwise(0)
-    return drawn.withColumn("copies", copies.cast("int")).filter("copies > 0").select("source", "doc_id", "tokens", "copies")
+    return drawn.withColumn("copies", copies.cast("int")).filter("copies > 0").select("source", F.expr("filter(of, x -> x.source = source)[0].doc_id").alias("doc_id"), "tokens", "copies")
 
 
 def report(drawn: DataFrame, targets: DataFrame) -> DataFrame:

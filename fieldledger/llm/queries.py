@@ -92,13 +92,42 @@ def p4_found(spark, d):
     return preferred_entry(ranked_claims(spark, d)).select("group_id", "field", F.col("entry").alias("entity_id"))
 
 
-@catalog.query()
+NO_SOURCE = "(no source)"  # what entries without a source speak as
+TRUTH_ROUNDS = 6
+
+
+def _truth_sql() -> str:
+    """The same rounds, each a set of materialised steps."""
+    sql = P4_CLAIMS_SQL + f""",
+ said AS (SELECT DISTINCT id, coalesce(lower(trim(regexp_replace(x.label, '[\\s_]+', ' ', 'g'))), '{NO_SOURCE}') AS source FROM (SELECT id, unnest(sources) AS x FROM e UNION ALL SELECT id, NULL FROM e WHERE coalesce(len(sources), 0) = 0)),
+ v AS (SELECT id, field, min(value) AS value FROM claimed GROUP BY 1, 2),
+ c AS MATERIALIZED (SELECT g.group_id, v.field, v.value, s.source, count(*) AS n FROM (SELECT DISTINCT group_id, entity_id FROM review_group WHERE group_id IS NOT NULL) g JOIN v ON v.id = g.entity_id JOIN said s ON s.id = v.id GROUP BY ALL),
+ t0 AS MATERIALIZED (SELECT DISTINCT source, 0.8::double AS t FROM c)"""
+    for k in range(TRUTH_ROUNDS + 1):
+        sql += f""",
+ w{k} AS MATERIALIZED (SELECT c.*, -ln(1 - t) AS weight FROM c JOIN t{k} USING (source)),
+ b{k} AS MATERIALIZED (SELECT group_id, field, value, sum(weight) AS support, sum(n) AS claims FROM w{k} GROUP BY ALL),
+ a{k} AS MATERIALIZED (SELECT group_id, field, sum(support) AS total FROM b{k} GROUP BY ALL),
+ o{k} AS (SELECT source, CASE WHEN total - weight > 1e-9 THEN (support - weight) / (total - weight) END AS o FROM w{k} JOIN b{k} USING (group_id, field, value) JOIN a{k} USING (group_id, field)),
+ t{k + 1} AS MATERIALIZED (SELECT source, least(greatest((coalesce(sum(o), 0) + 1.6) / (count(o) + 2), 0.05), 0.99) AS t FROM o{k} GROUP BY 1)"""
+    return sql + f""",
+ won AS (SELECT group_id, field, arg_max(struct_pack(v := value, s := support, c := claims), struct_pack(s := round_even(support, 9), c := claims, v := value)) AS b FROM b{TRUTH_ROUNDS} GROUP BY 1, 2)
+ SELECT group_id, field, b.v AS value, b.c::bigint AS claims, round_even(b.s / total, 6) AS confidence FROM won JOIN a{TRUTH_ROUNDS} USING (group_id, field)"""
+
+
+P4_CLAIMS_SQL = """WITH e AS (SELECT DISTINCT id, operator, facts.employees AS employees, facts.sqft AS sqft, sources FROM entity),
+ claimed AS (SELECT id, 'employees' AS field, employees::varchar AS value FROM e WHERE employees BETWEEN 2 AND 10000 UNION SELECT id, 'sqft', sqft::varchar FROM e WHERE sqft BETWEEN 2 AND 5000000
+       UNION SELECT id, 'operator', operator FROM e WHERE regexp_matches(operator, '[A-Za-z]') AND lower(trim(operator)) NOT IN
+         ('n/a', 'tbd', 'null', 'see parent', 'none listed', 'not reported', 'same', 'unknown', 'none', 'unk'))"""
+
+
+@catalog.query(sql=_truth_sql())
 def p4_truth(spark, d):
     """The same fields by iterative truth discovery over source labels, with the support of each winner."""
     fold = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[\s_]+", " ")))
-    said = table(spark, d, "entity").select(F.col("id").alias("entry"), F.explode("sources").alias("s")).select("entry", fold("s.label").alias("source")).distinct()
+    said = table(spark, d, "entity").select(F.col("id").alias("entry"), F.explode_outer("sources").alias("s")).select("entry", F.coalesce(fold("s.label"), F.lit(NO_SOURCE)).alias("source")).distinct()
     claims = ranked_claims(spark, d).select("group_id", "field", "entry", "value").join(said, "entry")
-    return truth_discovery(claims)[0].select("group_id", "field", "value", "claims", F.bround("confidence", 6).alias("confidence"))
+    return truth_discovery(claims, rounds=TRUTH_ROUNDS)[0].select("group_id", "field", "value", "claims", F.bround("confidence", 6).alias("confidence"))
 
 
 # ---------------------------------------------------------------- problem 7

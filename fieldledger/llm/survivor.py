@@ -29,9 +29,11 @@ MAX_ROUNDS = 20
 TRUST_RANGE = (0.05, 0.99)
 
 
-def truth_discovery(claims: DataFrame, max_sources: int = 10_000) -> tuple[DataFrame, dict[str, float]]:
+def truth_discovery(claims: DataFrame, max_sources: int = 10_000, rounds: int | None = None) -> tuple[DataFrame, dict[str, float]]:
     """Winner of each (group_id, field) from claims (group_id, field, source, value), and each source's trust.
 
+    With `rounds` so many are run; else until the trust settles, MAX_ROUNDS at most.
+
     Claims are first counted by (group, field, value, source), so a hot group is combined before any shuffle.
     """
     c = claims.select("group_id", "field", "source", F.col("value").cast("string").alias("value")).dropna()
@@ -54,7 +56,7 @@ def truth_discovery(claims: DataFrame, max_sources: int = 10_000) -> tuple[DataF
         won = by.groupBy("group_id", "field").agg(best.alias("b")).join(totals, ["group_id", "field"])
         return won.select("group_id", "field", F.col("b.value").alias("value"), F.col("b.claims").alias("claims"), (F.col("b.support") / F.col("total")).alias("confidence"))
 
-    for _ in range(MAX_ROUNDS):
+    for _ in range(MAX_ROUNDS if rounds is None else rounds):
         weighed, by, totals = votes()
         j = weighed.join(by.drop("claims"), ["group_id", "field", "value"]).join(totals, ["group_id", "field"])
         others = F.when(F.col("total") - F.col("weight") > 1e-9, (F.col("support") - F.col("weight")) / (F.col("total") - F.col("weight")))
@@ -62,7 +64,7 @@ def truth_discovery(claims: DataFrame, max_sources: int = 10_000) -> tuple[DataF
         fresh = {r[0]: min(max(r[1], TRUST_RANGE[0]), TRUST_RANGE[1]) for r in share}
         moved = max((abs(fresh[s] - trust[s]) for s in fresh), default=0.0)
         trust.update(fresh)
-        if moved < TOLERANCE:
+        if rounds is None and moved < TOLERANCE:
             break
     return winners(), trust
 
