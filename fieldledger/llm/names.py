@@ -52,9 +52,6 @@ AMBIGUOUS = {"ted": ["edward", "theodore"]}  # short for more than one name
 FIRST = {n: k for k, v in NICKNAMES.items() for n in [k, *v.split()]} | {n: n for n in AMBIGUOUS}
 TRAILERS = {"sons", "farms", "farm", "trucking", "sawmill", "daughters", "son"}
 
-SHORT = {s: t for t, ss in TRADES.items() for s in ss} | {t: t for t in TRADES} | {t.replace(" ", ""): t for t in TRADES}
-BY_LENGTH = sorted({(t.replace(" ", ""), t) for t in TRADES} | {(s.replace(" ", ""), t) for s, t in SHORT.items() if s.count(" ") and len(s) > 8}, key=lambda x: (-len(x[0]), x))
-TRADE_WORDS = {w for t in TRADES for w in t.split()}
 FULL = [k for k in NICKNAMES if len(k) >= 5]
 DIGITS = str.maketrans({"0": "o", "1": "l", "5": "s", "3": "e", "4": "a", "8": "b", "@": "a", "$": "s"})
 
@@ -86,57 +83,71 @@ def edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-@functools.lru_cache(MEMORY)
-def first_name(word: str) -> str | None:
-    if word in TRADE_WORDS:
-        return None
-    if word in FIRST:
-        return FIRST[word]
-    if len(word) >= 4:
-        for full in FULL:
-            if word[0] == full[0] and abs(len(word) - len(full)) <= 1 and edits(word, full, 1) <= 1:
-                return full
-    return None
-
-
 def _squeeze(s: str) -> str:
     return "".join(s.split())
 
 
-def trade_of(words: list[str]) -> tuple[str | None, int]:
-    """The trade that the last words name, and how many words it takes."""
-    return _trade_of(tuple(words[-4:]))
+class Vocabulary:
+    """The trades a reading of names knows, with their usual short forms: trade -> short forms."""
 
+    def __init__(self, trades: dict[str, list[str]]):
+        self.trades = trades
+        self.short = {s: t for t, ss in trades.items() for s in ss} | {t: t for t in trades} | {t.replace(" ", ""): t for t in trades}
+        long = {(t.replace(" ", ""), t) for t in trades} | {(s.replace(" ", ""), t) for s, t in self.short.items() if s.count(" ") and len(s) > 8}
+        self.by_length = sorted(long, key=lambda x: (-len(x[0]), x))
+        self.words = {w for t in trades for w in t.split()}
+        self.first_name = functools.lru_cache(MEMORY)(self._first_name)
+        self._trade = functools.lru_cache(MEMORY)(self._trade_of)
 
-@functools.lru_cache(MEMORY)
-def _trade_of(words: tuple[str, ...]) -> tuple[str | None, int]:
-    for take in (3, 2, 1):
-        if len(words) >= take:
-            said = " ".join(words[-take:])
-            if said in SHORT:
-                return SHORT[said], take
-    for take in (3, 2, 1):
-        if len(words) > take or (len(words) == take and take > 1):
-            said = _squeeze("".join(words[-take:]))
-            near = []
-            for flat, t in BY_LENGTH if len(said) >= 4 else ():
-                limit = 1 if len(flat) < 7 else 2
-                if (take == 1 or " " in t) and abs(len(said) - len(flat)) <= limit and (far := edits(said, flat, limit)) <= limit:
-                    near.append((far, t))
-            if near:
-                return min(near)[1], take
-    # two words, each cut short or misspelt
-    if len(words) >= 3:
-        for t in TRADES:
-            parts = [p for p in t.split() if p != "and"]
-            if len(parts) == 2 and all(w[0] == p[0] and _subsequence(w, p) for w, p in zip(words[-2:], parts)):
-                return t, 2
-    if len(words) >= 2 and 3 <= len(words[-1]) <= 7:
-        w = words[-1]
-        fits = [t for t in TRADES if t[0] == w[0] and (t.startswith(w) or (_subsequence(w, t) and _bones(w) == _bones(t)[: len(_bones(w))] and len(_bones(w)) >= 3))]
-        if len(fits) == 1:
-            return fits[0], 1
-    return None, 0
+    def _first_name(self, word: str) -> str | None:
+        if word in self.words:
+            return None
+        if word in FIRST:
+            return FIRST[word]
+        if len(word) >= 4:
+            for full in FULL:
+                if word[0] == full[0] and abs(len(word) - len(full)) <= 1 and edits(word, full, 1) <= 1:
+                    return full
+        return None
+
+    def trade_of(self, words: list[str]) -> tuple[str | None, int]:
+        """The trade that the last words name, and how many words it takes."""
+        return self._trade(tuple(words[-4:]))
+
+    def _trade_of(self, words: tuple[str, ...]) -> tuple[str | None, int]:
+        for take in (3, 2, 1):
+            if len(words) >= take:
+                said = " ".join(words[-take:])
+                if said in self.short:
+                    return self.short[said], take
+        for take in (3, 2, 1):
+            if len(words) > take or (len(words) == take and take > 1):
+                said = _squeeze("".join(words[-take:]))
+                near = []
+                for flat, t in self.by_length if len(said) >= 4 else ():
+                    limit = 1 if len(flat) < 7 else 2
+                    if (take == 1 or " " in t) and abs(len(said) - len(flat)) <= limit and (far := edits(said, flat, limit)) <= limit:
+                        near.append((far, t))
+                if near:
+                    return min(near)[1], take
+        # two words, each cut short or misspelt
+        if len(words) >= 3:
+            for t in self.trades:
+                parts = [p for p in t.split() if p != "and"]
+                if len(parts) == 2 and all(w[0] == p[0] and _subsequence(w, p) for w, p in zip(words[-2:], parts)):
+                    return t, 2
+        if len(words) >= 2 and 3 <= len(words[-1]) <= 7:
+            w = words[-1]
+            fits = [t for t in self.trades if t[0] == w[0] and (t.startswith(w) or (_subsequence(w, t) and _bones(w) == _bones(t)[: len(_bones(w))] and len(_bones(w)) >= 3))]
+            if len(fits) == 1:
+                return fits[0], 1
+        return None, 0
+
+
+@functools.lru_cache(4)
+def vocabulary(trades: tuple[tuple[str, tuple[str, ...]], ...] | None = None) -> Vocabulary:
+    """The vocabulary of a table of trades as nested tuples, by default TRADES; built once a worker."""
+    return Vocabulary(TRADES if trades is None else {t: list(ss) for t, ss in trades})
 
 
 def _subsequence(a: str, b: str) -> bool:
@@ -157,7 +168,7 @@ def bones(head: str) -> str:
 def _near_legal(w: str) -> str:
     """The legal form that a word misspells, or ''."""
     near = [f for k, f in LEGAL.items() if len(k) >= 6 and edits(w, k, 2) <= (2 if len(k) >= 9 else 1)]
-    return near[0] if near else "llc" if len(w) == 3 and w not in SHORT and edits(w, "llc", 1) <= 1 else ""
+    return near[0] if near else "llc" if len(w) == 3 and edits(w, "llc", 1) <= 1 else ""
 
 
 @functools.lru_cache(MEMORY)
@@ -165,7 +176,7 @@ def _near_trailer(w: str) -> bool:
     return len(w) >= 4 and any(len(t) >= 4 and edits(w, t, 1) <= 1 for t in TRAILERS)
 
 
-def _legal(words: list[str]) -> tuple[list[str], str]:
+def _legal(words: list[str], v: Vocabulary) -> tuple[list[str], str]:
     """Words without the legal form at their end, and the form."""
     form = ""
     while len(words) > 1:
@@ -182,7 +193,7 @@ def _legal(words: list[str]) -> tuple[list[str], str]:
     if len(words) > 1 and not form:
         w = words[-1]
         near = _near_legal(w)
-        if near and (near != "llc" or len(words) > 2):
+        if near and (near != "llc" or len(words) > 2 and w not in v.short):
             return words[:-1], near
     return words, form
 
@@ -199,18 +210,19 @@ def words_of(s: str) -> list[str]:
     return [w.translate(DIGITS) if len(w) > 3 and LETTER.search(w) and len(DIGIT.findall(w)) == 1 else w for w in words]
 
 
-def parse_owner(s: str) -> tuple[str, str, str, str, str]:
+def parse_owner(s: str, v: Vocabulary | None = None) -> tuple[str, str, str, str, str]:
     """(kind, head, part, legal, bones): kind 'o' or 'p'; part is the trade, or the first name or initial; '' if not said."""
+    v = v or vocabulary()
     raw = s.strip()
     comma = raw.find(",")
     if comma > 0:
         left, right = words_of(raw[:comma]), words_of(raw[comma + 1 :])
-        rest, _ = _legal(["x", *right])
+        rest, _ = _legal(["x", *right], v)
         if right and rest != ["x"]:
             # `Trade, Head Legal` and `Family, First M.`: what stands after the comma comes first
-            t, took = trade_of(left)
+            t, took = v.trade_of(left)
             if t and took == len(left):
-                body, form = _legal(right)
+                body, form = _legal(right, v)
                 head = "".join(w for w in body if w not in FILLER)
                 if head:
                     return "o", head, t, form, bones(head)
@@ -218,18 +230,18 @@ def parse_owner(s: str) -> tuple[str, str, str, str, str]:
     words = [w for w in words_of(raw) if w not in ("mr", "ms", "mrs", "dr")]
     if not words:
         return "o", "", "", "", ""
-    person = _person(words)
+    person = _person(words, v)
     if person:
         return person
-    body, form = _legal(words)
+    body, form = _legal(words, v)
     body = [w for w in body if w not in FILLER] or body
-    trade, took = trade_of(body)
+    trade, took = v.trade_of(body)
     if trade and took < len(body):
         body = body[:-took]
     else:
         trade = ""
         flat = "".join(body)
-        for t, name in BY_LENGTH:
+        for t, name in v.by_length:
             if flat.endswith(t) and len(flat) - len(t) >= 4:
                 trade, body = name, [flat[: -len(t)]]
                 break
@@ -239,7 +251,7 @@ def parse_owner(s: str) -> tuple[str, str, str, str, str]:
     return "o", head, trade, form, bones(head)
 
 
-def _person(words: list[str]) -> tuple[str, str, str, str, str] | None:
+def _person(words: list[str], v: Vocabulary) -> tuple[str, str, str, str, str] | None:
     rest = list(words)
     trailer = False
     while len(rest) > 1 and (rest[-1] in TRAILERS or rest[-1] == "and"):
@@ -247,16 +259,16 @@ def _person(words: list[str]) -> tuple[str, str, str, str, str] | None:
     if any(w in TRAILERS for w in rest[1:]):
         rest = [w for w in rest if w not in TRAILERS and w != "and"]
         trailer = True
-    letters = [w for w in rest if len(w) <= 2 and w.isalpha() and w not in FIRST and w not in SHORT and w not in ("co", "lp")]
+    letters = [w for w in rest if len(w) <= 2 and w.isalpha() and w not in FIRST and w not in v.short and w not in ("co", "lp")]
     names = [w for w in rest if w not in letters]
     if len(names) > 2:  # a misspelt trailer
         names = [w for w in names if not _near_trailer(w)]
-    given = [(i, first_name(w)) for i, w in enumerate(names)]
+    given = [(i, v.first_name(w)) for i, w in enumerate(names)]
     given = [(i, f) for i, f in given if f]
     if given and len(names) >= 2:
         i, f = given[0]
         family = "".join(w for j, w in enumerate(names) if j != i)
-        if names[-1] in LEGAL or (len(names) > 2 and trade_of(names)[0]):
+        if names[-1] in LEGAL or (len(names) > 2 and v.trade_of(names)[0]):
             return None
         return ("p", family, f, "", bones(family)) if len(family) >= 3 else None
     if letters and len(names) == 1 and names[0] not in LEGAL and len(names[0]) >= 4:
@@ -269,9 +281,16 @@ def _person(words: list[str]) -> tuple[str, str, str, str, str] | None:
 OWNER = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "head", "part", "legal", "bones")])
 
 
-@F.pandas_udf(OWNER)
-def owner_form(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_owner(x or "") for x in s], columns=["kind", "head", "part", "legal", "bones"])
+def owner_form(trades: dict[str, list[str]] | None = None):
+    """A column function that reads owners' names with a table of trades, by default TRADES."""
+    known = None if trades is None else tuple((t, tuple(ss)) for t, ss in trades.items())
+
+    @F.pandas_udf(OWNER)
+    def read(s: pd.Series) -> pd.DataFrame:
+        v = vocabulary(known)
+        return pd.DataFrame([parse_owner(x or "", v) for x in s], columns=["kind", "head", "part", "legal", "bones"])
+
+    return read
 
 
 # fixed values: kinds of site and their short forms
@@ -405,7 +424,7 @@ def _owner_inside(rest: list[str], towns: frozenset[str]):
     if owner[0] == "o" and not owner[2] and len(left) > 1:
         # head, trade, and words that could not be read: the first trade after the first word counts
         for k in range(2, len(left) + 1):
-            trade, took = trade_of(left[:k])
+            trade, took = vocabulary().trade_of(left[:k])
             if trade and took < k:
                 head = "".join(left[: k - took])
                 return ("o", head, trade, "", bones(head)), (left, marks, kind)

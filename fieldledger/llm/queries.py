@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.skew import block_join
 from ..functions.time import period_end
 from ..plans.catalog import Catalog
 from ..session import cut, free, table
@@ -201,9 +202,9 @@ def owner_spellings(spark, d):
 @catalog.query()
 def p5_found(spark, d):
     linked = cut(link_spellings(owner_spellings(spark, d), "spelling"))
-    a = linked.select("group_id", F.col("spelling").alias("spelling_a"))
-    b = linked.select("group_id", F.col("spelling").alias("spelling_b"))
-    return a.join(b, "group_id").filter("spelling_a < spelling_b").select("spelling_a", "spelling_b")
+    side = lambda name: linked.select(F.col("spelling").alias(name), F.array("group_id").alias("keys"))
+    # the pairs of a group are what is asked for; a large group is paired in slices
+    return block_join(side("spelling_a"), side("spelling_b"), "spelling_a", "spelling_b").filter("spelling_a < spelling_b")
 
 
 @catalog.query()

@@ -15,8 +15,13 @@ meets each of its misspellings once, and they never meet one another.
 Forms without a trade, and people known by an initial, then go to the most probable full form
 with their head.
 
-Nulls and stand-ins for a name are no spelling. Repeated rows add to the frequency. Names of
-fewer than MIN_HEAD letters are only linked when equal.
+Trades and their short forms are learnt from the names themselves (learn_trades) and added to a given table.
+
+Limits of reach: a pair whose names share no segment (three or more edits spread over a name; two over
+a name without trade, with an initial or with an ambiguous short first name) and have unlike consonants is
+no candidate; a form attached to a frequent one is no candidate for rarer forms; names of fewer than
+MIN_HEAD letters are only linked when equal, for at that length one edit joins different names.
+Nulls and stand-ins for a name are no spelling. Repeated rows add to the frequency.
 """
 
 from __future__ import annotations
@@ -24,16 +29,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..functions.skew import block_join
+from ..session import cut, free
 from .components import connected_components
-from .names import AMBIGUOUS, is_stand_in, owner_form
+from .names import AMBIGUOUS, FILLER, LEGAL, NICKNAMES, TRADES, TRAILERS, is_stand_in, owner_form
 
 EDITS = 2
-FREQUENT = 5
+FREQUENT = 1.5  # how many times the mean frequency of a leader makes a leader a candidate for all others
 MIN_HEAD = 5
 TYPO = 2.0  # cost of an edit in a name of eight letters or more, as a negative log-likelihood
 SHORTENED = 2.0  # cost of vowels left out
 NEW_NAME = 6.0  # how improbable a second name so close to another one is
+TRADE_SHARE, SHARED = 0.002, 0.3
 OTHER_LEGAL, NO_LEGAL = 2.0, 0.5
 
 
@@ -59,9 +66,11 @@ def probes(text: str, k: int = EDITS) -> Column:
 
 def _near(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """Pairs of rows of one block (`kind`, `part`) whose heads share a segment; left columns keep their names, right ones get c_."""
-    r = right.withColumn("_s", F.explode(segments("head", k))).select("kind", "part", F.col("_s.len").alias("len"), F.col("_s.i").alias("i"), F.col("_s.seg").alias("seg"), F.col("form").alias("c_form"))
-    p = left.withColumn("_s", F.explode(probes("head", k))).select("kind", "part", F.col("_s.len").alias("len"), F.col("_s.i").alias("i"), F.col("_s.seg").alias("seg"), "form")
-    pairs = p.join(r, ["kind", "part", "len", "i", "seg"]).filter("form <> c_form").select("form", "c_form").distinct()
+    keys = lambda arr: F.transform(arr, lambda s: F.xxhash64("kind", "part", s["len"], s["i"], s["seg"]))
+    r = right.select(F.col("form").alias("c_form"), keys(segments("head", k)).alias("keys"))
+    p = left.select("form", keys(probes("head", k)).alias("keys"))
+    # a segment that very many names of a block hold is joined in slices
+    pairs = block_join(p, r, "form", "c_form").filter("form <> c_form").distinct()
     return pairs.join(left, "form").join(right.select(F.col("form").alias("c_form"), F.col("head").alias("c_head"), F.col("bones").alias("c_bones"), F.col("n").alias("c_n"), F.col("legal").alias("c_legal")), "c_form")
 
 
@@ -86,12 +95,61 @@ def _best(pairs: DataFrame, extra: Column | None = None) -> DataFrame:
     return best.filter("b.gain > own").select("form", F.col("b.c_form").alias("c_form"), (F.exp("b.gain") / (F.col("mass") + F.exp("own"))).alias("posterior"))
 
 
-def link_spellings(names: DataFrame, column: str) -> DataFrame:
-    """(spelling, n, group_id, canonical) of each distinct usable spelling in `column`; canonical is the most frequent one of its group."""
+def learn_trades(spellings: DataFrame, column: str) -> dict[str, list[str]]:
+    """Trades and their short forms as the names themselves show them: trade -> short forms.
+
+    A trade is a last word (legal forms left out) that follows at least TRADE_SHARE of all first words; a word that
+    begins like it and is spelled with its letters in order is a short form of the trade with which it shares the most
+    first words, if it shares at least SHARED of its own. Only the table reaches the driver: trades are at most
+    1 / TRADE_SHARE times the last words a first word has.
+    """
+    drop = [*LEGAL, *FILLER, "and", *NICKNAMES]
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(column), r"[^\p{L}]+", " ")), " "), lambda w: ~w.isin(drop) & (F.length(w) > 1))
+    said = spellings.select(words.alias("w")).filter("size(w) >= 2").select(F.col("w")[0].alias("head"), F.element_at("w", -1).alias("last"))
+    said = cut(said.filter("length(head) >= 4").distinct())
+    heads = said.select("head").distinct().count()
+    by = said.groupBy("last").agg(F.count("*").alias("n"))
+    trades = by.filter((F.col("n") >= heads * TRADE_SHARE) & (F.col("n") >= 3) & (F.length("last") >= 4)).select(F.col("last").alias("trade"), F.col("n").alias("t_n"))
+    # letters in order: what is left of the trade once each letter of the word was found in turn
+    in_order = F.expr("trade RLIKE concat('^', substring(last, 1, 1), '.*', array_join(split(substring(last, 2), ''), '.*'))")
+    both = said.join(said.join(trades, F.col("last") == F.col("trade"), "left_semi").withColumnRenamed("last", "trade"), "head")
+    short = both.filter(F.col("trade").startswith(F.substring("last", 1, 1)) & (F.length("last") < F.length("trade"))).groupBy("last", "trade").agg(F.count("*").alias("c"))
+    short = short.join(by, "last").filter((F.col("c") >= F.col("n") * SHARED) & (F.col("c") >= 2)).filter(in_order)
+    best = short.groupBy("last").agg(F.max_by("trade", F.struct("c", "trade")).alias("trade"))
+    table = {r[0]: [] for r in trades.select("trade").collect()}
+    for word, trade in sorted(map(tuple, best.collect())):
+        # a word that is a short form is no trade of its own
+        if trade in table:
+            table[trade].append(word)
+            table.pop(word, None)
+    free(said)
+    return table
+
+
+def joined_trades(given: dict[str, list[str]], learnt: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The given table with the learnt trades and short forms that it lacks."""
+    out = {t: list(ss) for t, ss in given.items()}
+    known = {w for t, ss in given.items() for x in [t, *ss] for w in [x, *x.split()]}
+    for t, ss in learnt.items():
+        if t in out:
+            out[t] += [s for s in ss if s not in known]
+        elif t not in known and t not in TRAILERS:
+            out[t] = [s for s in ss if s not in known]
+    return out
+
+
+def link_spellings(names: DataFrame, column: str, trades: dict[str, list[str]] = TRADES) -> DataFrame:
+    """(spelling, n, group_id, canonical) of each distinct usable spelling in `column`; canonical is the most frequent one of its group.
+
+    `trades`: a table of trades and their short forms, which may be empty; those learnt from the spellings are added.
+    """
     counted = names.select(F.col(column).alias("spelling")).filter(F.col("spelling").isNotNull() & ~is_stand_in("spelling")).groupBy("spelling").agg(F.count("*").alias("n"))
-    parsed = counted.withColumn("f", owner_form("spelling")).select("spelling", "n", "f.*").filter("head <> ''")
+    counted = cut(counted)
+    trades = joined_trades(trades, learn_trades(counted, "spelling"))
+    parsed = counted.withColumn("f", owner_form(trades)("spelling")).select("spelling", "n", "f.*").filter("head <> ''")
     form_key = F.concat_ws("|", "kind", "head", "part", F.when(F.col("part") == "", F.col("legal")).otherwise(F.lit("")))
     parsed = cut(parsed.withColumn("form", form_key))
+    free(counted)
     # one row a form; its legal form is the most frequent one said with it
     by_legal = parsed.groupBy("form", "kind", "head", "part", "bones", "legal").agg(F.sum("n").alias("n"))
     forms = by_legal.groupBy("form", "kind", "head", "part", "bones").agg(
@@ -110,8 +168,9 @@ def link_spellings(names: DataFrame, column: str) -> DataFrame:
     # leaders by segments: against the frequent ones, then the rest among themselves
     said = lead.filter("part <> ''")
     above = "c_n > n OR (c_n = n AND c_form > form)"
-    first = cut(_best(_near(said, said.filter(F.col("n") >= FREQUENT), EDITS).filter(above)))
-    rest = said.filter(F.col("n") < FREQUENT).join(first.select("form"), "form", "left_anti")
+    often = F.col("n") >= FREQUENT * (said.agg(F.avg("n")).first()[0] or 0.0)
+    first = cut(_best(_near(said, said.filter(often), EDITS).filter(above)))
+    rest = said.filter(~often).join(first.select("form"), "form", "left_anti")
     second = _best(_near(rest, rest, EDITS).filter(above))
     links = links.unionByName(first.select("form", "c_form")).unionByName(second.select("form", "c_form"))
 

@@ -184,3 +184,21 @@ def test_mix_shares_caps_and_repeats(spark):
     again = sorted(map(tuple, mixing.mix(df.repartition(3), targets).collect()))
     assert again == sorted(map(tuple, drawn.collect()))
     assert mixing.mix(df.limit(0), targets).count() == 0
+
+
+def test_trades_and_short_forms_are_learnt(spark):
+    rng = random.Random(9)
+    heads = ["".join(rng.choice(["bra", "ke", "lo", "mi", "sta", "vu", "zor", "pli"]) for _ in range(4)) for _ in range(80)]
+    rows = []
+    for i, h in enumerate(heads):
+        trade, short = [("metalworks", "mtlwks"), ("dyestuffs", "dyes"), ("salvage", "slvg")][i % 3]
+        rows += [(f"{h.title()} {trade.title()} Inc",), (f"{h} {short}",)]
+    names = spark.createDataFrame([*rows, (None,), ("",), ("x",)], "s string")
+    assert variants.learn_trades(names, "s") == {"metalworks": ["mtlwks"], "dyestuffs": ["dyes"], "salvage": ["slvg"]}
+    group = {r["spelling"]: r["group_id"] for r in variants.link_spellings(names, "s", trades={}).collect()}
+    assert all(group[a] == group[b] for (a,), (b,) in zip(rows[::2], rows[1::2]))
+    assert variants.learn_trades(names.limit(0), "s") == {}
+
+
+def test_a_given_table_is_added_to():
+    assert variants.joined_trades({"metals": ["mtls"], "valve and pump": []}, {"metals": ["mtls", "metl"], "pump": ["pmp"], "sons": [], "salvage": ["slvg"]}) == {"metals": ["mtls", "metl"], "valve and pump": [], "salvage": ["slvg"]}
