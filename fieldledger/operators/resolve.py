@@ -15,11 +15,17 @@ from ..functions.grid import with_cell, with_near_cells
 from ..functions.rounding import fixed4
 from ..functions.skew import numbered
 from ..functions.text import FLAG_STOP, flag_tokens, fold_tokens, jaccard, squeeze, subset_either, truthy, words
-from ..session import cut
+from ..session import cut, free
 
 POWER_SECTORS = ["power-generation", "district-energy"]
 ANCHOR_MILES = 25.0
-FOLD_FIELDS = ["note", "parent", "employees", "sqft", "operator"]
+# fixed values: what a folded record hands on to its leader, and the figures of which the greatest counts
+FOLD_FIELDS = ["note", "clamp_why", "triggers", "parent", "naics", "subparts", "permit_class", "permit_reg", "employees", "sqft", "url", "operator"]
+MAX_FIELDS = ["clamp_on", "coriolis", "magnetic", "vortex"]
+# fixed values: sectors outside the portfolio, and what a row says where it says nothing
+MUNICIPAL = ["municipal-water", "municipal-wastewater"]
+DEFAULTS = {"enriched": False, "subparts": "", "employees": 0, "clamp_why": "", "triggers": "", "plan_status": ""}
+OUT_OF_TERRITORY, OUT_OF_PORTFOLIO = "out_of_territory", "out_of_portfolio"
 
 
 # ------------------------------------------------------------------ placing
@@ -83,6 +89,29 @@ def nearest_anchor(rows: DataFrame, anchors: DataFrame, most: float = ANCHOR_MIL
         side *= 5
 
 
+def place_rows(rows: DataFrame, placed: str, anchors: DataFrame, most: float = ANCHOR_MILES) -> DataFrame:
+    """Every row with `anchor_id`, `dist` and `scope`: rows without a value in `placed` take their nearest anchor closer than `most` miles.
+
+    A row without either keeps its place in the table, its scope is out_of_territory. `rows` has id, lat, lon, scope.
+    """
+    near = nearest_anchor(rows.filter(F.col(placed).isNull()), anchors, most)
+    j = rows.join(near, "id", "left")
+    lost = F.col(placed).isNull() & F.col("anchor_id").isNull()
+    return j.withColumn("scope", F.when(lost, OUT_OF_TERRITORY).otherwise(F.col("scope")))
+
+
+def municipal_scope(rows: DataFrame) -> DataFrame:
+    """Municipal sectors are out of the portfolio, unless the row is out of the territory."""
+    moved = F.coalesce(F.col("sector").isin(MUNICIPAL), F.lit(False)) & ~F.col("scope").eqNullSafe(OUT_OF_TERRITORY)
+    return rows.withColumn("scope", F.when(moved, OUT_OF_PORTFOLIO).otherwise(F.col("scope")))
+
+
+def fill_defaults(rows: DataFrame, defaults: dict = DEFAULTS) -> DataFrame:
+    """Columns that the rows lack, or hold null, filled with the defaults; zeros and blanks stay."""
+    have = rows.columns
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in have else F.lit(v) for c, v in defaults.items()})
+
+
 # ------------------------------------------------------------------ folding
 
 
@@ -124,30 +153,57 @@ def greedy_leaders(rows: DataFrame, matches: DataFrame) -> DataFrame:
 
     A row is kept if no earlier kept row matches it. Rounds decide rows whose earlier neighbours
     are all decided: with a kept one it is folded, without it is kept; at the end each folded row
-    goes to its least kept earlier neighbour. A round is two joins and an aggregation.
+    goes to its least kept earlier neighbour. A round is a join of the open edges with the rows decided last.
     """
     m = cut(matches)
-    state = cut(rows.select("ord").distinct().join(m.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti").withColumn("kept", F.lit(True)))
-    open_rows = cut(m.select(F.col("b").alias("ord")).distinct())
-    while open_rows.limit(1).count():
-        seen = m.join(open_rows.withColumnRenamed("ord", "b"), "b").join(state.withColumnRenamed("ord", "a"), "a", "left")
+    first = cut(rows.select("ord").distinct().join(m.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti").withColumn("kept", F.lit(True)))
+    # only the newly decided rows meet the edges, and an edge leaves once either end decides it
+    decided, fresh, edges = [first], first, m
+    while True:
+        state = fresh.withColumnRenamed("ord", "a")
+        seen = edges.join(state, "a", "left")
         verdict = seen.groupBy("b").agg(F.max(F.coalesce("kept", F.lit(False))).alias("folded"), F.max(F.col("kept").isNull()).alias("waiting"))
         done = cut(verdict.filter("folded OR NOT waiting").select(F.col("b").alias("ord"), (~F.col("folded")).alias("kept")))
-        state = cut(state.unionByName(done))
-        open_rows = cut(open_rows.join(done.select("ord"), "ord", "left_anti"))
+        if not done.limit(1).count():
+            break
+        decided.append(done)
+        left = cut(seen.filter("kept IS NULL").select("a", "b").join(done.select(F.col("ord").alias("b")), "b", "left_anti"))
+        if edges is not m:
+            free(edges)
+        fresh, edges = done, left
+    state = decided[0]
+    for d in decided[1:]:
+        state = state.unionByName(d)
+    state = cut(state)
+    free(*decided)
     kept = state.filter("kept").select("ord")
     folded = m.join(kept.withColumnRenamed("ord", "a"), "a").join(state.filter("NOT kept").select(F.col("ord").alias("b")), "b").groupBy("b").agg(F.min("a").alias("leader"))
     return kept.withColumn("leader", F.col("ord")).unionByName(folded.select(F.col("b").alias("ord"), "leader"))
 
 
 def survivors(rows: DataFrame, leaders: DataFrame, fields: list[str] = FOLD_FIELDS) -> DataFrame:
-    """One row a leader: each field from the leader if it has a value, else from the first folded row that has one; all sources."""
+    """One row a leader: each field from the leader if it has a value, else from the first folded row that has one; all sources.
+
+    Of the figures MAX_FIELDS the greatest counts (none: 0), and of `enriched` rows the last id is kept as `enriched_id`.
+    Only columns that the rows have take part.
+    """
     types = dict(rows.dtypes)
+    fields = [f for f in fields if f in types]
     j = rows.join(leaders, "ord")
     has = lambda f: truthy(f, "string" if types[f] == "string" else "number")
+    most = [F.max(F.coalesce(F.col(f), F.lit(0))).alias(f) for f in MAX_FIELDS if f in types]
+    if {"enriched", "id"} <= set(types):
+        most.append(F.max_by(F.when(F.col("enriched"), F.col("id")), F.when(F.col("enriched"), F.col("ord"))).alias("enriched_id"))
     folds = [F.min_by(F.when(has(f), F.col(f)), F.when(has(f), F.col("ord"))).alias(f) for f in fields]
     own = [F.max(F.when(F.col("ord") == F.col("leader"), F.col(c))).alias(c) for c in ("name", "lat", "lon")]
-    return j.groupBy("leader").agg(*own, *folds, F.array_sort(F.collect_set("source_name")).alias("sources"), F.count("*").alias("records"))
+    return j.groupBy("leader").agg(*own, *folds, *most, F.array_sort(F.collect_set("source_name")).alias("sources"), F.count("*").alias("records"))
+
+
+def fold_log(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(ord, donor, leader): each folded record's name and its leader's, to be read in order of `ord`."""
+    n = rows.select("ord", "name")
+    folded = leaders.filter("ord <> leader").join(n, "ord").select("ord", F.col("name").alias("donor"), F.col("leader").alias("_l"))
+    return folded.join(n.select(F.col("ord").alias("_l"), F.col("name").alias("leader")), "_l").select("ord", "donor", "leader")
 
 
 def overlay(rows: DataFrame, patch: DataFrame, key: str, keep: tuple[str, ...] = ("name",)) -> DataFrame:

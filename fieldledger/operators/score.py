@@ -1,7 +1,8 @@
 """The explainable score of a site: factors, bands, flags, reasons, timing and confidence, as one projection.
 
 Input columns: id, name, sector, subindustry, note, existence, employees, sqft, mw, fuel, gen_mwh,
-cogen, labels (array of source labels), and, where known, dupes and colocated (arrays of names).
+cogen, labels (array of source labels), and, where known, dupes and colocated (arrays of names),
+onsite_mw and onsite_fuel of generation on the site, and permit_class of its air permit.
 Nulls, zeros and empty texts alike mean "not reported". No join and no shuffle: all tables of the
 model are literals from config/scoring.json.
 """
@@ -18,7 +19,7 @@ from ..functions.text import flag_tokens, truthy
 from .resolve import names_echo
 
 MODEL = json.loads((Path(__file__).parent.parent / "config" / "scoring.json").read_text())
-PLACEHOLDER = r"(?i)\b(plants|systems|facilities|campuses|central (utility )?plants|secondary sites|area\b.*plants|regional campus)\b"
+PLACEHOLDER = MODEL["placeholder"]
 MARKER = {"High": 4, "Medium": 3, "Low": 2, "Insufficient information": 1}
 UNRATED = "Insufficient information"
 
@@ -63,6 +64,9 @@ def fact_list() -> Column:
         (F.coalesce("cogen", F.lit(False)), F.lit("cogeneration on site"), 1.0),
         (_has("greenhouse"), F.lit("greenhouse gas filing"), 0.75),
         (_has("toxics"), F.lit("toxics filing"), 0.75),
+        (truthy("onsite_mw", "number"), F.concat(number("onsite_mw"), F.lit(" MW of "), F.coalesce("onsite_fuel", F.lit("unknown fuel")), F.lit(" generated on site")), 1.0),
+        (F.col("permit_class").rlike(r"(?i)major|title\s*v"), F.concat(F.lit("major air source: "), "permit_class"), 0.75),
+        (truthy("permit_class") & ~F.col("permit_class").rlike(r"(?i)major|title\s*v"), F.concat(F.lit("air permit: "), "permit_class"), 0.25),
         (truthy("sqft", "number") & truthy("employees", "number"), F.concat(number("employees"), F.lit(" employees on "), number("sqft"), F.lit(" sq ft")), 0.25),
     ]
     return F.array_compact(F.array(*[F.when(c, F.struct(t.alias("fact"), F.lit(p).alias("points"))) for c, t, p in facts]))
@@ -77,15 +81,15 @@ def subtype() -> Column:
     name = F.lower(F.coalesce("name", F.lit("")))
     fuel = F.lower(F.concat_ws(" ", F.coalesce("fuel", F.lit("")), F.regexp_extract(F.coalesce("note", F.lit("")), r"(?i)fuel:\s*([^|]+)", 1)))
     used = F.try_divide("gen_mwh", F.col("mw") * 8760)
-    kind = (
-        F.when(name.rlike(r"landfill|\blfg\b|gas.to.energy") | fuel.contains("landfill"), "landfill_gas")
-        .when(name.contains("hydro") | fuel.contains("hydro") | (F.trim(fuel) == "water"), "hydro")
-        .when(fuel.rlike("nuclear|coal|biomass|black liquor|municipal|wood|refuse") | name.rlike("nuclear|cogen|resource recovery|biomass") | F.coalesce("cogen", F.lit(False)), "steam")
-        .when(name.rlike(r"combustion turbine|peaking|peaker|\bct\b|combustion station") | (used < 0.10), "peaker")
-        .when(~truthy("mw", "number") & (F.coalesce("employees", F.lit(0)) <= 5), "small_unit")
-        .otherwise("thermal")
-    )
-    return F.when(F.col("sector") == "power-generation", kind)
+    found = []
+    for rule in MODEL["plant_kinds"]:
+        signs = [name.rlike(rule["name"])] if "name" in rule else []
+        signs += [fuel.rlike(rule["fuel"])] if "fuel" in rule else []
+        signs += [F.coalesce("cogen", F.lit(False))] if rule.get("cogen") else []
+        signs += [F.coalesce(used < rule["use_below"], F.lit(False))] if "use_below" in rule else []
+        signs += [~truthy("mw", "number") & (F.coalesce("employees", F.lit(0)) <= rule["no_mw_and_staff_up_to"])] if "no_mw_and_staff_up_to" in rule else []
+        found.append(F.when(F.exists(F.array(*signs), lambda x: x), rule["kind"]))
+    return F.when(F.col("sector") == "power-generation", F.coalesce(*found, F.lit("thermal")))
 
 
 def flags() -> Column:
@@ -128,7 +132,7 @@ def confidence() -> Column:
 def assess(sites: DataFrame) -> DataFrame:
     """Every derived column of the model, beside the input columns."""
     have = dict(sites.dtypes)
-    for c, t in (("dupes", "array<string>"), ("colocated", "array<string>"), ("plan_status", "string"), ("said_status", "string")):
+    for c, t in (("dupes", "array<string>"), ("colocated", "array<string>"), ("plan_status", "string"), ("said_status", "string"), ("onsite_mw", "double"), ("onsite_fuel", "string"), ("permit_class", "string")):
         if c not in have:
             sites = sites.withColumn(c, F.lit(None).cast(t))
     low = F.coalesce(F.col("sector").isin(MODEL["low_flow_sectors"]), F.lit(False))

@@ -8,6 +8,9 @@ place. Errors are 'path: what', in the order of the schema. Null or unreadable t
 
 from __future__ import annotations
 
+import functools
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,12 @@ class SchemaError(ValueError):
     """The schema itself uses what the compiler cannot enforce."""
 
 
+@functools.lru_cache(64)
+def _checked(text: str) -> None:
+    """A contract is looked through once, however often it is compiled; what refuses it is not remembered."""
+    check_schema(json.loads(text))
+
+
 def check_schema(schema: dict, at: str = "$") -> None:
     if not isinstance(schema, dict):
         return
@@ -147,7 +156,7 @@ def _errors_of_kind(v: Column, kind: Column, schema: dict, root: dict, path: str
 
 def errors_of(raw: str | Column, schema: dict) -> Column:
     """array<string>: what is wrong with the JSON text in `raw`; empty if nothing."""
-    check_schema(schema)
+    _checked(json.dumps(schema))
     raw = F.col(raw) if isinstance(raw, str) else raw
     return _let(F.try_parse_json(raw), lambda v: F.when(v.isNull(), F.array(F.lit("$: unreadable"))).otherwise(_errors(v, schema, schema, "$")))
 

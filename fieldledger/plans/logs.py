@@ -140,6 +140,16 @@ def q29_ledger_violations(spark, d):
     return ledger.violations(all_changes(spark, d), entities(spark, d).select("id"), ledger.ENTRY_CONTRACT)
 
 
+@catalog.query(
+    sql=LIVE_SQL
+    + """ SELECT change_id, entity_id, CASE change WHEN 'add_entity' THEN 'added' WHEN 'correct' THEN 'corrected ' || field WHEN 'mark_defunct' THEN 'status defunct' WHEN 'mark_not_a_fit' THEN 'status not_a_fit'
+           WHEN 'mark_assigned_elsewhere' THEN 'status assigned_elsewhere' WHEN 'mark_duplicate' THEN 'status duplicate' ELSE 'status active' END AS effect, instant FROM live"""
+)
+def q29_audit_trail(spark, d):
+    """What each change of effect did."""
+    return ledger.audit_trail(changes(spark, d)).select("change_id", "entity_id", "effect", "instant")
+
+
 CHAIN_SQL = LIVE_SQL.replace("WITH once", "WITH RECURSIVE once") + """, dup AS (SELECT entity_id AS id, duplicate_of AS nxt FROM status WHERE status = 'duplicate'),
  walk(id, cur, depth) AS (SELECT id, nxt, 1 FROM dup UNION ALL SELECT w.id, d.nxt, w.depth + 1 FROM walk w JOIN dup d ON d.id = w.cur WHERE w.depth < 400),
  far AS (SELECT id, max(depth) AS depth, arg_max(cur, depth) AS cur FROM walk GROUP BY id)"""
@@ -428,6 +438,27 @@ def q49_signal_counters(spark, d):
     return signals.counters(s, triaged(spark, d, s), known(spark, d).select("id"))
 
 
+@catalog.query(sql=SIGNAL_SQL + " SELECT signal_id, source_type FROM sig WHERE source_type = 'manual' OR entity_id > 'C5'")
+def q70_append_new_signals(spark, d):
+    """What a second seeding adds where the signals of the entries up to C5 are there already."""
+    s = signals_now(spark, d)
+    there = s.filter("source_type <> 'manual' AND entity_id <= 'C5'")
+    return signals.append_new(there, s).select("signal_id", "source_type")
+
+
+@catalog.query(
+    sql="""SELECT kind, count(DISTINCT jurisdiction)::bigint AS jurisdictions, true AS names_close, true AS median_close FROM entity GROUP BY kind"""
+)
+def q71_approximate_aggregates(spark, d):
+    """Distinct names and the median latitude by kind from sketches, with whether they are as close to the exact ones as promised."""
+    e = table(spark, d, "entity").groupBy("kind").agg(
+        F.countDistinct("jurisdiction").alias("jurisdictions"), F.approx_count_distinct("name", 0.03).alias("about"), F.countDistinct("name").alias("exact"),
+        F.percentile_approx("lat", [0.49, 0.5, 0.51], F.lit(10_000)).alias("mid"), F.percentile("lat", 0.5).alias("median"),
+    )
+    close = F.abs(F.col("about") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.12)
+    return e.select("kind", "jurisdictions", close.alias("names_close"), (F.col("median").between(F.col("mid")[0] - 0.01, F.col("mid")[2] + 0.01)).alias("median_close"))
+
+
 # ------------------------------------------------------------------ validation
 
 CHANGE_CONTRACT = {

@@ -101,13 +101,18 @@ def q05_union_sources_tagged(spark, d):
     return union_sources(a, b)
 
 
-def _unplaced_and_anchors(spark, d):
+def _placed(spark, d):
+    """Records with clean coordinates and `placed`, the official jurisdiction of their jurisdiction or city."""
     dims = resolve.jurisdiction_dims(table(spark, d, "place_ref"))
-    r = site_records(spark, d).select(F.col("rec_id").alias("id"), "source_name", "lat", "lon", "jurisdiction", "city")
+    r = site_records(spark, d).select(F.col("rec_id").alias("id"), "source_name", "sector", "lat", "lon", "jurisdiction", "city")
     r = resolve.clean_coordinates(r)
     r = resolve.official_jurisdiction(r, "jurisdiction", dims, "a")
     r = resolve.official_jurisdiction(r, "city", dims, "b")
-    r = r.withColumn("placed", F.coalesce("a", "b"))
+    return r.withColumn("placed", F.coalesce("a", "b"))
+
+
+def _unplaced_and_anchors(spark, d):
+    r = _placed(spark, d)
     return r.filter("placed IS NULL"), r.filter("placed IS NOT NULL AND source_name = 'permit_registry'")
 
 
@@ -128,6 +133,25 @@ def q06_knn_anchor(spark, d):
     return near.select(F.col("id").alias("rec_id"), "anchor_id", F.round("dist", 4).alias("dist"))
 
 
+@catalog.query(
+    sql=JURIS_SQL.replace("FROM entity WHERE id IS NOT NULL", "FROM (SELECT rec_id AS id, * FROM site_record) WHERE id IS NOT NULL")
+    + """, r AS (SELECT DISTINCT rec_id AS id, source_name, sector, lat, CASE WHEN lon > 0 THEN -lon ELSE lon END AS lon, jurisdiction, city FROM site_record
+            WHERE rec_id IS NOT NULL AND lat <> 0 AND lon <> 0 AND (CASE WHEN lon > 0 THEN -lon ELSE lon END) >= -78.9 AND lat > 36.4 AND lat < 39.3),
+         q AS (SELECT r.*, coalesce(a.label, b.label) AS placed FROM r LEFT JOIN j a ON a.raw = r.jurisdiction LEFT JOIN j b ON b.raw = r.city),
+         k AS (SELECT id, min(struct_pack(sector := sector, lat := lat, lon := lon, placed := placed)) AS x FROM q GROUP BY id),
+         m AS (SELECT u.id, min("""
+    + DIST.format(a="u", b="w")
+    + """) AS dist FROM (SELECT id, x.lat AS lat, x.lon AS lon FROM k WHERE x.placed IS NULL) u JOIN q w ON w.placed IS NOT NULL AND w.source_name = 'permit_registry' AND abs(u.lat - w.lat) < 0.37 GROUP BY u.id),
+         n AS (SELECT k.id, x.sector AS sector, CASE WHEN x.placed IS NULL AND coalesce(m.dist >= 2, true) THEN 'out_of_territory' ELSE 'core' END AS scope FROM k LEFT JOIN m USING (id))
+         SELECT id AS rec_id, CASE WHEN sector IN ('municipal-water', 'municipal-wastewater') AND scope <> 'out_of_territory' THEN 'out_of_portfolio' ELSE scope END AS scope FROM n"""
+)
+def q06_scope_of_rows(spark, d):
+    """Scope of every record: without a jurisdiction or a placed record within 2 miles out of the territory but kept; municipal sectors out of the portfolio."""
+    r = _placed(spark, d).groupBy("id").agg(F.min(F.struct("sector", "lat", "lon", "placed")).alias("x")).select("id", "x.*", F.lit("core").alias("scope"))
+    anchors = _unplaced_and_anchors(spark, d)[1]
+    return resolve.municipal_scope(resolve.place_rows(r, "placed", anchors, 2.0)).select(F.col("id").alias("rec_id"), "scope")
+
+
 def _sites(spark, d):
     return entities(spark, d).select("id", "name", "lat", "lon", "sector")
 
@@ -280,13 +304,16 @@ def q16_unique_ids(spark, d):
 # ------------------------------------------------------------------ scoring
 
 
-def scored(spark, d):
+def site_facts(spark, d):
     e = entities(spark, d).filter("kind = 'facility'")
-    sites = e.select(
+    return e.select(
         "id", "name", "sector", "subindustry", "note", "existence", "facts.employees", "facts.sqft", "facts.mw", "facts.fuel", "facts.gen_mwh", "facts.cogen",
         F.expr("transform(sources, s -> s.label)").alias("labels"), F.col("timing.k").alias("plan_status"),
     )
-    return score.assess(sites)
+
+
+def scored(spark, d):
+    return score.assess(site_facts(spark, d))
 
 
 def _case(values: dict, what: str, key: str = "family") -> str:
@@ -335,6 +362,28 @@ def q18_verified_points(spark, d):
     return scored(spark, d).select("id", "verified", F.size("fact_list").alias("facts"))
 
 
+@catalog.query(
+    sql=FACT_SQL
+    + """SELECT id, round_even(least(3.0, v0 + CASE WHEN regexp_matches(permit, '(?i)major|title\\s*v') THEN 0.75 WHEN permit <> '' THEN 0.25 ELSE 0 END + CASE WHEN onsite <> 0 THEN 1.0 ELSE 0 END), 6) AS verified,
+         n_facts + (permit <> '')::int + (onsite <> 0)::int AS facts FROM (SELECT *, CASE WHEN sqft >= 300000 THEN 'Title V' WHEN sqft >= 100000 THEN 'minor' ELSE '' END AS permit, CASE WHEN employees >= 400 THEN employees / 10 ELSE 0 END AS onsite,
+         (CASE WHEN coalesce(mw, 0) <> 0 AND coalesce(gen_mwh, 0) <> 0 THEN 1.5 ELSE 0 END) + (CASE WHEN coalesce(cogen, false) THEN 1.0 ELSE 0 END) + (CASE WHEN list_contains(labels, 'Emission report') THEN 0.75 ELSE 0 END)
+          + (CASE WHEN list_contains(labels, 'Toxics filing') THEN 0.75 ELSE 0 END) + (CASE WHEN coalesce(sqft, 0) <> 0 AND coalesce(employees, 0) <> 0 THEN 0.25 ELSE 0 END) AS v0 FROM n)"""
+)
+def q18_onsite_permit_points(spark, d):
+    """Evidence points with on-site generation and air permits, both made from staff and floor area (the tables have neither)."""
+    sites = site_facts(spark, d).withColumn("onsite_mw", F.when(F.col("employees") >= 400, F.col("employees") / 10)).withColumn("permit_class", F.when(F.col("sqft") >= 300000, "Title V").when(F.col("sqft") >= 100000, "minor"))
+    return score.assess(sites).select("id", F.bround("verified", 6).alias("verified"), F.size("fact_list").alias("facts"))
+
+
+@catalog.query(
+    sql=FACT_SQL
+    + "SELECT id, list_sort(list_filter(CASE family " + " ".join(f"WHEN '{k}' THEN {v['apps']}" for k, v in score.MODEL["families"].items())
+    + """ END, lambda a: (a IN ('steam_header', 'bfw', 'cond_return', 'fuel_gas') AND (coalesce(mw, 0) <> 0 OR coalesce(cogen, false))) OR (a IN ('process_liquid', 'corrosive', 'effluent') AND coalesce(list_contains(labels, 'Toxics filing'), false)))) AS apps FROM n"""
+)
+def q69_verified_applications(spark, d):
+    return scored(spark, d).select("id", F.col("apps_verified").alias("apps"))
+
+
 @catalog.query(sql=FACT_SQL + "SELECT id, subtype FROM n WHERE subtype IS NOT NULL")
 def q19_subtype_rules(spark, d):
     return scored(spark, d).filter("subtype IS NOT NULL").select("id", "subtype")

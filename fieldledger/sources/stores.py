@@ -117,6 +117,28 @@ def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class CachedBase:
+    """A snapshot held ready, and read anew once its folder or file has changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._seen, self._df = spark, path, None, None
+
+    def _changed_at(self) -> int:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        top = fs.getFileStatus(p)
+        return max([top.getModificationTime(), *[x.getModificationTime() for x in (fs.listStatus(p) if top.isDirectory() else [])]])
+
+    def get(self) -> DataFrame:
+        at = self._changed_at()
+        if at != self._seen:
+            if self._df is not None:
+                self._df.unpersist()
+            self.spark.catalog.refreshByPath(self.path)
+            self._df, self._seen = load_snapshot(self.spark, self.path).cache(), at
+        return self._df
+
+
 def manifest(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, bytes, sha256) of every input file, read in parallel; only digests leave the executors."""
     found = [p for p in paths if _exists(spark, p)]

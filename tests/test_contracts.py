@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,46 @@ def test_score_rules(spark):
     assert nulls["family"] == "other-mfg" and nulls["band"] == score.UNRATED
 
 
+def test_evidence_of_generation_and_permits(spark):
+    with_ = lambda **kw: score.assess(spark.createDataFrame([("x", "Acme", "chemical", "acids", "", "registry", 0, 0, 0.0, "", None, False, [], kw.get("onsite"), kw.get("fuel"), kw.get("permit"))], SITE + ", onsite_mw double, onsite_fuel string, permit_class string")).first()
+    assert with_()["verified"] == 0.0 and with_(onsite=12.0, fuel="gas")["verified"] == 1.0 and with_(onsite=12.0)["fact_list"][0]["fact"] == "12 MW of unknown fuel generated on site"
+    assert with_(permit="Title  V")["verified"] == 0.75 and with_(permit="Synthetic Minor")["verified"] == 0.25 and with_(permit="")["verified"] == 0.0
+
+
+def test_cached_base_follows_the_file(spark, tmp_path):
+    from fieldledger.sources.stores import CachedBase
+
+    at = str(tmp_path / "base")
+    spark.range(3).write.parquet(at)
+    held = CachedBase(spark, at)
+    assert held.get().count() == 3 and held.get() is held.get()
+    time.sleep(1.1)
+    spark.range(5).write.mode("overwrite").parquet(at)
+    assert held.get().count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from fieldledger.session import shared_folder
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
+
+
+def test_freed_frames_leave_the_folder(spark):
+    from pathlib import Path
+
+    from fieldledger.session import cut, free
+
+    a = cut(spark.range(10))
+    at = Path(a._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:"))
+    assert at.exists() and a.count() == 10
+    free(a, None, spark.range(3))
+    assert not at.exists()
+
+
 def test_admission(spark):
     known = spark.createDataFrame([("E1", "active", "High"), ("E2", "defunct", "Low")], "id string, status string, band string")
     log = spark.createDataFrame([("t1", "met", None), ("t2", "met", None), ("u2", "undo", "t2")], "id string, action string, undo_of string")

@@ -203,3 +203,48 @@ def test_orphans_and_unplaced(spark):
     none = spark.createDataFrame([], "signal_id string, status string")
     assert sorted(r["signal_id"] for r in signals.view(s, none, known, 10).collect()) == ["a", "c"]
     assert [r["signal_id"] for r in signals.orphans(s, known).collect()] == ["b"]
+
+
+RAW = CHANGE + ", entity string"
+
+
+def test_added_entries_enter_the_registry(spark):
+    """The first readable addition counts; an id of the base is not added again; corrections and status apply to added entries."""
+    entry = lambda i, name: f'{{"id": "{i}", "kind": "facility", "name": "{name}", "lat": 38.0, "lon": -77.0, "cluster": "C2", "scope": "core", "miles": 40.0}}'
+    rows = [
+        (*change("N1", "add_entity", 2, 1, field="record"), entry("N1", "later")), (*change("N1", "add_entity", 1, 2, field="record"), entry("N1", "first")),
+        (*change("A1", "add_entity", 1, 3, field="record"), entry("A1", "again")), (*change("N2", "add_entity", 1, 4, field="record"), entry("N9", "other id")),
+        (*change("N3", "add_entity", 1, 5, field="record"), "{broken"), (*change("N4", "add_entity", 1, 6, field="record"), None),
+        (*change("N1", "correct", 3, 7, "new", "name"), None), (*change("N1", "mark_defunct", 4, 8), None), (*change("N1", "correct", 3, 9, "37.5", "lat"), None),
+    ]
+    df = spark.createDataFrame(rows, RAW)
+    added = ledger.additions(df)
+    assert {(r["id"], r["name"], r["since"]) for r in added.collect()} == {("N1", "first", 1), ("A1", "again", 1)}
+    got = {r["id"]: r for r in ledger.apply_ledger(base(spark).withColumn("existence", F.lit("registry")), df, (37.54, -77.44), added).collect()}
+    assert set(got) == {"A1", "A2", "A3", "N1"} and got["A1"]["name"] == "n1"
+    n = got["N1"]
+    assert (n["name"], n["status"], n["existence"], n["lat"], n["miles"], n["cluster"]) == ("new", "defunct", "ledger", 37.5, 24.2, "C2")
+
+
+def test_additions_keep_a_contract(spark):
+    good = '{"id": "N01", "kind": "facility", "name": "n", "lat": 38, "lon": -77.5}'
+    texts = {"N01": good, "N02": good, "N03": '{"id": "N03", "kind": "ship", "name": "n", "lat": 38, "lon": -77.5}', "N04": None, "N05": '{"id": "N05", "kind": "oem", "name": "n", "lat": 99, "lon": -77.5}'}
+    rows = [(*change(i, "add_entity", 1, n, field="record"), t) for n, (i, t) in enumerate(texts.items())]
+    got = {(r["change_id"], r["problem"]) for r in ledger.violations(spark.createDataFrame(rows, RAW), base(spark).select("id"), ledger.ENTRY_CONTRACT).collect()}
+    assert got == {("lc1", "entry of another id"), ("lc2", "entry breaks its contract"), ("lc3", "entry of another id"), ("lc3", "entry breaks its contract"), ("lc4", "entry breaks its contract")}
+
+
+def test_a_share_grows_and_shrinks_with_its_pool(spark):
+    pool = spark.createDataFrame([("A", "C1", None), ("B", "C1", None), ("N", "C1", 20)], "id string, cluster string, since long")
+    first = spark.createDataFrame([("A", 10), ("N", 30)], "entity_id string, instant long")
+    none = spark.createDataFrame([], "entity_id string, instant long, ord long, status string")
+    got = [(r["instant"], r["done"], r["size"]) for r in progress.share_timeline(first, none, pool).orderBy("instant").collect()]
+    assert got == [(10, 1, 2), (20, 1, 3), (30, 2, 3)]
+
+
+def test_signal_counters(spark):
+    s = spark.createDataFrame([("a", "E1", "manual", "x", "rule"), ("b", "zz", "manual", "x", "rule"), ("c", None, "web", None, "person")], "signal_id string, entity_id string, source_type string, kind string, generated_by string")
+    t = spark.createDataFrame([("a", "pinned")], "signal_id string, status string")
+    got = {(r["what"], r["value"]): r["n"] for r in signals.counters(s, t, spark.createDataFrame([("E1",), ("E1",)], "id string")).collect()}
+    assert got[("signals_by_place", "placed")] == got[("signals_by_place", "orphaned")] == got[("signals_by_place", "unplaced")] == 1
+    assert got[("signals_by_status", "pinned")] == 1 and got[("signals_by_status", "new")] == 2 and got[("signals_by_kind", None)] == 1 and got[("signals_by_generator", "rule")] == 2

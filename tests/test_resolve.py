@@ -177,3 +177,23 @@ def test_rules_first_hit_wins(spark):
     rules = [{"id": "a", "enabled": False, "match_text": "mill"}, {"id": "b", "enabled": True, "match_sector": ["w"]}, {"id": "c", "enabled": True, "match_text": "MILL|w"}]
     df = spark.createDataFrame([("Old Mill", None, "x"), ("Mill", "n", "w"), (None, None, None)], "name string, note string, sector string")
     assert [r["excluded_by"] for r in resolve.exclusion_rule(df, rules, ["name", "note", "sector"]).collect()] == ["c", "b", None]
+
+
+def test_scope_and_defaults(spark):
+    rows = spark.createDataFrame([("a", "C", 37.0, -77.0, "core", "chemical", None), ("b", None, 37.0, -77.01, "core", "municipal-water", 5), ("c", None, 39.0, -78.0, "core", "municipal-water", 0), ("d", None, None, None, "core", None, None)], "id string, placed string, lat double, lon double, scope string, sector string, employees int")
+    anchors = spark.createDataFrame([("x", 37.0, -77.0)], "id string, lat double, lon double")
+    got = {r["id"]: r for r in resolve.fill_defaults(resolve.municipal_scope(resolve.place_rows(rows, "placed", anchors))).collect()}
+    assert {i: r["scope"] for i, r in got.items()} == {"a": "core", "b": "out_of_portfolio", "c": "out_of_territory", "d": "out_of_territory"}
+    assert got["b"]["anchor_id"] == "x" and got["a"]["anchor_id"] is None
+    assert {i: r["employees"] for i, r in got.items()} == {"a": 0, "b": 5, "c": 0, "d": 0} and got["a"]["triggers"] == "" and got["a"]["enriched"] is False
+
+
+def test_survivors_hand_on_every_field_and_keep_a_log(spark):
+    s = "ord string, id string, name string, lat double, lon double, source_name string, note string, naics string, url string, employees int, clamp_on int, vortex int, enriched boolean"
+    rows = spark.createDataFrame([("1", "i1", "A", 37.0, -77.0, "p", "", None, None, 0, 1, None, False), ("2", "i2", "B", 37.1, -77.0, "q", "n2", None, "u2", 7, 3, None, True), ("3", "i3", "C", 37.1, -77.0, "p", "n3", "31", None, 9, 2, None, True), ("4", "i4", "D", 38.0, -77.0, "r", None, None, None, None, None, 4, None)], s)
+    leaders = spark.createDataFrame([("1", "1"), ("2", "1"), ("3", "1"), ("4", "4")], "ord string, leader string")
+    got = {r["leader"]: r for r in resolve.survivors(rows, leaders).collect()}
+    one = got["1"]
+    assert (one["note"], one["naics"], one["url"], one["employees"], one["clamp_on"], one["vortex"], one["enriched_id"], one["sources"], one["records"]) == ("n2", "31", "u2", 7, 3, 0, "i3", ["p", "q"], 3)
+    assert got["4"]["enriched_id"] is None and got["4"]["vortex"] == 4
+    assert [(r["donor"], r["leader"]) for r in resolve.fold_log(rows, leaders).orderBy("ord").collect()] == [("B", "A"), ("C", "A")]
