@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import MILES_PER_DEGREE, SITE_LATITUDE, in_ring, lon_miles, ring_meets_box
 from ..functions.skew import split_join
-from ..session import cut, free
+from ..session import cut, cut_counted, free
 
 LEAF_ROWS = 64  # a node of at most so many points is not split
 STEP = 2  # levels of the grid between a node and its children
@@ -39,6 +39,10 @@ SLACK = 1e-9  # miles left to rounding when boxes decide
 BOX = ["lo_lat", "lo_lon", "hi_lat", "hi_lon"]
 
 
+def _extremes() -> dict:
+    return {"n": F.count(F.lit(1)), "lo_lat": F.min("lat"), "lo_lon": F.min("lon"), "hi_lat": F.max("lat"), "hi_lon": F.max("lon")}
+
+
 def _clean(df: DataFrame, id_col: str, lat: str, lon: str) -> DataFrame:
     finite = (F.abs(F.col(lat)) <= 180) & (F.abs(F.col(lon)) <= 360)
     return df.filter(F.col(id_col).isNotNull() & finite).select(
@@ -59,12 +63,12 @@ def _above(level: str, x: str, y: str, at: str):
 class Grid:
     """The square over one side's points and the depth its tree may reach; `n` is 0 for an empty side."""
 
-    def __init__(self, side: DataFrame, lo=("lat", "lon"), hi=("lat", "lon")):
-        r = side.agg(F.count("*"), F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon"), F.min(lo[0]), F.min(lo[1]), F.max(hi[0]), F.max(hi[1])).first()
-        self.n, self.box = r[0], tuple(r[5:9])
+    def __init__(self, seen: dict, box: tuple | None = None):
+        """`seen`: _extremes of the side's points; `box`: what the side covers, if more than its points."""
+        self.n, self.box = seen["n"], box or tuple(seen[c] for c in BOX)
         if self.n:
-            self.lo_lat, self.lo_lon = r[1], r[2]
-            self.span = max(r[3] - r[1], r[4] - r[2], 1e-6) * (1 + 1e-9)
+            self.lo_lat, self.lo_lon = seen["lo_lat"], seen["lo_lon"]
+            self.span = max(seen["hi_lat"] - self.lo_lat, seen["hi_lon"] - self.lo_lon, 1e-6) * (1 + 1e-9)
             deep = math.ceil(math.log(max(self.n / LEAF_ROWS, 1), 4)) + 4
             self.depth = min(MAX_DEPTH, math.ceil(deep / STEP) * STEP)
 
@@ -134,8 +138,9 @@ class PointIndex:
     """Points with their grid, cells and tree, for several joins against one set of points."""
 
     def __init__(self, points: DataFrame, id_col: str, lat: str = "lat", lon: str = "lon"):
-        p = cut(_clean(points, id_col, lat, lon))  # read for the grid, the cells and the result
-        self.grid = Grid(p)
+        # read for the grid, the cells and the result
+        p, seen = cut_counted(_clean(points, id_col, lat, lon), **_extremes())
+        self.grid = Grid(seen)
         self.empty = self.grid.n == 0
         self.ids = p.select(F.col("id").alias("l_id"))
         if not self.empty:
@@ -182,14 +187,14 @@ def _descend(a: PointIndex, b_steps: DataFrame, b_grid: Grid, b_leaf: bool, roun
             other = [F.col(f"{o}_{c}") for o in "ab" if o != s for c in cols[o]]
             stays = F.col("n_key").isNull()
             pairs = pairs.join(down, f"{s}_key", "left").select(*other, *[F.when(stays, F.col(f"{s}_{c}")).otherwise(F.col(f"n_{c}")).alias(f"{s}_{c}") for c in cols[s]])
-        pairs = cut(pairs.withColumn("verdict", classify()).filter("verdict <> 'none'"))
+        pairs = pairs.withColumn("verdict", classify()).filter("verdict <> 'none'")
+        pairs, n = cut_counted(pairs, open=F.count_if(F.col("verdict") == "open"), done=F.count_if(F.col("verdict") != "open"))
         free(before)
-        left = {r[0]: r[1] for r in pairs.groupBy("verdict").count().collect()}
-        if set(left) - {"open"}:
+        if n["done"]:
             decided.append(pairs.filter("verdict <> 'open'").select("a_key", "b_key", "verdict"))
-        if not left.get("open"):
+        if not n["open"]:
             break
-        before = None if set(left) - {"open"} else pairs
+        before = None if n["done"] else pairs
         frontier = pairs.filter("verdict = 'open'").drop("verdict")
     return decided
 
@@ -266,11 +271,12 @@ def within_region(
     )
     r = r.withColumn("lat", F.expr("(lo_lat + hi_lat) / 2")).withColumn("lon", F.expr("(lo_lon + hi_lon) / 2"))
     none = p.ids.limit(0).crossJoin(r.select(F.col("id").alias("r_id")).limit(0))
-    grid = Grid(r, ("lo_lat", "lo_lon"), ("hi_lat", "hi_lon"))
+    # regions are numbered below zero; the cut makes the numbers stay
+    r, seen = cut_counted(r.withColumn("key", -1 - F.monotonically_increasing_id()), **_extremes(), **{f"box_{c}": (F.min if c[:2] == "lo" else F.max)(c) for c in BOX})
+    grid = Grid(seen, tuple(seen[f"box_{c}"] for c in BOX))
     if p.empty or not grid.n:
         return none
-    # regions are numbered below zero; the cut makes the numbers stay
-    r = cut(grid.with_cell(r).withColumn("key", -1 - F.monotonically_increasing_id()))
+    r = grid.with_cell(r)
     rc = cut(r.groupBy("cx", "cy").agg(F.count("*").alias("n"), *[(F.min if c[:2] == "lo" else F.max)(c).alias(c) for c in BOX]))
     a, b = p.tree, Tree(rc, grid, 1)
     # below each leaf of the region tree stand its regions, which then stay
