@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import HOT_ROWS, split_join
-from ..session import cut
+from ..session import cut, cut_counted, free
 
 CUT_EVERY = 4  # rounds expanded in one plan
 MAX_ROUNDS = 200  # far beyond what 10^18 edges would take; a guard, not a cap on results
@@ -34,15 +34,18 @@ def connected_components(pairs: DataFrame, a: str, b: str, seed: int = 7) -> Dat
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "turn"))
         order = lambda c: F.struct(F.xxhash64("turn", c).alias("h"), F.col(c).alias("id"))
         hook = both.groupBy("u").agg(F.min(order("v")).alias("near"), F.min(order("u")).alias("own"), F.count("*").alias("n"))
-        hook = cut(hook.select(F.col("u").alias("id"), F.least("near", "own")["id"].alias("to"), "n"))
-        total, most = hook.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-        if not total:
+        hook, seen = cut_counted(hook.select(F.col("u").alias("id"), F.least("near", "own")["id"].alias("to"), "n"), most=F.coalesce(F.max("n"), F.lit(0)))
+        if not seen["most"]:
+            break
+        hooks.append(hook)
+        even = seen["most"] <= HOT_ROWS
+        fresh = _relabel(_relabel(edges, hook, "u", even), hook, "v", even)
+        fresh = fresh.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.col("turn") + 1).alias("turn")).distinct()
+        fresh, seen = cut_counted(fresh, left=F.count(F.lit(1)))
+        free(edges)
+        edges = fresh
+        if not seen["left"]:
             break
-        hooks.append(hook.select("id", "to"))
-        even = most <= HOT_ROWS
-        edges = _relabel(_relabel(edges, hook, "u", even), hook, "v", even)
-        edges = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.col("turn") + 1).alias("turn")).distinct()
-        edges = cut(edges)
     else:
         raise RuntimeError("contraction did not end")
     if not hooks:
@@ -50,13 +53,14 @@ def connected_components(pairs: DataFrame, a: str, b: str, seed: int = 7) -> Dat
     # expand backwards: the last round's hooks end at their targets; an earlier round's hook leads to
     # a vertex that moved on in a later round, or stayed. The later side has one row a vertex; a hot
     # target makes only the outer side uneven, which the adaptive skew join splits.
-    final = hooks[-1]
+    final = hooks[-1].select("id", "to")
     for k, hook in enumerate(reversed(hooks[:-1])):
         on = final.select(F.col("id").alias("to"), F.col("to").alias("end"))
         final = hook.join(on, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
         if k % CUT_EVERY == CUT_EVERY - 1:
             final = cut(final)
     final = cut(final)
+    free(*hooks)
     least = final.groupBy("to").agg(F.least(F.min("id"), F.first("to")).alias("group_id"), F.count("*").alias("n"))
     return split_join(final, least, ["to"], "n").select("id", "group_id")
 
