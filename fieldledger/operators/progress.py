@@ -97,6 +97,30 @@ def as_of_status(taps: DataFrame, changes: DataFrame) -> DataFrame:
     return u.filter("src = 1").select("tap_id", "entity_id", "instant", F.coalesce("now", F.lit("active")).alias("status"))
 
 
+def targets_as_of(rows: DataFrame, status: DataFrame, most: int = 100) -> DataFrame:
+    """(row_id, target): the entity that each row's entity stood for at the row's instant, following duplicate marks as they were then.
+
+    `rows`: row_id, entity_id, instant. `status`: entity_id, instant, ord, duplicate_of (null unless the change marks a
+    duplicate). Each hop is one as-of join of the rows that still move; a change at the same instant counts as before.
+    A chain that leads round in a loop ends at the row's own entity. More than `most` hops raise an error.
+    """
+    moving = cut(rows.select("row_id", F.col("entity_id").alias("own"), F.col("entity_id").alias("at"), "instant", F.array("entity_id").alias("seen")))
+    marks = status.select(F.col("entity_id").alias("at"), "instant", F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord"), F.struct(F.col("duplicate_of").alias("to")).alias("held"))
+    nothing = {c: F.lit(None).cast(t) for c, t in (("row_id", dict(rows.dtypes)["row_id"]), ("own", "string"), ("seen", "array<string>"))}
+    settled = None
+    for _ in range(most):
+        t = moving.select("row_id", "own", "seen", "at", "instant", F.lit(1).alias("src"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast(dict(marks.dtypes)["held"]).alias("held"))
+        u = running(t.unionByName(marks.withColumns(nothing)), ["at"], ["instant", "src", "ord"], "held", "now", "last").filter("src = 1")
+        # a chain that comes back to where it was is a loop
+        u = cut(u.select("row_id", "own", "at", "instant", "seen", F.col("now.to").alias("to")).withColumn("round", F.array_contains("seen", F.coalesce("to", F.lit("")))))
+        done = u.filter("to IS NULL OR round").select("row_id", F.when(F.col("round"), F.col("own")).otherwise(F.col("at")).alias("target"))
+        settled = done if settled is None else settled.unionByName(done)
+        moving = u.filter("to IS NOT NULL AND NOT round").select("row_id", "own", F.col("to").alias("at"), "instant", F.concat("seen", F.array("to")).alias("seen"))
+        if not moving.limit(1).count():
+            return settled
+    raise RuntimeError(f"a duplicate chain is longer than {most}")
+
+
 def share_timeline(first_taps: DataFrame, status: DataFrame, pool: DataFrame) -> DataFrame:
     """(cluster, instant, done, size, share) after every instant at which a cluster's share changes.
 

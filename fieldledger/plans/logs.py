@@ -326,13 +326,16 @@ def cluster_rollup(spark, d):
 def q42_transferred_stages(spark, d):
     """Final stages where duplicate marks hand a stage on (fixpoint over transfers; tested against a replay).
 
-    Targets are resolved by each entry's final duplicate chain; loops keep the entry itself.
+    The target of a tap, and of a mark, is the entry its own one stood for at that instant; loops keep the entry itself.
     """
-    chains = cut(ledger.duplicate_chains(cut(ledger.latest_status(changes(spark, d)))).filter("NOT looped").select(F.col("id").alias("entity_id"), "root"))
-    order = F.struct("instant", F.lit(1).alias("src"), F.col("tap_id").alias("tie"))
-    t = taps(spark, d).join(chains, "entity_id", "left").select("tap_id", F.coalesce("root", "entity_id").alias("target"), "rank", order.alias("seq"))
-    marks = changes(spark, d).filter("change = 'mark_duplicate'").join(chains, "entity_id")
-    m = marks.select("change_id", F.col("entity_id").alias("source"), F.col("root").alias("target"), F.struct("instant", F.lit(0).alias("src"), F.col("change_id").alias("tie")).alias("seq"))
+    status = cut(changes(spark, d).filter("field = 'status'").select("change_id", "change", "entity_id", "instant", "ord", F.when(F.col("change") == "mark_duplicate", F.col("duplicate_of")).alias("duplicate_of")))
+    tap = cut(taps(spark, d).select(F.concat(F.lit("t|"), "tap_id").alias("row_id"), "tap_id", "entity_id", "instant", "rank"))
+    mark = status.filter("change = 'mark_duplicate'").select(F.concat(F.lit("m|"), "change_id").alias("row_id"), "change_id", "entity_id", "instant")
+    rows = tap.select("row_id", "entity_id", "instant").unionByName(mark.select("row_id", "entity_id", "instant"))
+    at = cut(progress.targets_as_of(rows, status))
+    order = lambda src, tie: F.struct("instant", F.lit(src).alias("src"), F.col(tie).alias("tie")).alias("seq")
+    t = tap.join(at, "row_id").select("tap_id", "target", "rank", order(1, "tap_id"))
+    m = mark.join(at, "row_id").filter("target <> entity_id").select("change_id", F.col("entity_id").alias("source"), "target", order(0, "change_id"))
     stages, _ = progress.transferred_stages(cut(t), cut(m))
     return stages.select(F.col("entity").alias("entity_id"), "rank")
 

@@ -240,7 +240,25 @@ def _leaders(spark, d):
     return rows, cut(resolve.greedy_leaders(rows, resolve.fold_matches(rows)))
 
 
-@catalog.query()
+# the pass in order, row by row, with the rows kept so far as a list
+FOLDED_SQL = (
+    f"""WITH RECURSIVE s AS (SELECT DISTINCT ON (rec_id) * FROM site_record WHERE rec_id IS NOT NULL),
+ c AS (SELECT rec_id, name, lat, CASE WHEN lon > 0 THEN -lon ELSE lon END AS lon, coalesce(coord_precision = 'site', false) AS exact, source_name, note, parent, employees, sqft, operator,
+   lpad((99999 - CASE source_name WHEN 'permit_registry' THEN 10000 WHEN 'recall_sweep' THEN 5000 ELSE 0 END - CASE WHEN existence = 'registry' THEN 200 ELSE 0 END - length(coalesce(note, '')))::varchar, 6, '0') || '|' || lpad(rec_id::varchar, 19, '0') AS ord
+   FROM s WHERE lat <> 0 AND lon <> 0 AND (CASE WHEN lon > 0 THEN -lon ELSE lon END) >= -78.9 AND lat > 36.4 AND lat < 39.3),
+ r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ord) AS n, {FOLD.format(c='name')} AS t FROM c),
+ p AS (SELECT a.n AS a, b.n AS b, a.exact AND b.exact AS both_exact, {DIST.format(a='a', b='b')} AS dist, len(list_intersect(a.t, b.t)) AS common, len(a.t) AS la, len(b.t) AS lb
+   FROM r a JOIN r b ON a.n < b.n AND abs(a.lat - b.lat) <= 0.06 AND abs(a.lon - b.lon) <= 0.06 AND list_has_any(a.t, b.t)),"""
+    + """
+ m AS MATERIALIZED (SELECT a, b FROM p WHERE CASE WHEN both_exact THEN dist <= 0.6 AND (common / (la + lb - common) >= 0.34 OR common = least(la, lb)) ELSE dist <= 3.0 AND (common / (la + lb - common) >= 0.5 OR common = least(la, lb)) END),
+ nb AS MATERIALIZED (SELECT r.n, coalesce(list(m.a) FILTER (m.a IS NOT NULL), []) AS earlier FROM r LEFT JOIN m ON m.b = r.n GROUP BY r.n),
+ walk(n, kept) AS (SELECT 0::bigint, []::bigint[] UNION ALL SELECT nb.n, CASE WHEN list_has_any(walk.kept, nb.earlier) THEN walk.kept ELSE list_append(walk.kept, nb.n) END FROM walk JOIN nb ON nb.n = walk.n + 1),
+ kept AS (SELECT unnest(kept) AS n FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)),
+ lead AS (SELECT r.n, coalesce(k.n, l.a) AS leader FROM r LEFT JOIN kept k ON k.n = r.n LEFT JOIN (SELECT m.b, min(m.a) AS a FROM m JOIN kept ON kept.n = m.a GROUP BY m.b) l ON l.b = r.n)"""
+)
+
+
+@catalog.query(sql=FOLDED_SQL + " SELECT a.rec_id, b.rec_id AS leader_id FROM lead JOIN r a ON a.n = lead.n JOIN r b ON b.n = lead.leader")
 def q12_greedy_dedupe(spark, d):
     """Each record and the record it is folded into (itself if kept)."""
     rows, leaders = _leaders(spark, d)
@@ -248,7 +266,19 @@ def q12_greedy_dedupe(spark, d):
     return leaders.join(at, "ord").join(at.select(F.col("ord").alias("leader"), F.col("rec_id").alias("leader_id")), "leader").select("rec_id", "leader_id")
 
 
-@catalog.query()
+@catalog.query(sql=FOLDED_SQL + " SELECT a.name AS donor, b.name AS leader FROM lead JOIN r a ON a.n = lead.n JOIN r b ON b.n = lead.leader WHERE lead.n <> lead.leader")
+def q12_fold_log(spark, d):
+    """Who was folded into whom, by name."""
+    rows, leaders = _leaders(spark, d)
+    return resolve.fold_log(rows, leaders).select("donor", "leader")
+
+
+@catalog.query(
+    sql=FOLDED_SQL
+    + """ SELECT max(r.name) FILTER (r.n = leader) AS name, max(r.lat) FILTER (r.n = leader) AS lat, max(r.lon) FILTER (r.n = leader) AS lon, arg_min(note, r.n) FILTER (note <> '') AS note, arg_min(parent, r.n) FILTER (parent <> '') AS parent,
+          arg_min(employees, r.n) FILTER (employees <> 0) AS employees, arg_min(sqft, r.n) FILTER (sqft <> 0) AS sqft, arg_min(operator, r.n) FILTER (operator <> '') AS operator, list_sort(list(DISTINCT source_name)) AS sources, count(*) AS records
+          FROM lead JOIN r USING (n) GROUP BY leader"""
+)
 def q13_survivorship_fold(spark, d):
     rows, leaders = _leaders(spark, d)
     return resolve.survivors(rows, leaders).drop("leader")
@@ -408,7 +438,21 @@ def q22_flags_array(spark, d):
     return scored(spark, d).select("id", "flags")
 
 
-@catalog.query()
+def _of_facilities(name: str) -> str:
+    return catalog.sql[name].replace("FROM entity", "FROM (SELECT * FROM entity WHERE kind = 'facility') AS entity")
+
+
+@catalog.query(
+    sql=f"""WITH e AS (SELECT DISTINCT ON (id) id, name, sector, existence FROM entity WHERE kind = 'facility' AND id IS NOT NULL),
+ dup AS (SELECT a AS id FROM ({_of_facilities("q11_near_duplicates")}) UNION SELECT b FROM ({_of_facilities("q11_near_duplicates")})),
+ near AS ({_of_facilities("q09_colocated_names")}),
+ x AS (SELECT e.*, dup.id IS NOT NULL AS dup, near.id IS NOT NULL AS near, {FLAG.format(c="e.name")} AS t, coalesce(colocated, []) AS others FROM e LEFT JOIN dup ON dup.id = e.id LEFT JOIN near ON near.id = e.id),
+ y AS (SELECT *, list_transform(others, lambda o: {FLAG.format(c="o")}) AS ts FROM x),
+ z AS (SELECT *, len(t) > 0 AND len(list_filter(ts, lambda u: len(u) > 0 AND len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) >= 0.3)) > 0 AS echo FROM y)
+ SELECT id, list_filter([CASE WHEN regexp_matches(coalesce(name, ''), '{score.PLACEHOLDER}') THEN 'placeholder' END, CASE WHEN dup THEN 'dupe' END, CASE WHEN near AND echo AND NOT dup THEN 'dupe' END,
+   CASE WHEN near AND NOT (echo AND NOT dup) THEN 'shared_site' END, CASE WHEN sector IN ('logistics', 'distribution', 'solar-storage', 'aggregates-mining') THEN 'low_flow' END,
+   CASE WHEN existence = 'recall' THEN 'unverified' END], lambda f: f IS NOT NULL) AS flags FROM z"""
+)
 def q22_flags_near(spark, d):
     """All review flags, with near-duplicate and co-located names attached."""
     e = cut(entities(spark, d).filter("kind = 'facility'").select("id", "name", "lat", "lon", "jurisdiction", "city", "sector", "existence"))

@@ -248,3 +248,28 @@ def test_signal_counters(spark):
     got = {(r["what"], r["value"]): r["n"] for r in signals.counters(s, t, spark.createDataFrame([("E1",), ("E1",)], "id string")).collect()}
     assert got[("signals_by_place", "placed")] == got[("signals_by_place", "orphaned")] == got[("signals_by_place", "unplaced")] == 1
     assert got[("signals_by_status", "pinned")] == 1 and got[("signals_by_status", "new")] == 2 and got[("signals_by_kind", None)] == 1 and got[("signals_by_generator", "rule")] == 2
+
+
+def test_targets_are_as_of_each_row(spark):
+    rng = random.Random(3)
+    ids = "ABCDEF"
+    marks = [(rng.choice(ids), i, i, rng.choice([None, *ids])) for i in range(60)]
+    marks = [(e, at, n, to if to != e else None) for e, at, n, to in marks]
+    rows = [(f"r{i}", rng.choice(ids), rng.randrange(60)) for i in range(80)]
+
+    def target(entity, at):
+        now = {}
+        for e, when, _, to in marks:
+            if when <= at:
+                now[e] = to
+        seen, cur = {entity}, entity
+        while now.get(cur):
+            cur = now[cur]
+            if cur in seen:
+                return entity
+            seen.add(cur)
+        return cur
+
+    s = spark.createDataFrame(marks, "entity_id string, instant long, ord long, duplicate_of string")
+    got = {r["row_id"]: r["target"] for r in progress.targets_as_of(spark.createDataFrame(rows, "row_id string, entity_id string, instant long"), s).collect()}
+    assert got == {r: target(e, at) for r, e, at in rows}
