@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -62,22 +64,28 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> Data
 
 BLOCK_ROWS = 20_000
 BLOCK_SAMPLE = 1 / 64
+Keys = str | Column | Callable[[DataFrame], DataFrame]
 
 
-def block_join(left: DataFrame, right: DataFrame, l_id: str, r_id: str, keys: str = "keys", block_rows: int = BLOCK_ROWS, share: float = BLOCK_SAMPLE) -> DataFrame:
-    """(l_id, r_id) of every two rows whose arrays `keys` share an element, once for each one they share.
+def block_join(left: DataFrame, right: DataFrame, l_id: str, r_id: str, l_keys: Keys = "keys", r_keys: Keys = "keys", block_rows: int = BLOCK_ROWS, share: float = BLOCK_SAMPLE) -> DataFrame:
+    """(l_id, r_id) of every two rows whose arrays of keys share an element, once for each one they share.
 
+    The keys are a column, an expression, or a function that adds the column `keys` to the frame.
     A key of more than `block_rows` rows on a side is spread over slices of that side, and the other
     side's rows are repeated for each slice, so no task gets a whole block. Which keys are such is
-    judged from a sample of the rows (at most the HOT_KEYS most frequent of it reach the driver);
-    the result does not depend on the sample. Null arrays and null elements meet nothing.
+    judged from a sample of the rows, drawn before their keys are worked out (at most the HOT_KEYS most
+    frequent of it reach the driver); the result does not depend on the sample. Null arrays and null elements meet nothing.
     """
-    each = lambda d, i: d.select(F.col(i), F.explode(keys).alias("_key"))
-    seen = each(left.sample(share, 7), l_id).select("_key", F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-    seen = seen.unionByName(each(right.sample(share, 7), r_id).select("_key", F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    def each(d, i, keys):
+        if callable(keys) and not isinstance(keys, Column):
+            d, keys = keys(d), "keys"
+        return d.select(F.col(i), F.explode(keys).alias("_key"))
+
+    seen = each(left.sample(share, 7), l_id, l_keys).select("_key", F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+    seen = seen.unionByName(each(right.sample(share, 7), r_id, r_keys).select("_key", F.lit(0).alias("_l"), F.lit(1).alias("_r")))
     most = seen.groupBy("_key").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter(F.greatest("_l", "_r") > block_rows * share)
     hot = [(k, -int(-n // (block_rows * share)) or 1, -int(-m // (block_rows * share)) or 1) for k, n, m in most.orderBy(F.desc(F.greatest("_l", "_r"))).limit(HOT_KEYS).collect()]
-    a, b = each(left, l_id), each(right, r_id)
+    a, b = each(left, l_id, l_keys), each(right, r_id, r_keys)
     if not hot:
         return a.join(b, "_key").select(l_id, r_id)
     slices = F.broadcast(left.sparkSession.createDataFrame(hot, f"_key {dict(a.dtypes)['_key']}, _ls long, _rs long"))  # at most HOT_KEYS rows

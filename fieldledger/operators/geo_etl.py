@@ -191,12 +191,11 @@ def quantise(metres: Column, offset: float = 500.0, scale: float = 10.0) -> tupl
     return F.shiftright(v, 8), v.bitwiseAND(255)
 
 
-def resample(pixels: DataFrame, west: float, south: float, east: float, north: float, columns: int, rows: int) -> DataFrame:
-    """(row, col, value): the nearest pixel to the middle of each cell of the target grid.
+def resample(pixels: DataFrame, columns: int, rows: int) -> DataFrame:
+    """(row, col, value): the nearest pixel to the middle of each cell of a grid of `columns` by `rows` over the same frame.
 
-    `pixels`: x, y (whole numbers of a global pixel grid), value, and the columns gx, gy of that grid's
-    geometry are taken as degrees: x = floor((lon - west) * per_degree). The target grid is made by
-    range and joined by equality on the pixel it falls on.
+    `pixels`: x, y (whole numbers from 0), value; they cover the frame evenly. The target grid is made by
+    range and joined by equality on the pixel it falls on. Cells of missing pixels are left out.
     """
     spark = pixels.sparkSession
     per = pixels.agg(F.max("x").alias("mx"), F.max("y").alias("my"))

@@ -609,6 +609,54 @@ def q60_tumbling_windows(spark, d):
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "users")
 
 
+@catalog.query(
+    sql="""SELECT zone_id, list_max(list_transform(ring, lambda p: p.lon)) >= -77.65 AND list_min(list_transform(ring, lambda p: p.lon)) <= -77.15 AND list_max(list_transform(ring, lambda p: p.lat)) >= 37.35
+             AND list_min(list_transform(ring, lambda p: p.lat)) <= 37.65 AS meets FROM survey_zone"""
+)
+def q72_box_meets(spark, d):
+    """Zones whose box meets a padded frame."""
+    return table(spark, d, "survey_zone").select("zone_id", geo_etl.box_meets("ring", -77.6, 37.4, -77.2, 37.6, 0.05).alias("meets"))
+
+
+@catalog.query(
+    sql="""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(address, '\\bRiv\\b\\.?', 'River', 'g'), '\\bCrk\\b\\.?', 'Creek', 'g'), '\\bLk\\b\\.?', 'Lake', 'g'), '\\bResv\\b\\.?', 'Reservoir', 'g'), '\\bBr\\b\\.?', 'Branch', 'g') AS written,
+             CASE WHEN starts_with(road, 'I-') THEN 'interstate' WHEN regexp_matches(road, '^U\\.?S\\.? ') THEN 'us' WHEN regexp_matches(road, '^(State|VA|SR) ') THEN 'state' END AS class
+           FROM (SELECT id, address, trim(CASE band WHEN 1 THEN 'I-' WHEN 2 THEN 'US ' WHEN 3 THEN 'VA ' ELSE '' END || regexp_extract(address, '^[0-9]+')) AS road FROM (SELECT DISTINCT ON (id) id, address, band FROM entity WHERE id IS NOT NULL) WHERE address IS NOT NULL)"""
+)
+def q73_road_and_water_names(spark, d):
+    """Classes of road names made from bands and house numbers, and addresses with short water names written out."""
+    e = entities(spark, d).filter("address IS NOT NULL").select("id", "address", F.expr("trim(concat(CASE band WHEN 1 THEN 'I-' WHEN 2 THEN 'US ' WHEN 3 THEN 'VA ' ELSE '' END, regexp_extract(address, '^[0-9]+', 0)))").alias("road"))
+    return e.select("id", geo_etl.water_name("address").alias("written"), geo_etl.road_class("road").alias("class"))
+
+
+@catalog.query(sql="SELECT DISTINCT label AS jurisdiction FROM place_ref WHERE kind IN ('county', 'city') AND label NOT IN (SELECT jurisdiction FROM entity WHERE jurisdiction IS NOT NULL AND kind = 'distributor')")
+def q74_uncovered(spark, d):
+    """Counties and cities whose official name no distributor's entry carries."""
+    places = table(spark, d, "place_ref").filter("kind IN ('county', 'city')").select(F.col("label").alias("jurisdiction"))
+    return geo_etl.uncovered(places, entities(spark, d).filter("kind = 'distributor'").select("jurisdiction"), "jurisdiction")
+
+
+CONTRACT = {
+    "type": "object", "required": ["id", "name"], "properties": {
+        "id": {"type": "string", "pattern": "^C[0-9]+-"}, "name": {"type": "string", "minLength": 12, "maxLength": 40}, "band": {"enum": [1, 2, 3]}, "miles": {"type": "number", "minimum": 20, "maximum": 90},
+        "facts": {"$ref": "#/definitions/facts"}, "sources": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "object", "required": ["as_of"]}},
+    },
+    "definitions": {"facts": {"type": "object", "properties": {"employees": {"type": "integer", "minimum": 5}, "cogen": {"const": False}}}},
+}
+
+
+@catalog.query(
+    sql="""SELECT id, (NOT regexp_matches(id, '^C[0-9]+-'))::int + (name IS NULL)::int + coalesce((length(name) < 12)::int, 0) + coalesce((length(name) > 40)::int, 0) + coalesce((band NOT IN (1, 2, 3))::int, 0)
+           + coalesce((miles < 20)::int, 0) + coalesce((miles > 90)::int, 0) + coalesce((facts.employees < 5)::int, 0) + coalesce((facts.cogen)::int, 0) + coalesce((len(sources) < 1)::int, 0) + coalesce((len(sources) > 2)::int, 0)
+           + coalesce(len(list_filter(sources, lambda s: s.as_of IS NULL)), 0) AS errors FROM (SELECT DISTINCT ON (id) * FROM entity WHERE id IS NOT NULL)"""
+)
+def q75_contract_keywords(spark, d):
+    """Number of errors of each entry's JSON against a contract of patterns, lengths, ranges, constants, references and items."""
+    raw = F.to_json(F.struct("id", "name", "band", "miles", F.struct("facts.employees", "facts.cogen").alias("facts"), "sources"))
+    e = entities(spark, d).select("id", raw.alias("raw"))
+    return validate.validate(e, "raw", CONTRACT).select("id", F.size("errors").cast("long").alias("errors"))
+
+
 # ------------------------------------------------------------------ stores, manifest, streams
 
 

@@ -49,6 +49,6 @@ def terrain(spark: SparkSession, folder: str, columns: int = 640) -> DataFrame:
     flat = px.select(((F.col("tile_x") - span["x0"]) * side + F.col("px")).alias("x"), ((F.col("tile_y") - span["y0"]) * side + F.col("py")).alias("y"), geo_etl.terrarium(F.col("r"), F.col("g"), F.col("b")).alias("value"))
     wide, tall = (span["x1"] - span["x0"] + 1) * side, (span["y1"] - span["y0"] + 1) * side
     columns = min(columns, wide)
-    grid = geo_etl.resample(flat, 0, 0, 1, 1, columns, max(1, round(columns * tall / wide)))
+    grid = geo_etl.resample(flat, columns, max(1, round(columns * tall / wide)))
     high, low = geo_etl.quantise(F.col("value"))
     return grid.select("row", "col", high.alias("high"), low.alias("low"))

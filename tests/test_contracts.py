@@ -94,6 +94,8 @@ def test_geojson_source(spark, tmp_path):
     fc = {"features": [{"properties": {"NAME": "R"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1]]]}}, {"properties": {}, "geometry": {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]}}, {"geometry": {"type": "Point", "coordinates": [0, 0]}}]}
     (tmp_path / "x.geojson").write_text(json.dumps(fc))
     geojson.register(spark)
+    by = lambda at: spark.read.format("geojson").load(at).count()
+    assert by(f"file://{tmp_path}") == by(f"{tmp_path}/x.*json") == by(f"{tmp_path}/x.geojson") == by(str(tmp_path)) and by(f"{tmp_path}/none.geojson") == 0
     df = spark.read.format("geojson").load(str(tmp_path))
     rings = geo_etl.geojson_rings(df).select("kind", F.size("ring").alias("n")).collect()
     assert sorted((r["kind"], r["n"]) for r in rings) == [("MultiLineString", 2), ("MultiLineString", 2), ("Polygon", 3)]
@@ -125,7 +127,7 @@ def test_outline_of_two_squares(spark):
 
 def test_raster(spark):
     px = spark.createDataFrame([(x, y, 10 * x + y) for x in range(4) for y in range(4)], "x int, y int, value int")
-    got = {(r["row"], r["col"]): r["value"] for r in geo_etl.resample(px, 0, 0, 1, 1, 2, 2).collect()}
+    got = {(r["row"], r["col"]): r["value"] for r in geo_etl.resample(px, 2, 2).collect()}
     assert got == {(0, 0): 11, (0, 1): 31, (1, 0): 13, (1, 1): 33}
     h, lo = geo_etl.quantise(F.lit(99999.0))
     assert tuple(spark.range(1).select(h, lo).first()) == (255, 255)
