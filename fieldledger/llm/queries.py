@@ -260,7 +260,8 @@ def p8_fill(spark, d):
 
 
 def sized_documents(spark, d):
-    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    # only texts of listed sources are counted
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").join(table(spark, d, "mix_target").select("source"), "source", "left_semi")
     return docs.select("doc_id", "source", F.md5("text").alias("content"), token_count(F.col("text")).alias("tokens"))
 
 
