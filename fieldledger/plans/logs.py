@@ -464,6 +464,7 @@ def q71_approximate_aggregates(spark, d):
 
 # ------------------------------------------------------------------ validation
 
+# fixed values: the contract of a change
 CHANGE_CONTRACT = {
     "type": "object", "additionalProperties": False, "required": ["id", "ts", "actor", "change", "entity_id", "reason"],
     "properties": {

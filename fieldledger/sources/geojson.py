@@ -54,6 +54,8 @@ class GeoJsonReader(DataSourceReader):
         return [FilePartition(f) for f in sorted(x.path for x in found if x.is_file and fnmatch(x.base_name, last))]
 
     def read(self, partition):
+        if partition is None:  # no file
+            return
         with _store(self.path)[0].open_input_stream(partition.path) as fh:
             features = json.loads(fh.read()).get("features", [])
         wrap = {"Polygon": 1, "MultiPolygon": 0, "LineString": 2, "MultiLineString": 1}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.time import instant_micros
-from ..operators.progress import ACTION_RANK
+from ..operators.progress import ACTION_RANK, STAGE_POINTS, tap_weight
 from ..session import cut, shared_folder
 
 LATE = "2 days"
@@ -154,34 +154,60 @@ def admit_changes(batch: DataFrame, ledger: DataFrame, known: DataFrame) -> tupl
 
 
 class StageKeeper(StatefulProcessor):
-    """Keeps the highest stage of an entity and emits each rise."""
+    """Keeps the highest stage of an entity and what it earned, and emits each rise with its points."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rank = handle.getValueState("rank", "rank int")
+        self.rank = handle.getValueState("rank", "rank int, earned long")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         taps = pd.concat(list(rows)).sort_values(["instant", "id"])
-        held = self.rank.get()[0] if self.rank.exists() else 0
+        held, earned = self.rank.get() if self.rank.exists() else (0, 0)
         out = []
         for t in taps.itertuples():
             if t.rank > held:
-                out.append((key[0], t.id, held, int(t.rank)))
+                points = sum(STAGE_POINTS[held + 1 : int(t.rank) + 1]) * int(t.weight)
+                earned += points
+                out.append((key[0], t.id, held, int(t.rank), points, earned))
                 held = int(t.rank)
-        self.rank.update((held,))
-        yield pd.DataFrame(out, columns=["entity_id", "tap_id", "old_rank", "new_rank"]).astype({"old_rank": "int32", "new_rank": "int32"})
+        self.rank.update((held, earned))
+        columns = {"entity_id": "object", "tap_id": "object", "old_rank": "int32", "new_rank": "int32", "points": "int64", "earned": "int64"}
+        yield pd.DataFrame(out, columns=list(columns)).astype(columns)
 
     def close(self) -> None:
         pass
 
 
-def live_stages(stream: DataFrame) -> DataFrame:
-    """(entity_id, tap_id, old_rank, new_rank) as taps arrive; undo and late taps are for the batch replay.
+def live_stages(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(entity_id, tap_id, old_rank, new_rank, points, earned) as taps arrive; undo and late taps are for the batch replay.
 
-    Keyed state needs the RocksDB provider: spark.sql.streaming.stateStore.providerClass.
+    `known`: id, kind, base_band of the entries, joined as they are when a batch runs; taps on others are left out. Without it
+    every tap weighs one. Keyed state needs the RocksDB provider: spark.sql.streaming.stateStore.providerClass.
     """
     rank = F.try_element_at(F.create_map(*[F.lit(x) for kv in ACTION_RANK.items() for x in kv]), F.col("action"))
     t = stream.withColumn("rank", rank.cast("int")).withColumn("instant", instant_micros("ts")).filter("rank IS NOT NULL AND entity_id IS NOT NULL AND instant IS NOT NULL")
-    keyed = t.select("entity_id", "id", "rank", "instant").groupBy("entity_id")
-    return keyed.transformWithStateInPandas(StageKeeper(), "entity_id string, tap_id string, old_rank int, new_rank int", "Append", "None")
+    t = t.withColumn("weight", F.lit(1))
+    if known is not None:
+        t = t.join(known.select(F.col("id").alias("entity_id"), "kind", "base_band").dropDuplicates(["entity_id"]), "entity_id").withColumn("weight", tap_weight("band", "kind", "base_band"))
+    keyed = t.select("entity_id", "id", "rank", "instant", "weight").groupBy("entity_id")
+    return keyed.transformWithStateInPandas(StageKeeper(), "entity_id string, tap_id string, old_rank int, new_rank int, points long, earned long", "Append", "None")
+
+
+def keep_late(stream: DataFrame, log_path: str, late_path: str, checkpoint: str, hours: int = 48):
+    """Every row into the log; those that arrive more than `hours` behind the newest stored one also into a folder of late rows.
+
+    Windows and live stages have passed such rows by; what they touch is taken from the batch replay. A batch that is run
+    again adds no id twice to either folder.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        log = spark.read.schema(batch.schema).parquet(log_path)
+        newest = log.agg(F.max("arrived_at").alias("_high"))  # one row
+        fresh = cut(batch.dropDuplicates(["id"]).join(log.select("id"), "id", "left_anti").crossJoin(F.broadcast(newest)))
+        late = fresh.filter(F.col("arrived_at") < F.col("_high") - F.expr(f"INTERVAL {hours} HOURS"))
+        late.drop("_high").write.mode("append").parquet(late_path)
+        fresh.drop("_high").write.mode("append").parquet(log_path)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)

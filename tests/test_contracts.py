@@ -1,3 +1,4 @@
+import datetime
 import json
 import time
 
@@ -249,11 +250,28 @@ def test_live_stages(spark, tmp_path):
         spark.createDataFrame(rows, "id string, action string, entity_id string, ts string").write.parquet(str(tmp_path / "log.parquet"))
         seen = []
         activity.run_available(activity.live_stages(activity.read_log(spark, str(tmp_path / "log.parquet"))), "append", lambda b, e: seen.extend(map(tuple, b.collect())))
-        assert sorted(seen) == [("E", "a", 0, 1), ("E", "b", 1, 4), ("F", "d", 0, 2)]
+        assert sorted(seen) == [("E", "a", 0, 1, 1, 1), ("E", "b", 1, 4, 16, 17), ("F", "d", 0, 2, 4, 4)]
+        known = spark.createDataFrame([("E", "facility", "High"), ("F", "oem", None), ("F", "oem", None)], "id string, kind string, base_band string")
+        log = activity.read_log(spark, str(tmp_path / "log.parquet")).withColumn("band", F.when(F.col("id") == "b", "Low"))
+        seen.clear()
+        activity.run_available(activity.live_stages(log, known), "append", lambda b, e: seen.extend(map(tuple, b.collect())))
+        assert sorted(seen) == [("E", "a", 0, 1, 3, 3), ("E", "b", 1, 4, 16, 19), ("F", "d", 0, 2, 12, 12)]
     finally:
         spark.conf.set(key, old)
 
 
+def test_late_rows_are_kept_for_the_replay(spark, tmp_path):
+    s = "id string, action string, arrived_at timestamp"
+    at = lambda d: datetime.datetime(2026, 1, d)
+    spark.createDataFrame([("a", "met", at(9))], s).write.parquet(str(tmp_path / "log"))
+    spark.createDataFrame([("b", "met", at(8)), ("c", "met", at(6)), ("c", "met", at(6)), ("a", "met", at(1)), ("d", None, None)], s).write.parquet(str(tmp_path / "in"))
+    for run in ("1", "2"):  # the second reads the same rows again
+        q = activity.keep_late(activity.read_log(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "late"), str(tmp_path / f"cp{run}"))
+        q.trigger(availableNow=True).start().awaitTermination()
+    ids = lambda f: sorted(r["id"] for r in spark.read.schema(s).parquet(str(tmp_path / f)).collect())
+    assert ids("log") == ["a", "b", "c", "d"] and ids("late") == ["c"]
+
+
 def test_admission_stream_appends_what_is_allowed(spark, tmp_path):
     f = "id string, ts string, actor string, action string, entity_id string, undo_of string, role string, band string"
     spark.createDataFrame([("t0", "", "", "met", "E1", None, None, None)], f).write.parquet(str(tmp_path / "log"))
