@@ -60,6 +60,19 @@ def view(signals: DataFrame, triaged: DataFrame, known: DataFrame, now: int) ->
     )
 
 
+def of_active(signals: DataFrame, registry: DataFrame) -> DataFrame:
+    """Signals to notify of: those of entries that are active, and those of none. `registry`: id, status."""
+    retired = registry.filter("status <> 'active'").select(F.col("id").alias("entity_id")).distinct()
+    return signals.join(retired, "entity_id", "left_anti")
+
+
+def decluttered(entries: DataFrame, touched: DataFrame) -> DataFrame:
+    """Entries without those of low opportunity that nobody has tapped. `entries`: id, band; `touched`: entity_id. Unrated entries stay."""
+    low = F.coalesce(F.col("band") == "Low", F.lit(False))
+    seen = touched.select(F.col("entity_id").alias("id")).distinct().withColumn("_seen", F.lit(True))
+    return entries.join(seen, "id", "left").filter(~low | F.col("_seen")).drop("_seen")
+
+
 def orphans(signals: DataFrame, known: DataFrame) -> DataFrame:
     """Signals that name an entity nobody knows."""
     return signals.filter("entity_id IS NOT NULL").join(known.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")

@@ -462,6 +462,25 @@ def q71_approximate_aggregates(spark, d):
     return e.select("kind", "jurisdictions", close.alias("names_close"), (F.col("median").between(F.col("mid")[0] - 0.01, F.col("mid")[2] + 0.01)).alias("median_close"))
 
 
+@catalog.query(sql=SIGNAL_SQL + " SELECT signal_id, entity_id FROM sig WHERE entity_id NOT IN (SELECT entity_id FROM status WHERE status <> 'active')")
+def q76_active_notifications(spark, d):
+    """Signals of entries that are active."""
+    return signals.of_active(signals_now(spark, d), registry_now(spark, d).select("id", "status")).select("signal_id", "entity_id")
+
+
+@catalog.query(sql="WITH " + LOG_SQL + " SELECT id FROM ent WHERE kind = 'facility' AND (coalesce(base_band, '') <> 'Low' OR id IN (SELECT entity_id FROM adv))")
+def q77_decluttered(spark, d):
+    """Facilities without the untouched ones of low opportunity."""
+    e = known(spark, d).filter("kind = 'facility'").select("id", F.col("base_band").alias("band"))
+    return signals.decluttered(e, progress.advancing_taps(taps(spark, d))).select("id")
+
+
+@catalog.query(sql=LIVE_SQL + "," + ADDED_SQL + " SELECT id, name, cluster FROM entry WHERE existence = 'ledger'")
+def q27_added_entries(spark, d):
+    """Entries that the ledger added."""
+    return ledger.additions(all_changes(spark, d)).join(entities(spark, d).select("id"), "id", "left_anti").select("id", "name", "cluster")
+
+
 # ------------------------------------------------------------------ validation
 
 # fixed values: the contract of a change

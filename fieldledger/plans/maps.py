@@ -39,6 +39,11 @@ def basemap(spark: SparkSession, counties: str, roads: str, water: str, wanted:
     }
 
 
+def save_terrain(grid: DataFrame, path: str) -> None:
+    """The height grid as a long table, rows of the picture together."""
+    grid.repartitionByRange("row").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)
+
+
 def terrain(spark: SparkSession, folder: str, columns: int = 640) -> DataFrame:
     """(row, col, high, low): the 16-bit height grid over all tiles of a folder, `columns` wide, cells square."""
     px = tiles.read_tiles(spark, folder)

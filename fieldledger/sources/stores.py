@@ -148,6 +148,11 @@ def manifest(spark: SparkSession, *paths: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def save_json(df: DataFrame, path: str) -> None:
+    """The rows as JSON lines with sorted keys, for pages and other consumers."""
+    export_json(df).write.mode("overwrite").text(path)
+
+
 def export_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON text with sorted keys, for pages and other consumers."""
     return df.select(F.to_json(F.struct(*sorted(df.columns))).alias("json"))

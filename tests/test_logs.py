@@ -273,3 +273,15 @@ def test_targets_are_as_of_each_row(spark):
     s = spark.createDataFrame(marks, "entity_id string, instant long, ord long, duplicate_of string")
     got = {r["row_id"]: r["target"] for r in progress.targets_as_of(spark.createDataFrame(rows, "row_id string, entity_id string, instant long"), s).collect()}
     assert got == {r: target(e, at) for r, e, at in rows}
+
+
+def test_notifications_and_clutter(spark, tmp_path):
+    s = spark.createDataFrame([("a", "E1"), ("b", "E2"), ("c", None), ("d", "zz")], "signal_id string, entity_id string")
+    r = spark.createDataFrame([("E1", "active"), ("E2", "defunct")], "id string, status string")
+    assert sorted(x["signal_id"] for x in signals.of_active(s, r).collect()) == ["a", "c", "d"]
+    e = spark.createDataFrame([("E1", "Low"), ("E2", "Low"), ("E3", None), ("E4", "High")], "id string, band string")
+    assert sorted(x["id"] for x in signals.decluttered(e, spark.createDataFrame([("E2",), ("E2",), (None,)], "entity_id string")).collect()) == ["E2", "E3", "E4"]
+    from fieldledger.sources.stores import save_json
+
+    save_json(r, str(tmp_path / "out"))
+    assert sorted(x["value"] for x in spark.read.text(str(tmp_path / "out")).collect()) == ['{"id":"E1","status":"active"}', '{"id":"E2","status":"defunct"}']
