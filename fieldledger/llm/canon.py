@@ -12,7 +12,9 @@ both sides are compared as lower-case letters only, so spaces, hyphens and dots
 
 The longest allowed distance is k, and a third of the reference's length. Of several entries
 the least (distance, wrong kind, entry id) wins. Null and blank values are no case; a value
-with no letters matches nothing. Very long values only meet references of their own length.
+with no letters matches nothing. Entries, and values without their ornaments, of fewer than three letters
+match nothing, for at that length every edit names another place. Very long values only meet references of
+their own length.
 """
 
 from __future__ import annotations
