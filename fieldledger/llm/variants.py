@@ -67,10 +67,8 @@ def probes(text: str, k: int = EDITS) -> Column:
 def _near(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """Pairs of rows of one block (`kind`, `part`) whose heads share a segment; left columns keep their names, right ones get c_."""
     keys = lambda arr: F.transform(arr, lambda s: F.xxhash64("kind", "part", s["len"], s["i"], s["seg"]))
-    r = right.select(F.col("form").alias("c_form"), keys(segments("head", k)).alias("keys"))
-    p = left.select("form", keys(probes("head", k)).alias("keys"))
     # a segment that very many names of a block hold is joined in slices
-    pairs = block_join(p, r, "form", "c_form").filter("form <> c_form").distinct()
+    pairs = block_join(left, right.withColumnRenamed("form", "c_form"), "form", "c_form", keys(probes("head", k)), keys(segments("head", k))).filter("form <> c_form").distinct()
     return pairs.join(left, "form").join(right.select(F.col("form").alias("c_form"), F.col("head").alias("c_head"), F.col("bones").alias("c_bones"), F.col("n").alias("c_n"), F.col("legal").alias("c_legal")), "c_form")
 
 
