@@ -6,10 +6,14 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+WAIT = 30.0
+
+
 def local_session(cores: int = 8, name: str = "fieldledger") -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
     spark = (
@@ -60,10 +64,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_counted(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
-    """`cut`, with aggregates of the rows taken in the same job instead of another pass over them."""
-    seen = Observation()
-    out = cut(df.observe(seen, *[c.alias(k) for k, c in sums.items()]))
-    return out, seen.get
+    """`cut`, with aggregates of the rows taken in the same job instead of another pass over them.
+
+    What the job saw comes over Spark's event queue, which may drop events under load. Where it does not come
+    within WAIT seconds, the written frame is aggregated instead.
+    """
+    seen, columns, got = Observation(), [c.alias(k) for k, c in sums.items()], []
+    out = cut(df.observe(seen, *columns))
+    waiter = threading.Thread(target=lambda: got.append(seen.get), daemon=True)
+    waiter.start()
+    waiter.join(WAIT)
+    return out, got[0] if got else out.agg(*columns).first().asDict()
 
 
 def free(*frames: DataFrame | None) -> None:

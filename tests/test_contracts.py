@@ -184,6 +184,16 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
         shared_folder(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
 
 
+@pytest.mark.parametrize("wait", [30.0, 0.0])
+def test_counts_come_with_the_cut_or_after_it(spark, monkeypatch, wait):
+    from fieldledger import session
+
+    monkeypatch.setattr(session, "WAIT", wait)
+    for n in (0, 7):
+        out, seen = session.cut_counted(spark.range(n), n=F.count(F.lit(1)), most=F.max("id"))
+        assert seen == {"n": n, "most": n - 1 if n else None} and out.count() == n
+
+
 def test_freed_frames_leave_the_folder(spark):
     from pathlib import Path
 
