@@ -1,8 +1,10 @@
 import datetime
 import random
 
+import pytest
 from fieldledger.functions import skew
 from fieldledger.llm import canon, components, linkage, mixing, packing, survivor, variants
+from fieldledger.operators import graph
 
 
 def groups_of(rows):
@@ -39,6 +41,21 @@ def test_components_of_nothing(spark):
     assert sorted(map(tuple, n.collect())) == [(1, 1), (2, 1), (3, 1)]
 
 
+@pytest.mark.parametrize("most", [2, 50, 250_000])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, most):
+    rounds = []
+    monkeypatch.setattr(graph, "LOCAL_IDS", most)
+    monkeypatch.setattr(graph, "_relabel", lambda *x, real=graph._relabel: rounds.append(1) or real(*x))
+    rng = random.Random(2)
+    ids = rng.sample(range(10_000), 400)
+    rows = list(zip(ids, ids[1:])) + [(rng.randrange(20_000, 20_100), rng.randrange(20_000, 20_100)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = {r["id"]: r["group_id"] for r in components.connected_components(df, "a", "b").collect()}
+    assert got == groups_of(rows)
+    # two ends are relabelled a round; edges of one partition are through after one
+    assert most < 250_000 or len(rounds) <= 2 * 3
+
+
 def test_preferred_entry_order(spark):
     day = datetime.date
     rows = [
