@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.skew import numbered, running
-from ..session import cut
+from ..session import cut, cut_counted, free
+from .graph import components
 
 # fixed values of progression
 STAGES = ["uncharted", "surveyed", "landfall", "established", "anchored"]
@@ -97,28 +99,45 @@ def as_of_status(taps: DataFrame, changes: DataFrame) -> DataFrame:
     return u.filter("src = 1").select("tap_id", "entity_id", "instant", F.coalesce("now", F.lit("active")).alias("status"))
 
 
-def targets_as_of(rows: DataFrame, status: DataFrame, most: int = 100) -> DataFrame:
+def targets_as_of(rows: DataFrame, status: DataFrame) -> DataFrame:
     """(row_id, target): the entity that each row's entity stood for at the row's instant, following duplicate marks as they were then.
 
     `rows`: row_id, entity_id, instant. `status`: entity_id, instant, ord, duplicate_of (null unless the change marks a
-    duplicate). Each hop is one as-of join of the rows that still move; a change at the same instant counts as before.
-    A chain that leads round in a loop ends at the row's own entity. More than `most` hops raise an error.
+    duplicate). A change at the same instant counts as before. Chains may have any length; one that leads round in a
+    loop ends at the row's own entity. Entities that marks ever join form a group; the marks and rows of a group are
+    replayed in order, sorted and streamed through a task that holds only where its entities point. Rows outside groups stay.
     """
-    moving = cut(rows.select("row_id", F.col("entity_id").alias("own"), F.col("entity_id").alias("at"), "instant", F.array("entity_id").alias("seen")))
-    marks = status.select(F.col("entity_id").alias("at"), "instant", F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord"), F.struct(F.col("duplicate_of").alias("to")).alias("held"))
-    nothing = {c: F.lit(None).cast(t) for c, t in (("row_id", dict(rows.dtypes)["row_id"]), ("own", "string"), ("seen", "array<string>"))}
-    settled = None
-    for _ in range(most):
-        t = moving.select("row_id", "own", "seen", "at", "instant", F.lit(1).alias("src"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast(dict(marks.dtypes)["held"]).alias("held"))
-        u = running(t.unionByName(marks.withColumns(nothing)), ["at"], ["instant", "src", "ord"], "held", "now", "last").filter("src = 1")
-        # a chain that comes back to where it was is a loop
-        u = cut(u.select("row_id", "own", "at", "instant", "seen", F.col("now.to").alias("to")).withColumn("round", F.array_contains("seen", F.coalesce("to", F.lit("")))))
-        done = u.filter("to IS NULL OR round").select("row_id", F.when(F.col("round"), F.col("own")).otherwise(F.col("at")).alias("target"))
-        settled = done if settled is None else settled.unionByName(done)
-        moving = u.filter("to IS NOT NULL AND NOT round").select("row_id", "own", F.col("to").alias("at"), "instant", F.concat("seen", F.array("to")).alias("seen"))
-        if not moving.limit(1).count():
-            return settled
-    raise RuntimeError(f"a duplicate chain is longer than {most}")
+    group = cut(components(status.filter("duplicate_of IS NOT NULL"), "entity_id", "duplicate_of").withColumnRenamed("id", "entity_id"))
+    key = {c: dict(rows.dtypes)[c] for c in ("row_id", "entity_id")}
+    at = F.coalesce(F.col("instant"), F.lit(-(2**63))).alias("instant")  # null instants come first
+    marks = status.select("entity_id", at, F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord"), F.lit(None).cast(key["row_id"]).alias("row_id"), F.col("duplicate_of").alias("to"))
+    asks = rows.select("entity_id", at, F.lit(1).alias("src"), F.lit(0).cast("long").alias("ord"), "row_id", F.lit(None).cast(key["entity_id"]).alias("to"))
+    told = marks.unionByName(asks).join(group, "entity_id").repartition("group_id").sortWithinPartitions("group_id", "instant", "src", "ord")
+    replayed = told.select("group_id", "src", "entity_id", "row_id", "to").mapInArrow(_replay_marks, f"row_id {key['row_id']}, target {key['entity_id']}")
+    return replayed.unionByName(rows.join(group, "entity_id", "left_anti").select("row_id", F.col("entity_id").alias("target")))
+
+
+def _replay_marks(batches):
+    """(row_id, target) of the rows (src 1) among marks (src 0), sorted by group and in order of replay."""
+    here, points = None, {}
+    for batch in batches:
+        ids, targets = [], []
+        for group, src, entity, row, to in zip(*(batch.column(c).to_pylist() for c in ("group_id", "src", "entity_id", "row_id", "to"))):
+            if group != here:
+                here, points = group, {}
+            if src == 0:
+                points[entity] = to
+                continue
+            end, seen = entity, {entity}
+            while (after := points.get(end)) is not None:
+                if after in seen:
+                    end = entity
+                    break
+                seen.add(after)
+                end = after
+            ids.append(row)
+            targets.append(end)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("row_id").type), pa.array(targets, batch.schema.field("entity_id").type)], ["row_id", "target"])
 
 
 def share_timeline(first_taps: DataFrame, status: DataFrame, pool: DataFrame) -> DataFrame:
@@ -209,13 +228,14 @@ def review_points(reviews: DataFrame, signals: DataFrame) -> DataFrame:
     return first.join(signals, "signal_id").select("signal_id", F.when((age >= 0) & (age <= REVIEW_DAYS), REVIEW_POINTS).otherwise(0).alias("points"))
 
 
-def transferred_stages(taps: DataFrame, transfers: DataFrame, most: int = 40) -> tuple[DataFrame, DataFrame]:
-    """Final stage of every entity, and the advancing taps, when marking a duplicate moves its stage to another.
+def transferred_stages(taps: DataFrame, transfers: DataFrame, with_taps: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Final stage of every entity, and the advancing taps (None unless asked for), when marking a duplicate moves its stage to another.
 
     `taps`: tap_id, target, rank, seq (target as of the tap). `transfers`: change_id, source, target, seq
     (target after the mark). A mark takes the source's stage away and gives it to the target if higher.
-    The stretch between two marks of one entity is its segment. Transfers start at rank 0 and take the
-    greatest rank in the source's segment before them, again and again until nothing changes.
+    The stretch up to a mark of an entity is its segment, which hands its greatest rank on to the segment of the
+    target that holds the mark. So segments are a forest in which time only goes on, and what a mark moves is the greatest
+    rank of all segments that lead to its own: found by doubling, in log2 of the longest way rounds.
     """
     t = transfers.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target")
     events = taps.select(F.col("target").alias("entity"), "seq", F.lit("tap").alias("what"), F.col("tap_id").alias("id"), F.col("rank").cast("int").alias("rank"))
@@ -223,19 +243,25 @@ def transferred_stages(taps: DataFrame, transfers: DataFrame, most: int = 40) ->
     events = events.unionByName(t.select(F.col("target").alias("entity"), "seq", F.lit("in").alias("what"), F.col("change_id").alias("id"), F.lit(0).alias("rank")))
     events = running(events.withColumn("out", F.when(F.col("what") == "out", 1).otherwise(0)), ["entity"], ["seq"], "out", "segment", "sum", inclusive=False).drop("out")
     events = cut(events.withColumn("segment", F.coalesce("segment", F.lit(0))))
-    carried = cut(t.select(F.col("change_id").alias("id"), F.lit(0).alias("moved")))
-    for _ in range(most):
-        now = events.join(carried, "id", "left").withColumn("rank", F.when(F.col("what") == "in", F.coalesce("moved", F.lit(0))).otherwise(F.col("rank")))
-        now = running(now, ["entity", "segment"], ["seq"], "rank", "before", "max", inclusive=False).withColumn("before", F.coalesce("before", F.lit(0)))
-        fresh = cut(now.filter("what = 'out'").select("id", F.col("before").alias("moved")))
-        changed = fresh.exceptAll(carried).limit(1).count()
-        carried = fresh
-        if not changed:
-            break
-    else:
-        raise RuntimeError("transfers do not settle: the marks form a loop")
-    last = events.groupBy("entity").agg(F.max("segment").alias("open"), F.max(F.when(F.col("what") == "out", F.col("seq"))).alias("lost"))
-    live = now.join(last, "entity").filter((F.col("what") != "out") & (F.col("lost").isNull() | (F.col("seq") > F.col("lost"))))
-    stages = live.groupBy("entity").agg(F.max("rank").alias("rank")).filter("rank > 0")
+    # a segment ends with at most one mark; the last one of an entity stays open
+    segments = events.groupBy("entity", "segment").agg(F.coalesce(F.max(F.when(F.col("what") == "tap", F.col("rank"))), F.lit(0)).alias("own"), F.max(F.when(F.col("what") == "out", F.col("id"))).alias("ends"))
+    segments = cut(segments)
+    into = cut(events.filter("what = 'in'").join(segments, ["entity", "segment"]).select("id", "entity", F.col("ends").alias("to")))
+    step = cut(segments.filter("ends IS NOT NULL").select(F.col("ends").alias("id"), F.col("own").alias("moved")).join(into.select("id", "to"), "id", "left"))
+    going = 1
+    while going:
+        handed = step.filter("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.max("moved").alias("handed"))
+        ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        after = step.join(ahead, "to", "left").select("id", "moved", F.col("next").alias("to")).join(handed, "id", "left")
+        after, seen = cut_counted(after.select("id", F.greatest("moved", "handed").alias("moved"), "to"), going=F.count("to"))
+        free(step)
+        step, going = after, seen["going"]
+    moved = step.select("id", "moved")
+    last = segments.filter("ends IS NULL").select("entity", F.col("own").alias("rank")).unionByName(into.filter("to IS NULL").join(moved, "id").select("entity", F.col("moved").alias("rank")))
+    stages = last.groupBy("entity").agg(F.max("rank").alias("rank")).filter("rank > 0")
+    if not with_taps:
+        return stages, None
+    now = events.join(moved, "id", "left").withColumn("rank", F.when(F.col("what") == "in", F.coalesce("moved", F.lit(0))).otherwise(F.col("rank")))
+    now = running(now, ["entity", "segment"], ["seq"], "rank", "before", "max", inclusive=False).withColumn("before", F.coalesce("before", F.lit(0)))
     advancing = now.filter("what = 'tap' AND rank > before").select(F.col("id").alias("tap_id"), "entity", F.col("before").alias("old_rank"), F.col("rank").alias("new_rank"))
     return stages, advancing

@@ -324,7 +324,7 @@ def cluster_rollup(spark, d):
 
 @catalog.query()
 def q42_transferred_stages(spark, d):
-    """Final stages where duplicate marks hand a stage on (fixpoint over transfers; tested against a replay).
+    """Final stages where duplicate marks hand a stage on (doubling over transfers; tested against a replay).
 
     The target of a tap, and of a mark, is the entry its own one stood for at that instant; loops keep the entry itself.
     """
@@ -336,7 +336,7 @@ def q42_transferred_stages(spark, d):
     order = lambda src, tie: F.struct("instant", F.lit(src).alias("src"), F.col(tie).alias("tie")).alias("seq")
     t = tap.join(at, "row_id").select("tap_id", "target", "rank", order(1, "tap_id"))
     m = mark.join(at, "row_id").filter("target <> entity_id").select("change_id", F.col("entity_id").alias("source"), "target", order(0, "change_id"))
-    stages, _ = progress.transferred_stages(cut(t), cut(m))
+    stages, _ = progress.transferred_stages(t, m, with_taps=False)
     return stages.select(F.col("entity").alias("entity_id"), "rank")
 
 

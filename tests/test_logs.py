@@ -162,6 +162,30 @@ def test_transferred_stages_equal_a_replay(spark, seed):
     assert sorted(r["tap_id"] for r in adv.collect()) == sorted(want_adv)
 
 
+def test_a_stage_is_handed_on_any_number_of_times(spark):
+    n = 60
+    marks = [(f"c{i:03d}", f"e{i}", f"e{i + 1}", i + 1) for i in range(n)]
+    taps = [("t0", "e0", 3, 0), ("t1", "e20", 4, 50), ("t2", "e0", 2, 99)]
+    stages, adv = progress.transferred_stages(
+        spark.createDataFrame(taps, "tap_id string, target string, rank int, seq long"),
+        spark.createDataFrame(marks, "change_id string, source string, target string, seq long"),
+    )
+    assert {r["entity"]: r["rank"] for r in stages.collect()} == {f"e{n}": 3, "e20": 4, "e0": 2}
+    assert sorted((r["tap_id"], r["old_rank"]) for r in adv.collect()) == [("t0", 0), ("t1", 0), ("t2", 0)]
+
+
+def test_chains_of_marks_have_any_length(spark):
+    n = 150
+    marks = [(f"e{i}", i, i, f"e{i + 1}") for i in range(n)]
+    rows = [("early", "e0", 49), ("late", "e0", n), ("before", "e0", -1), ("beside", "x", 3), ("nobody", None, 3), ("never", "e0", None)]
+    got = progress.targets_as_of(
+        spark.createDataFrame(rows, "row_id string, entity_id string, instant long"),
+        spark.createDataFrame(marks, "entity_id string, instant long, ord long, duplicate_of string"),
+    )
+    want = {"early": "e50", "late": f"e{n}", "before": "e0", "beside": "x", "nobody": None, "never": "e0"}
+    assert {r["row_id"]: r["target"] for r in got.collect()} == want
+
+
 def test_merge_order_is_one_numbering(spark):
     c = spark.createDataFrame([(f"c{i}", i // 3, i) for i in range(50)], "id string, instant long, ord long")
     e = spark.createDataFrame([(f"e{i}", i // 2, i) for i in range(60)], "id string, instant long, ord long")
