@@ -7,10 +7,12 @@ matters in several operators and is given by an explicit column, never by partit
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import MILES_PER_DEGREE, miles
+from ..functions.geo import MILES_PER_DEGREE, SITE_LATITUDE, miles
 from ..functions.grid import with_cell, with_near_cells
 from ..functions.rounding import fixed4
 from ..functions.skew import numbered
@@ -115,21 +117,46 @@ def fill_defaults(rows: DataFrame, defaults: dict = DEFAULTS) -> DataFrame:
 # ------------------------------------------------------------------ folding
 
 
-def _shared_token_pairs(rows: DataFrame, side: float, least: float, key: str = "ord") -> DataFrame:
-    """Pairs (a < b by `key`) in neighbouring cells that share a token one of them cannot do without.
+COMMON_WORDS = 200  # words told apart by how common they are; of the rest none is common
+LONG_NAME = 12  # names of more words meet by single words instead of pairs
+FOLD_MILES = 3.0
+FOLD_CELL = 0.36  # degrees; more than eight times the reach
+
+
+def _near_word_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) of `id` near one another whose `words`, sorted, the rarest first, may agree as fold_matches asks.
 
-    Two sets with Jaccard of at least `least`, or of which one holds the other, share a token among
-    the rarest size - ceil(least * size) + 1 of the smaller or of either: tokens are ranked by how
-    rare they are, these prefixes meet all tokens, so common words bring no pairs together.
+    Two sets of two words or more with a Jaccard of 0.34 share two words, and so do two of which one holds the other.
+    The larger set stands in its cell under every pair of its words. The smaller looks into the cells in reach under the pairs
+    that the two rarest shared words can be: none lies beyond its last but least shared ones. Sets of one word meet by it,
+    those of more than LONG_NAME meet by the single words. Distances are judged in the join, on coordinates cut to 1e-4 degree.
+    Rows: id, lat, lon, exact, words.
     """
-    t = rows.select(key, "lat", "lon", F.posexplode("tokens").alias("_p", "token"), F.size("tokens").alias("n"))
-    df = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = t.join(df, "token").groupBy(key, "lat", "lon", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    pre = ranked.withColumn("keep", F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, "lat", "lon", F.explode(F.expr("slice(ts, 1, cast(keep AS int)).token")).alias("token"))
-    a = with_near_cells(pre, "lat", "lon", side).select(F.col(key).alias("a"), "cell", "token")
-    b = with_cell(t.select(key, "lat", "lon", "token"), "lat", "lon", side).select(F.col(key).alias("b"), "cell", "token")
-    pairs = a.join(b, ["cell", "token"]).filter("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    r = rows.withColumn("n", F.size("words"))
+    some_long = bool(r.filter(F.col("n") > LONG_NAME).limit(1).count())
+    number = lambda y, x: f"(cast(floor(({y}) / {FOLD_CELL}) AS bigint) * 100000 + cast(floor(({x}) / {FOLD_CELL}) AS bigint))"
+    up, side = FOLD_MILES / MILES_PER_DEGREE * 1.001, FOLD_MILES / MILES_PER_DEGREE / math.cos(math.radians(SITE_LATITUDE)) * 1.001
+    stands = f"array({number('lat', 'lon')})"
+    looks = "array_distinct(array(" + ", ".join(number(f"lat {v} {up}", f"lon {h} {side}") for v in "-+" for h in "-+") + "))"
+    none = "cast(array() AS array<bigint>)"
+    pairs = lambda last: f"flatten(transform(slice(words, 1, greatest({last} - 1, 0)), (p, i) -> transform(slice(words, i + 2, greatest({last} - i - 1, 0)), q -> xxhash64('p', p, q))))"
+    single = lambda tag, last: f"transform(slice(words, 1, {last}), p -> xxhash64('{tag}', p))"
+    # the smaller of two sets shares at least 2t / (1 + t) of its words, where it is not the larger's part, of which any word does
+    t = "CASE WHEN exact THEN 0.34D ELSE 0.5D END"
+    shared = f"greatest(cast(ceil(2 * ({t}) / (1 + ({t})) * n - 1e-9D) AS int), 1)"
+    larger = [f"CASE WHEN n BETWEEN 2 AND {LONG_NAME} THEN {pairs('n')} ELSE {none} END", single("s", "n")]
+    smaller = [f"CASE WHEN n BETWEEN 2 AND {LONG_NAME} THEN {pairs(f'least(n - greatest({shared}, 2) + 2, n)')} ELSE {none} END", f"CASE WHEN n = 1 THEN {single('s', '1')} ELSE {none} END"]
+    if some_long:
+        larger.append(f"CASE WHEN n > {LONG_NAME} THEN {single('l', 'n')} ELSE {none} END")
+        smaller.append(f"CASE WHEN n > 1 THEN {single('l', f'n - {shared} + 1')} ELSE {none} END")
+    key = lambda keys, cells: F.explode(F.expr(f"flatten(transform({cells}, c -> transform(concat({', '.join(keys)}), k -> xxhash64(c, k))))"))
+    spot = [(F.floor(F.col("lat") * 10_000) * 2 + F.col("exact").cast("int")).cast("int"), F.floor(F.col("lon") * 10_000).cast("int")]
+    x = r.select(F.col("id").alias("a"), spot[0].alias("ay"), spot[1].alias("ax"), key(smaller, looks).alias("key"))
+    y = r.select(F.col("id").alias("b"), spot[0].alias("by"), spot[1].alias("bx"), key(larger, stands).alias("key"))
+    far = miles(F.floor(F.col("ay") / 2) / 10_000, F.col("ax") / 10_000, F.floor(F.col("by") / 2) / 10_000, F.col("bx") / 10_000)
+    both = (F.col("ay") % 2 != 0) & (F.col("by") % 2 != 0)
+    met = x.join(y, "key").filter((F.col("a") != F.col("b")) & (far <= F.when(both, 0.6).otherwise(FOLD_MILES) + 0.02))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def fold_matches(rows: DataFrame) -> DataFrame:
@@ -137,15 +164,22 @@ def fold_matches(rows: DataFrame) -> DataFrame:
 
     Both placed exactly: within 0.6 miles and Jaccard >= 0.34, or one name within the other; else
     within 3 miles and Jaccard >= 0.5, or one within the other. Latitudes differ by 0.06 at most.
+    `rows` are read several times and should be cut.
     """
     r = rows.filter("lat IS NOT NULL AND lon IS NOT NULL").select("ord", "name", "lat", "lon", F.coalesce(F.col("coord_precision") == "site", F.lit(False)).alias("exact")).withColumn("tokens", fold_tokens("name")).filter("size(tokens) > 0")
-    r = cut(r)
-    side = lambda p: r.select(F.col("ord").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("lat", "lon", "exact", "tokens")])
-    p = _shared_token_pairs(r, 0.06, 0.34).join(side("a"), "a").join(side("b"), "b")
+    # at most COMMON_WORDS reach the driver; they only order the words
+    most = r.select(F.explode("tokens").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(COMMON_WORDS).collect()
+    common = F.array(*[F.lit(w["token"]) for w in reversed(most)]) if most else F.array(F.lit(""))
+    ranked = F.array_sort(F.transform("tokens", lambda w: F.struct(F.array_position(common, w).alias("p"), w.alias("w"))))
+    # the hash of `ord` stands for it; should two agree, the test below sees both
+    hashed = r.withColumn("id", F.xxhash64("ord"))
+    side = lambda p: hashed.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("ord", "lat", "lon", "exact", "tokens")])
+    p = _near_word_pairs(hashed.select("id", "lat", "lon", "exact", F.transform(ranked, lambda w: w["w"]).alias("words"))).join(side("a"), "a").join(side("b"), "b")
     d, j, sub = miles("a_lat", "a_lon", "b_lat", "b_lon"), jaccard("a_tokens", "b_tokens"), subset_either("a_tokens", "b_tokens")
     both = F.col("a_exact") & F.col("b_exact")
     ok = (both & (d <= 0.6) & ((j >= 0.34) | sub)) | (~both & (d <= 3.0) & ((j >= 0.5) | sub))
-    return p.filter((F.abs(F.col("a_lat") - F.col("b_lat")) <= 0.06) & ok).select("a", "b")
+    met = p.filter((F.abs(F.col("a_lat") - F.col("b_lat")) <= 0.06) & ok & (F.col("a_ord") != F.col("b_ord")))
+    return met.select(F.least("a_ord", "b_ord").alias("a"), F.greatest("a_ord", "b_ord").alias("b")).distinct()
 
 
 def greedy_leaders(rows: DataFrame, matches: DataFrame) -> DataFrame:
@@ -156,7 +190,8 @@ def greedy_leaders(rows: DataFrame, matches: DataFrame) -> DataFrame:
     goes to its least kept earlier neighbour. A round is a join of the open edges with the rows decided last.
     """
     m = cut(matches)
-    first = cut(rows.select("ord").distinct().join(m.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti").withColumn("kept", F.lit(True)))
+    # rows that match none are kept; they take no part in the rounds
+    first = cut(m.select(F.col("a").alias("ord")).distinct().join(m.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti").withColumn("kept", F.lit(True)))
     # only the newly decided rows meet the edges, and an edge leaves once either end decides it
     decided, fresh, edges = [first], first, m
     while True:
@@ -178,7 +213,7 @@ def greedy_leaders(rows: DataFrame, matches: DataFrame) -> DataFrame:
     free(*decided)
     kept = state.filter("kept").select("ord")
     folded = m.join(kept.withColumnRenamed("ord", "a"), "a").join(state.filter("NOT kept").select(F.col("ord").alias("b")), "b").groupBy("b").agg(F.min("a").alias("leader"))
-    return kept.withColumn("leader", F.col("ord")).unionByName(folded.select(F.col("b").alias("ord"), "leader"))
+    return rows.select("ord").distinct().join(folded.withColumnRenamed("b", "ord"), "ord", "left").select("ord", F.coalesce("leader", "ord").alias("leader"))
 
 
 def survivors(rows: DataFrame, leaders: DataFrame, fields: list[str] = FOLD_FIELDS) -> DataFrame:

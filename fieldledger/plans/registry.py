@@ -236,8 +236,10 @@ def _ordered_records(spark, d):
 
 
 def _leaders(spark, d):
-    rows = cut(_ordered_records(spark, d))
-    return rows, cut(resolve.greedy_leaders(rows, resolve.fold_matches(rows)))
+    """Records and their leaders. Only what matching reads is cut; repeated deliveries are equal, so the records may be read again."""
+    rows = _ordered_records(spark, d)
+    few = cut(rows.select("ord", "rec_id", "name", "lat", "lon", "coord_precision"))
+    return rows, few, resolve.greedy_leaders(few, resolve.fold_matches(few))
 
 
 # the pass in order, row by row, with the rows kept so far as a list
@@ -261,7 +263,7 @@ FOLDED_SQL = (
 @catalog.query(sql=FOLDED_SQL + " SELECT a.rec_id, b.rec_id AS leader_id FROM lead JOIN r a ON a.n = lead.n JOIN r b ON b.n = lead.leader")
 def q12_greedy_dedupe(spark, d):
     """Each record and the record it is folded into (itself if kept)."""
-    rows, leaders = _leaders(spark, d)
+    _, rows, leaders = _leaders(spark, d)
     at = rows.select("ord", "rec_id")
     return leaders.join(at, "ord").join(at.select(F.col("ord").alias("leader"), F.col("rec_id").alias("leader_id")), "leader").select("rec_id", "leader_id")
 
@@ -269,7 +271,7 @@ def q12_greedy_dedupe(spark, d):
 @catalog.query(sql=FOLDED_SQL + " SELECT a.name AS donor, b.name AS leader FROM lead JOIN r a ON a.n = lead.n JOIN r b ON b.n = lead.leader WHERE lead.n <> lead.leader")
 def q12_fold_log(spark, d):
     """Who was folded into whom, by name."""
-    rows, leaders = _leaders(spark, d)
+    _, rows, leaders = _leaders(spark, d)
     return resolve.fold_log(rows, leaders).select("donor", "leader")
 
 
@@ -280,7 +282,7 @@ def q12_fold_log(spark, d):
           FROM lead JOIN r USING (n) GROUP BY leader"""
 )
 def q13_survivorship_fold(spark, d):
-    rows, leaders = _leaders(spark, d)
+    rows, _, leaders = _leaders(spark, d)
     return resolve.survivors(rows, leaders).drop("leader")
 
 

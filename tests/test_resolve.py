@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import pytest
 from fieldledger.functions.rounding import fixed4
 from fieldledger.functions.text import FLAG_STOP, FOLD_STOP, flag_tokens, fold_tokens
 from fieldledger.operators import resolve
@@ -55,6 +56,24 @@ def test_greedy_folding_equals_a_pass_in_order(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("long", [2, 12])
+def test_folding_of_common_words_equals_all_pairs_and_lists_few(spark, monkeypatch, long):
+    monkeypatch.setattr(resolve, "LONG_NAME", long)
+    monkeypatch.setattr(resolve, "COMMON_WORDS", 6)
+    rng = random.Random(8)
+    pool = [f"w{i:03d}" for i in range(60)]
+    kinds = ["kiln road", "depot unit", "farm"]
+    rows = [(f"s{i:03d}", " ".join(rng.sample(pool, rng.choice([0, 1, 1, 2, 3]))) + " " + rng.choice(kinds), round(37 + rng.random() * 0.4, 4), round(-77 + rng.random() * 0.4, 4), rng.choice(["site", "zip"])) for i in range(200)]
+    rows += [(f"t{i}", " ".join(pool[: 15 + i]), 37.1, -77.0 + i / 100, "zip") for i in range(4)] + [("u0", "w003 w011", 37.1, -77.0, "zip"), ("u1", "w003", 37.1, -77.0, "site")]
+    df = spark.createDataFrame(rows, "ord string, name string, lat double, lon double, coord_precision string")
+    got = [(r["a"], r["b"]) for r in resolve.fold_matches(df).collect()]
+    assert sorted(got) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and matches(a, b))
+    # that all rows say what they are makes no pairs
+    plain = [(f"s{i:03d}", f"own{i} brick road", 37.0, -77.0, "zip") for i in range(40)]
+    words = spark.createDataFrame([(i, lat, lon, False, name.upper().split()) for i, (_, name, lat, lon, _) in enumerate(plain)], "id long, lat double, lon double, exact boolean, words array<string>")
+    assert resolve._near_word_pairs(words.withColumn("words", F.slice("words", 1, 2))).count() == 0
+
+
 def test_survivors_take_the_leader_then_the_first_donor(spark):
     rows = spark.createDataFrame([("1", "lead", 37.0, -77.0, "", 0, "a"), ("2", "x", 37.0, -77.0, "note2", 5, "b"), ("3", "y", 37.0, -77.0, "note3", 9, "a")], "ord string, name string, lat double, lon double, note string, employees int, source_name string")
     leaders = spark.createDataFrame([("1", "1"), ("2", "1"), ("3", "1")], "ord string, leader string")
