@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 import time
 
 import pytest
@@ -194,6 +195,28 @@ def test_counts_come_with_the_cut_or_after_it(spark, monkeypatch, wait):
         assert seen == {"n": n, "most": n - 1 if n else None} and out.count() == n
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    return {f.rsplit("/", 1)[-1] for f in files if "shuffle_" in f}
+
+
+def test_what_is_cut_or_packed_leaves_no_shuffle_files(spark):
+    from fieldledger.session import cut, free, pack
+
+    before = shuffle_files(spark)
+    made = spark.range(5000).groupBy((F.col("id") % 977).alias("k")).agg(F.max("id").alias("m"))
+    rows = {tuple(r) for r in made.collect()}
+    before |= shuffle_files(spark)  # an ordinary action leaves its own
+    twice = [cut(made), pack(made.filter("k >= 0"))]
+    deadline = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert all({tuple(r) for r in x.collect()} == rows for x in twice)
+    free(*twice)
+    assert not os.path.exists(twice[1].packed_at.removeprefix("file:"))
+
+
 def test_freed_frames_leave_the_folder(spark):
     from pathlib import Path
 
