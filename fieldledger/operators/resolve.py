@@ -17,7 +17,7 @@ from ..functions.grid import with_cell, with_near_cells
 from ..functions.rounding import fixed4
 from ..functions.skew import numbered
 from ..functions.text import FLAG_STOP, flag_tokens, fold_tokens, jaccard, squeeze, subset_either, truthy, words
-from ..session import cut, free
+from ..session import cut, free, pack
 
 POWER_SECTORS = ["power-generation", "district-energy"]
 ANCHOR_MILES = 25.0
@@ -121,6 +121,7 @@ COMMON_WORDS = 200  # words told apart by how common they are; of the rest none
 LONG_NAME = 12  # names of more words meet by single words instead of pairs
 FOLD_MILES = 3.0
 FOLD_CELL = 0.36  # degrees; more than eight times the reach
+FOLD_SLICES, SLICE_ROWS = 8, 30_000  # the cells are joined in slices: at most so many, of about so many rows or more
 
 
 def _near_word_pairs(rows: DataFrame) -> DataFrame:
@@ -129,11 +130,15 @@ def _near_word_pairs(rows: DataFrame) -> DataFrame:
     Two sets of two words or more with a Jaccard of 0.34 share two words, and so do two of which one holds the other.
     The larger set stands in its cell under every pair of its words. The smaller looks into the cells in reach under the pairs
     that the two rarest shared words can be: none lies beyond its last but least shared ones. Sets of one word meet by it,
-    those of more than LONG_NAME meet by the single words. Distances are judged in the join, on coordinates cut to 1e-4 degree.
+    those of more than LONG_NAME meet by the single words. Judged in the join: the distance, on coordinates cut to 1e-4 degree,
+    and the most words the two can share, by a bit of 64 for each word. The cells are joined slice by slice, so that the keys of
+    one slice at a time are on disk.
     Rows: id, lat, lon, exact, words.
     """
-    r = rows.withColumn("n", F.size("words"))
-    some_long = bool(r.filter(F.col("n") > LONG_NAME).limit(1).count())
+    r = rows.withColumn("n", F.size("words")).withColumn("bits", F.expr("aggregate(words, 0L, (m, w) -> m | shiftleft(1L, cast(pmod(xxhash64(w), 64) AS int)))"))
+    seen = r.agg(F.max("n").alias("longest"), F.count("*").alias("rows")).first()
+    some_long = (seen["longest"] or 0) > LONG_NAME
+    slices = max(1, min(FOLD_SLICES, seen["rows"] // SLICE_ROWS))
     number = lambda y, x: f"(cast(floor(({y}) / {FOLD_CELL}) AS bigint) * 100000 + cast(floor(({x}) / {FOLD_CELL}) AS bigint))"
     up, side = FOLD_MILES / MILES_PER_DEGREE * 1.001, FOLD_MILES / MILES_PER_DEGREE / math.cos(math.radians(SITE_LATITUDE)) * 1.001
     stands = f"array({number('lat', 'lon')})"
@@ -149,14 +154,22 @@ def _near_word_pairs(rows: DataFrame) -> DataFrame:
     if some_long:
         larger.append(f"CASE WHEN n > {LONG_NAME} THEN {single('l', 'n')} ELSE {none} END")
         smaller.append(f"CASE WHEN n > 1 THEN {single('l', f'n - {shared} + 1')} ELSE {none} END")
-    key = lambda keys, cells: F.explode(F.expr(f"flatten(transform({cells}, c -> transform(concat({', '.join(keys)}), k -> xxhash64(c, k))))"))
     spot = [(F.floor(F.col("lat") * 10_000) * 2 + F.col("exact").cast("int")).cast("int"), F.floor(F.col("lon") * 10_000).cast("int")]
-    x = r.select(F.col("id").alias("a"), spot[0].alias("ay"), spot[1].alias("ax"), key(smaller, looks).alias("key"))
-    y = r.select(F.col("id").alias("b"), spot[0].alias("by"), spot[1].alias("bx"), key(larger, stands).alias("key"))
     far = miles(F.floor(F.col("ay") / 2) / 10_000, F.col("ax") / 10_000, F.floor(F.col("by") / 2) / 10_000, F.col("bx") / 10_000)
     both = (F.col("ay") % 2 != 0) & (F.col("by") % 2 != 0)
-    met = x.join(y, "key").filter((F.col("a") != F.col("b")) & (far <= F.when(both, 0.6).otherwise(FOLD_MILES) + 0.02))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # shared words share their bits; of words of a set that share one, all may be shared
+    most = F.expr("least(bit_count(abits & bbits) + least(an - bit_count(abits), bn - bit_count(bbits)), an, bn)")
+    agree = (most >= F.least("an", "bn")) | (most >= F.when(both, 0.34).otherwise(0.5) * (F.col("an") + F.col("bn") - most) - 1e-9)
+    found = None
+    for k in range(slices):
+        own = lambda cells: cells if slices == 1 else f"filter({cells}, c -> pmod(xxhash64(c), {slices}) = {k})"  # noqa: B023, E731
+        key = lambda keys, cells: F.explode(F.expr(f"flatten(transform({own(cells)}, c -> transform(concat({', '.join(keys)}), k -> xxhash64(c, k))))"))  # noqa: B023, E731
+        side = lambda p, keys, cells: r.select(F.col("id").alias(p), spot[0].alias(f"{p}y"), spot[1].alias(f"{p}x"), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"), key(keys, cells).alias("key"))  # noqa: B023, E731
+        # the size of the rows says little of that of their keys, so none is broadcast
+        met = side("a", smaller, looks).join(side("b", larger, stands).hint("merge"), "key").filter((F.col("a") != F.col("b")) & (far <= F.when(both, 0.6).otherwise(FOLD_MILES) + 0.02) & agree)
+        pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 def fold_matches(rows: DataFrame) -> DataFrame:
@@ -164,7 +177,7 @@ def fold_matches(rows: DataFrame) -> DataFrame:
 
     Both placed exactly: within 0.6 miles and Jaccard >= 0.34, or one name within the other; else
     within 3 miles and Jaccard >= 0.5, or one within the other. Latitudes differ by 0.06 at most.
-    `rows` are read several times and should be cut.
+    `rows` are read several times and should be cut or packed; the pairs are cut.
     """
     r = rows.filter("lat IS NOT NULL AND lon IS NOT NULL").select("ord", "name", "lat", "lon", F.coalesce(F.col("coord_precision") == "site", F.lit(False)).alias("exact")).withColumn("tokens", fold_tokens("name")).filter("size(tokens) > 0")
     # at most COMMON_WORDS reach the driver; they only order the words
@@ -172,14 +185,16 @@ def fold_matches(rows: DataFrame) -> DataFrame:
     common = F.array(*[F.lit(w["token"]) for w in reversed(most)]) if most else F.array(F.lit(""))
     ranked = F.array_sort(F.transform("tokens", lambda w: F.struct(F.array_position(common, w).alias("p"), w.alias("w"))))
     # the hash of `ord` stands for it; should two agree, the test below sees both
-    hashed = r.withColumn("id", F.xxhash64("ord"))
+    hashed = pack(r.select("ord", "lat", "lon", "exact", F.xxhash64("ord").alias("id"), F.transform(ranked, lambda w: w["w"]).alias("tokens")))
     side = lambda p: hashed.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("ord", "lat", "lon", "exact", "tokens")])
-    p = _near_word_pairs(hashed.select("id", "lat", "lon", "exact", F.transform(ranked, lambda w: w["w"]).alias("words"))).join(side("a"), "a").join(side("b"), "b")
+    p = _near_word_pairs(hashed.select("id", "lat", "lon", "exact", F.col("tokens").alias("words"))).join(side("a"), "a").join(side("b"), "b")
     d, j, sub = miles("a_lat", "a_lon", "b_lat", "b_lon"), jaccard("a_tokens", "b_tokens"), subset_either("a_tokens", "b_tokens")
     both = F.col("a_exact") & F.col("b_exact")
     ok = (both & (d <= 0.6) & ((j >= 0.34) | sub)) | (~both & (d <= 3.0) & ((j >= 0.5) | sub))
     met = p.filter((F.abs(F.col("a_lat") - F.col("b_lat")) <= 0.06) & ok & (F.col("a_ord") != F.col("b_ord")))
-    return met.select(F.least("a_ord", "b_ord").alias("a"), F.greatest("a_ord", "b_ord").alias("b")).distinct()
+    pairs = cut(met.select(F.least("a_ord", "b_ord").alias("a"), F.greatest("a_ord", "b_ord").alias("b")).distinct())
+    free(hashed)
+    return pairs
 
 
 def greedy_leaders(rows: DataFrame, matches: DataFrame) -> DataFrame:
@@ -188,8 +203,9 @@ def greedy_leaders(rows: DataFrame, matches: DataFrame) -> DataFrame:
     A row is kept if no earlier kept row matches it. Rounds decide rows whose earlier neighbours
     are all decided: with a kept one it is folded, without it is kept; at the end each folded row
     goes to its least kept earlier neighbour. A round is a join of the open edges with the rows decided last.
+    `matches` are read several times and should be cut; afterwards they may be freed.
     """
-    m = cut(matches)
+    m = matches
     # rows that match none are kept; they take no part in the rounds
     first = cut(m.select(F.col("a").alias("ord")).distinct().join(m.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti").withColumn("kept", F.lit(True)))
     # only the newly decided rows meet the edges, and an edge leaves once either end decides it
@@ -212,19 +228,20 @@ def greedy_leaders(rows: DataFrame, matches: DataFrame) -> DataFrame:
     state = cut(state)
     free(*decided)
     kept = state.filter("kept").select("ord")
-    folded = m.join(kept.withColumnRenamed("ord", "a"), "a").join(state.filter("NOT kept").select(F.col("ord").alias("b")), "b").groupBy("b").agg(F.min("a").alias("leader"))
+    folded = cut(m.join(kept.withColumnRenamed("ord", "a"), "a").join(state.filter("NOT kept").select(F.col("ord").alias("b")), "b").groupBy("b").agg(F.min("a").alias("leader")))
+    free(state)
     return rows.select("ord").distinct().join(folded.withColumnRenamed("b", "ord"), "ord", "left").select("ord", F.coalesce("leader", "ord").alias("leader"))
 
 
-def survivors(rows: DataFrame, leaders: DataFrame, fields: list[str] = FOLD_FIELDS) -> DataFrame:
+def survivors(rows: DataFrame, leaders: DataFrame, fields: list[str] = FOLD_FIELDS, on: str = "ord") -> DataFrame:
     """One row a leader: each field from the leader if it has a value, else from the first folded row that has one; all sources.
 
     Of the figures MAX_FIELDS the greatest counts (none: 0), and of `enriched` rows the last id is kept as `enriched_id`.
-    Only columns that the rows have take part.
+    Only columns that the rows have take part. `leaders` has the column `on` of a row, and its leader.
     """
     types = dict(rows.dtypes)
     fields = [f for f in fields if f in types]
-    j = rows.join(leaders, "ord")
+    j = rows.join(leaders, on)
     has = lambda f: truthy(f, "string" if types[f] == "string" else "number")
     most = [F.max(F.coalesce(F.col(f), F.lit(0))).alias(f) for f in MAX_FIELDS if f in types]
     if {"enriched", "id"} <= set(types):

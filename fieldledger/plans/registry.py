@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import flag_tokens, fold_tokens, truthy
 from ..operators import resolve, score
-from ..session import cut, table
+from ..session import cut, free, pack, table
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -229,17 +229,21 @@ def q11_near_duplicates(spark, d):
 
 def _ordered_records(spark, d):
     """Records with `ord`: permit registry first, then the recall sweep, then the rest, longer notes and lower numbers first."""
-    r = resolve.clean_coordinates(site_records(spark, d))
+    r = resolve.clean_coordinates(table(spark, d, "site_record").filter("rec_id IS NOT NULL"))
     weight = F.when(F.col("source_name") == "permit_registry", 10000).when(F.col("source_name") == "recall_sweep", 5000).otherwise(0) + F.when(F.col("existence") == "registry", 200).otherwise(0)
     first = F.lpad((F.lit(99_999) - weight - F.length(F.coalesce("note", F.lit("")))).cast("string"), 6, "0")
-    return r.withColumn("ord", F.concat_ws("|", first, F.lpad(F.col("rec_id").cast("string"), 19, "0")))
+    # before deliveries are joined, so that notes are not shuffled where only their length is asked for
+    return r.withColumn("ord", F.concat_ws("|", first, F.lpad(F.col("rec_id").cast("string"), 19, "0"))).dropDuplicates(["rec_id"])
 
 
 def _leaders(spark, d):
-    """Records and their leaders. Only what matching reads is cut; repeated deliveries are equal, so the records may be read again."""
+    """Records and their leaders. Only what matching reads is written; repeated deliveries are equal, so the records may be read again."""
     rows = _ordered_records(spark, d)
-    few = cut(rows.select("ord", "rec_id", "name", "lat", "lon", "coord_precision"))
-    return rows, few, resolve.greedy_leaders(few, resolve.fold_matches(few))
+    few = pack(rows.select("ord", "name", "lat", "lon", "coord_precision"))
+    matches = resolve.fold_matches(few)
+    leaders = resolve.greedy_leaders(rows, matches)
+    free(few, matches)
+    return rows, leaders
 
 
 # the pass in order, row by row, with the rows kept so far as a list
@@ -263,7 +267,7 @@ FOLDED_SQL = (
 @catalog.query(sql=FOLDED_SQL + " SELECT a.rec_id, b.rec_id AS leader_id FROM lead JOIN r a ON a.n = lead.n JOIN r b ON b.n = lead.leader")
 def q12_greedy_dedupe(spark, d):
     """Each record and the record it is folded into (itself if kept)."""
-    _, rows, leaders = _leaders(spark, d)
+    rows, leaders = _leaders(spark, d)
     at = rows.select("ord", "rec_id")
     return leaders.join(at, "ord").join(at.select(F.col("ord").alias("leader"), F.col("rec_id").alias("leader_id")), "leader").select("rec_id", "leader_id")
 
@@ -271,7 +275,7 @@ def q12_greedy_dedupe(spark, d):
 @catalog.query(sql=FOLDED_SQL + " SELECT a.name AS donor, b.name AS leader FROM lead JOIN r a ON a.n = lead.n JOIN r b ON b.n = lead.leader WHERE lead.n <> lead.leader")
 def q12_fold_log(spark, d):
     """Who was folded into whom, by name."""
-    _, rows, leaders = _leaders(spark, d)
+    rows, leaders = _leaders(spark, d)
     return resolve.fold_log(rows, leaders).select("donor", "leader")
 
 
@@ -282,8 +286,10 @@ def q12_fold_log(spark, d):
           FROM lead JOIN r USING (n) GROUP BY leader"""
 )
 def q13_survivorship_fold(spark, d):
-    rows, _, leaders = _leaders(spark, d)
-    return resolve.survivors(rows, leaders).drop("leader")
+    rows, leaders = _leaders(spark, d)
+    # the records are whole once a number, so their leaders are brought to them by number
+    leaders = leaders.join(rows.select("ord", "rec_id"), "ord").select("rec_id", "leader")
+    return resolve.survivors(rows, leaders, on="rec_id").drop("leader")
 
 
 @catalog.query(

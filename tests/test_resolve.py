@@ -74,6 +74,22 @@ def test_folding_of_common_words_equals_all_pairs_and_lists_few(spark, monkeypat
     assert resolve._near_word_pairs(words.withColumn("words", F.slice("words", 1, 2))).count() == 0
 
 
+def test_folding_in_slices_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "SLICE_ROWS", 20)
+    rng = random.Random(9)
+    rows = sites(rng, 150, 0.9)
+    df = spark.createDataFrame(rows, "ord string, name string, lat double, lon double, coord_precision string")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and matches(a, b))
+    assert want and sorted((r["a"], r["b"]) for r in resolve.fold_matches(df).collect()) == want
+
+
+def test_names_that_share_too_few_words_are_not_listed(spark):
+    """Two shared words of five are no match; all 780 pairs of such rows were handed on, to be refused after both sides' words had been shuffled."""
+    rows = [(i, 37.0, -77.0, False, ["P", "Q", f"Z{i}A", f"Z{i}B", f"Z{i}C"]) for i in range(40)] + [(40, 37.0, -77.0, False, ["P", "Q"])]
+    got = {tuple(r) for r in resolve._near_word_pairs(spark.createDataFrame(rows, "id long, lat double, lon double, exact boolean, words array<string>")).collect()}
+    assert {(i, 40) for i in range(40)} <= got and len(got) < 40 + 78
+
+
 def test_survivors_take_the_leader_then_the_first_donor(spark):
     rows = spark.createDataFrame([("1", "lead", 37.0, -77.0, "", 0, "a"), ("2", "x", 37.0, -77.0, "note2", 5, "b"), ("3", "y", 37.0, -77.0, "note3", 9, "a")], "ord string, name string, lat double, lon double, note string, employees int, source_name string")
     leaders = spark.createDataFrame([("1", "1"), ("2", "1"), ("3", "1")], "ord string, leader string")
