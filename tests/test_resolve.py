@@ -90,6 +90,13 @@ def test_names_that_share_too_few_words_are_not_listed(spark):
     assert {(i, 40) for i in range(40)} <= got and len(got) < 40 + 78
 
 
+def test_survivors_by_number_keep_records_where_their_deliveries_met(spark):
+    rows = spark.createDataFrame([(i, f"{9 - i}", f"n{i}", 37.0, -77.0, "" if i % 3 else f"note{i}", "a") for i in range(9)] * 2, "rec_id long, ord string, name string, lat double, lon double, note string, source_name string").dropDuplicates(["rec_id"])
+    leaders = spark.createDataFrame([(i, f"{9 - i}", f"{9 - (i | 1) if i < 8 else 1}") for i in range(9)], "rec_id long, ord string, leader string")
+    got = resolve.survivors(rows, leaders.select("rec_id", "leader"), ["note"], on="rec_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, resolve.survivors(rows, leaders.select("ord", "leader"), ["note"]).collect()))
+
+
 def test_survivors_take_the_leader_then_the_first_donor(spark):
     rows = spark.createDataFrame([("1", "lead", 37.0, -77.0, "", 0, "a"), ("2", "x", 37.0, -77.0, "note2", 5, "b"), ("3", "y", 37.0, -77.0, "note3", 9, "a")], "ord string, name string, lat double, lon double, note string, employees int, source_name string")
     leaders = spark.createDataFrame([("1", "1"), ("2", "1"), ("3", "1")], "ord string, leader string")
