@@ -122,6 +122,7 @@ LONG_NAME = 12  # names of more words meet by single words instead of pairs
 FOLD_MILES = 3.0
 FOLD_CELL = 0.36  # degrees; more than eight times the reach
 FOLD_SLICES, SLICE_ROWS = 8, 30_000  # the cells are joined in slices: at most so many, of about so many rows or more
+FOLD_PAIRS = 500_000  # pairs that are given their words at once, as far as FOLD_SLICES parts allow
 
 
 def _near_word_pairs(rows: DataFrame) -> DataFrame:
@@ -187,12 +188,19 @@ def fold_matches(rows: DataFrame) -> DataFrame:
     # the hash of `ord` stands for it; should two agree, the test below sees both
     hashed = pack(r.select("ord", "lat", "lon", "exact", F.xxhash64("ord").alias("id"), F.transform(ranked, lambda w: w["w"]).alias("tokens")))
     side = lambda p: hashed.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("ord", "lat", "lon", "exact", "tokens")])
-    p = _near_word_pairs(hashed.select("id", "lat", "lon", "exact", F.col("tokens").alias("words"))).join(side("a"), "a").join(side("b"), "b")
+    near = cut(_near_word_pairs(hashed.select("id", "lat", "lon", "exact", F.col("tokens").alias("words"))))
+    parts = max(1, min(FOLD_SLICES, near.count() // FOLD_PAIRS))
     d, j, sub = miles("a_lat", "a_lon", "b_lat", "b_lon"), jaccard("a_tokens", "b_tokens"), subset_either("a_tokens", "b_tokens")
     both = F.col("a_exact") & F.col("b_exact")
     ok = (both & (d <= 0.6) & ((j >= 0.34) | sub)) | (~both & (d <= 3.0) & ((j >= 0.5) | sub))
-    met = p.filter((F.abs(F.col("a_lat") - F.col("b_lat")) <= 0.06) & ok & (F.col("a_ord") != F.col("b_ord")))
-    pairs = cut(met.select(F.least("a_ord", "b_ord").alias("a"), F.greatest("a_ord", "b_ord").alias("b")).distinct())
+    met = None
+    for k in range(parts):
+        own = F.pmod(F.xxhash64("a"), F.lit(parts)) == k
+        p = near.filter(own).join(side("a").filter(own), "a").join(side("b"), "b").filter((F.abs(F.col("a_lat") - F.col("b_lat")) <= 0.06) & ok & (F.col("a_ord") != F.col("b_ord")))
+        part = cut(p.select(F.least("a_ord", "b_ord").alias("a"), F.greatest("a_ord", "b_ord").alias("b")))
+        met = part if met is None else met.unionByName(part)
+    pairs = cut(met.distinct())
+    free(near)
     free(hashed)
     return pairs
 

@@ -76,6 +76,7 @@ def test_folding_of_common_words_equals_all_pairs_and_lists_few(spark, monkeypat
 
 def test_folding_in_slices_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(resolve, "SLICE_ROWS", 20)
+    monkeypatch.setattr(resolve, "FOLD_PAIRS", 3)
     rng = random.Random(9)
     rows = sites(rng, 150, 0.9)
     df = spark.createDataFrame(rows, "ord string, name string, lat double, lon double, coord_precision string")
